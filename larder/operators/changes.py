@@ -48,7 +48,7 @@ def capture_price(sale_rows: DataFrame, store_product: DataFrame) -> DataFrame:
 
 
 def _first_reason(reasons: list[Column]) -> Column:
-    return F.element_at(F.filter(F.array(*reasons), lambda x: x.isNotNull()), 1)
+    return F.try_element_at(F.filter(F.array(*reasons), lambda x: x.isNotNull()), F.lit(1))
 
 
 def _flag_keys(rows: DataFrame, other: DataFrame, cols: list[str], flag: str) -> DataFrame:

@@ -48,7 +48,8 @@ SEQ_BLOCK = 1 << 16
 
 class Posting(NamedTuple):
     tables: Tables
-    receipts: DataFrame      # accepted carts: cart_id + check_table columns
+    receipts: DataFrame      # accepted carts: cart_id, seq + check_table columns
+    lines: DataFrame         # their sale lines (sale columns)
     rejects: DataFrame       # cart_id, reason
 
 
@@ -128,4 +129,4 @@ def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = S
         check_table=t["check_table"].unionByName(receipts.select(*SCHEMAS["check_table"].fieldNames())),
         sale=t["sale"].unionByName(sold),
     )
-    return Posting(new, receipts, rejects)
+    return Posting(new, receipts, sold, rejects)

@@ -21,3 +21,10 @@ SEARCH, SEARCH2 = "ring", "plate"
 MIN_PRICE, MAX_PRICE = 910, 950
 CATEGORIES = [1, 2, 3, 4, 5]
 STOCK_BOUND = 9000
+DUP_CHECK = "3"                     # its sale lines are appended twice in the unique-key check
+NEW_CARD_SEGMENT = "BUILDING"       # new cards issued to this market segment
+RICH_BALANCE = 9900                 # these customers' existing cards are issued again
+UPDATE_SEGMENT, ZERO_SEGMENT, UNKNOWN_SEGMENT = "AUTOMOBILE", "HOUSEHOLD", "MACHINERY"
+PURGE_BEFORE = "1995-07-01"         # receipts older than this are deleted
+SPARE_CATEGORY = 999
+REKEY_CATEGORY = 1

@@ -503,3 +503,391 @@ SELECT check_number, sum_total, CAST(sum_total * CAST(0.2 AS DECIMAL(1,1)) AS DE
 FROM check_table""")
 def _q(t):
     return chk.with_vat(t["check_table"]).select("check_number", "sum_total", "vat")
+
+
+# ------------------------------------------------------- integrity (W1*)
+# Planted rows (the driver data satisfies every rule): one product with no
+# name and an unknown category, one card with a too-long number and a zero
+# discount. The same rows are added in the SQL text.
+
+def _planted(t):
+    from larder.sources.tables import conform, replaced
+    spark = t["product"].sparkSession
+    one = spark.range(1)
+    bad_product = conform(one.select(
+        F.lit(-1).cast("long").alias("id_product"), F.lit(999).alias("category_number"),
+        F.lit(None).cast("string").alias("product_name"), F.lit("planted").alias("characteristics")), "product")
+    bad_card = conform(one.select(
+        F.lit("12345678901234").alias("card_number"), F.lit("Planted").alias("cust_surname"),
+        F.lit("Row").alias("cust_name"), F.lit("+380000000000").alias("phone_number"),
+        F.lit(0).alias("percent")), "customer_card")
+    return replaced(t, product=t["product"].unionByName(bad_product),
+                    customer_card=t["customer_card"].unionByName(bad_card))
+
+
+_PLANTED_VIEWS = """
+product_p AS (SELECT * FROM product UNION ALL
+  SELECT CAST(-1 AS BIGINT), 999, CAST(NULL AS VARCHAR), 'planted', CAST(NULL AS VARCHAR)),
+customer_card_p AS (SELECT * FROM customer_card UNION ALL
+  SELECT '12345678901234', 'Planted', 'Row', NULL, '+380000000000', NULL, NULL, NULL, 0)"""
+
+
+def _src(table: str) -> str:
+    return {"product": "product_p", "customer_card": "customer_card_p"}.get(table, table)
+
+
+def _key_sql(cols) -> str:
+    return "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+
+
+def _not_null_sql() -> str:
+    from larder.schemas import SPECS, TABLES
+    parts = []
+    for tname in TABLES:
+        spec = SPECS[tname]
+        k = _key_sql(spec.key)
+        for c in spec.required:
+            parts.append(f"SELECT '{tname}' AS table_name, {k} AS key, 'not_null:{c}' AS rule "
+                         f"FROM {_src(tname)} WHERE {c} IS NULL")
+        for c, n in spec.varchar.items():
+            parts.append(f"SELECT '{tname}' AS table_name, {k} AS key, 'too_long:{c}' AS rule "
+                         f"FROM {_src(tname)} WHERE length({c}) > {n}")
+    return "WITH " + _PLANTED_VIEWS + "\n" + "\nUNION ALL ".join(parts)
+
+
+def _unique_sql() -> str:
+    from larder.schemas import SPECS, TABLES
+    parts = []
+    for tname in TABLES:
+        spec = SPECS[tname]
+        src = "sale_p" if tname == "sale" else tname
+        for cols in [spec.key, *spec.unique]:
+            g = ", ".join(cols)
+            parts.append(f"SELECT '{tname}' AS table_name, {_key_sql(cols)} AS key, "
+                         f"'duplicate:{','.join(cols)}' AS rule, count(*) AS dup_count "
+                         f"FROM {src} GROUP BY {g} HAVING count(*) > 1")
+    return (f"WITH sale_p AS (SELECT * FROM sale UNION ALL SELECT * FROM sale WHERE check_number = '{P.DUP_CHECK}')\n"
+            + "\nUNION ALL ".join(parts))
+
+
+def _fk_sql() -> str:
+    from larder.schemas import FOREIGN_KEYS, SPECS
+    parts = []
+    for fk in FOREIGN_KEYS:
+        (c,), (pc,) = fk.columns, fk.parent_columns
+        parts.append(f"SELECT '{fk.child}' AS table_name, {_key_sql(SPECS[fk.child].key)} AS key, "
+                     f"'fk:{fk.name}' AS rule FROM {_src(fk.child)} x WHERE {c} IS NOT NULL "
+                     f"AND NOT EXISTS (SELECT 1 FROM {_src(fk.parent)} y WHERE y.{pc} = x.{c})")
+    return "WITH " + _PLANTED_VIEWS + "\n" + "\nUNION ALL ".join(parts)
+
+
+def _rules_sql() -> str:
+    from larder.schemas import RULES, SPECS
+    parts = []
+    for r in RULES:
+        cond = r.expr.replace("add_months({today}, -216)", f"(DATE '{P.AGE_TODAY}' - INTERVAL 18 YEAR)")
+        parts.append(f"SELECT '{r.table}' AS table_name, {_key_sql(SPECS[r.table].key)} AS key, "
+                     f"'check:{r.name}' AS rule FROM {_src(r.table)} WHERE NOT ({cond})")
+    return "WITH " + _PLANTED_VIEWS + "\n" + "\nUNION ALL ".join(parts)
+
+
+@register("violations_not_null", "W1a", _not_null_sql())
+def _q(t):
+    return integ.violations(_planted(t), kinds=("columns",))
+
+
+@register("violations_unique", "W1b", _unique_sql())
+def _q(t):
+    from larder.schemas import SPECS, TABLES
+    sale = t["sale"].unionByName(t["sale"].where(F.col("check_number") == P.DUP_CHECK))
+    out = None
+    for name in TABLES:
+        df = sale if name == "sale" else t[name]
+        for cols in [SPECS[name].key, *SPECS[name].unique]:
+            part = integ.check_unique(df, name, cols)
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("violations_fk", "W1c", _fk_sql())
+def _q(t):
+    return integ.violations(_planted(t), kinds=("fk",))
+
+
+@register("violations_check", "W1d", _rules_sql())
+def _q(t):
+    return integ.violations(_planted(t), kinds=("rules",), today=P.AGE_TODAY)
+
+
+# ----------------------------------------------------------- changes
+# Change sets come from the driver tables: new cards for one market segment
+# (negative balances ask for a 0 % discount and are refused) plus re-issued
+# existing cards of rich customers (duplicate keys).
+
+def _new_cards(t):
+    c = t["raw.customer"].join(t["raw.nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey").cast("string")
+    fresh = c.where(F.col("c_mktsegment") == P.NEW_CARD_SEGMENT).select(
+        "*", F.concat(F.lit("N"), key).alias("card_number"),
+        F.when(F.col("c_acctbal") < 0, F.lit(0)).otherwise(F.col("c_custkey") % 5 + 1).cast("int").alias("percent"))
+    again = c.where(F.col("c_acctbal") > P.RICH_BALANCE).select(
+        "*", key.alias("card_number"), (F.col("c_custkey") % 5 + 1).cast("int").alias("percent"))
+    return fresh.unionByName(again).select(
+        "card_number", F.col("c_name").alias("cust_surname"), F.lit("New").alias("cust_name"),
+        F.concat(F.lit("+380"), F.lpad(key, 9, "0")).alias("phone_number"),
+        F.col("n_name").alias("city"), "percent")
+
+
+_NEW_CARDS_SQL = f"""
+batch AS (
+  SELECT b.card_number, c.c_name AS cust_surname, 'New' AS cust_name, CAST(NULL AS VARCHAR) AS cust_patronymic,
+         '+380' || lpad(CAST(c.c_custkey AS VARCHAR), 9, '0') AS phone_number, n.n_name AS city,
+         CAST(NULL AS VARCHAR) AS street, CAST(NULL AS VARCHAR) AS zip_code, b.percent
+  FROM (SELECT 'N' || CAST(c_custkey AS VARCHAR) AS card_number, c_custkey,
+               CAST(CASE WHEN c_acctbal < 0 THEN 0 ELSE c_custkey % 5 + 1 END AS INTEGER) AS percent
+        FROM customer WHERE c_mktsegment = '{P.NEW_CARD_SEGMENT}'
+        UNION ALL
+        SELECT CAST(c_custkey AS VARCHAR), c_custkey, CAST(c_custkey % 5 + 1 AS INTEGER)
+        FROM customer WHERE c_acctbal > {P.RICH_BALANCE}) b
+  JOIN customer c ON c.c_custkey = b.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+judged AS (
+  SELECT *, CASE WHEN percent <= 0 THEN 'check:positive_percent'
+                 WHEN length(card_number) > 13 THEN 'too_long:card_number'
+                 WHEN card_number IN (SELECT card_number FROM customer_card) THEN 'duplicate_key:card_number'
+            END AS reason
+  FROM batch)"""
+
+
+def _insert(t):
+    return chg.apply_inserts(t, "customer_card", _new_cards(t))
+
+
+@register("insert_customers", "W2", "WITH" + _NEW_CARDS_SQL + """
+SELECT * FROM customer_card UNION ALL
+SELECT card_number, cust_surname, cust_name, cust_patronymic, phone_number, city, street, zip_code, percent
+FROM judged WHERE reason IS NULL""")
+def _q(t):
+    return _insert(t).tables["customer_card"]
+
+
+@register("insert_customers_rejects", "W2", "WITH" + _NEW_CARDS_SQL + """
+SELECT 'customer_card' AS table_name, card_number AS key, reason FROM judged WHERE reason IS NOT NULL""")
+def _q(t):
+    return _insert(t).rejects
+
+
+def _card_changes(t):
+    c = t["raw.customer"]
+    key = F.col("c_custkey").cast("string")
+    upd = c.where(F.col("c_mktsegment") == P.UPDATE_SEGMENT).select(
+        key.alias("card_number"), F.lit(5).alias("percent"), F.lit(None).cast("string").alias("city"))
+    zero = c.where((F.col("c_mktsegment") == P.ZERO_SEGMENT) & (F.col("c_acctbal") < 0)).select(
+        key.alias("card_number"), F.lit(0).alias("percent"), F.lit("Nowhere").alias("city"))
+    unknown = c.where(F.col("c_mktsegment") == P.UNKNOWN_SEGMENT).select(
+        F.concat(F.lit("X"), key).alias("card_number"), F.lit(2).alias("percent"),
+        F.lit(None).cast("string").alias("city"))
+    return upd.unionByName(zero).unionByName(unknown)
+
+
+_CARD_CHANGES_SQL = f"""
+ch AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS card_number, 5 AS percent, CAST(NULL AS VARCHAR) AS city
+  FROM customer WHERE c_mktsegment = '{P.UPDATE_SEGMENT}'
+  UNION ALL
+  SELECT CAST(c_custkey AS VARCHAR), 0, 'Nowhere' FROM customer
+  WHERE c_mktsegment = '{P.ZERO_SEGMENT}' AND c_acctbal < 0
+  UNION ALL
+  SELECT 'X' || CAST(c_custkey AS VARCHAR), 2, NULL FROM customer WHERE c_mktsegment = '{P.UNKNOWN_SEGMENT}'),
+merged AS (
+  SELECT k.card_number, k.cust_surname, k.cust_name, k.cust_patronymic, k.phone_number,
+         coalesce(ch.city, k.city) AS city, k.street, k.zip_code, coalesce(ch.percent, k.percent) AS percent,
+         CASE WHEN coalesce(ch.percent, k.percent) <= 0 THEN 'check:positive_percent' END AS reason
+  FROM customer_card k JOIN ch ON k.card_number = ch.card_number)"""
+
+
+def _update(t):
+    return chg.apply_updates(t, "customer_card", _card_changes(t))
+
+
+@register("update_customers", "W3", "WITH" + _CARD_CHANGES_SQL + """
+SELECT * FROM customer_card WHERE card_number NOT IN (SELECT card_number FROM merged WHERE reason IS NULL)
+UNION ALL
+SELECT card_number, cust_surname, cust_name, cust_patronymic, phone_number, city, street, zip_code, percent
+FROM merged WHERE reason IS NULL""")
+def _q(t):
+    return _update(t).tables["customer_card"]
+
+
+@register("update_customers_rejects", "W3", "WITH" + _CARD_CHANGES_SQL + """
+SELECT 'customer_card' AS table_name, card_number AS key, reason FROM merged WHERE reason IS NOT NULL
+UNION ALL
+SELECT 'customer_card', card_number, 'unknown_key' FROM ch
+WHERE card_number NOT IN (SELECT card_number FROM customer_card)""")
+def _q(t):
+    return _update(t).rejects
+
+
+def _old_checks(t):
+    return t["check_table"].where(F.col("print_date") < F.lit(P.PURGE_BEFORE).cast("timestamp_ntz")).select(
+        "check_number")
+
+
+@register("delete_checks_cascade", "W4", f"""
+SELECT * FROM sale WHERE check_number NOT IN (
+  SELECT check_number FROM check_table WHERE print_date < TIMESTAMP '{P.PURGE_BEFORE}')""")
+def _q(t):
+    return chg.apply_deletes(t, "check_table", _old_checks(t)).tables["sale"]
+
+
+@register("delete_checks_remaining", "W4", f"""
+SELECT * FROM check_table WHERE print_date >= TIMESTAMP '{P.PURGE_BEFORE}'""")
+def _q(t):
+    return chg.apply_deletes(t, "check_table", _old_checks(t)).tables["check_table"]
+
+
+@register("delete_categories_restrict", "W4", f"""
+WITH cat2 AS (SELECT * FROM category UNION ALL SELECT {P.SPARE_CATEGORY}, 'Brand#{P.SPARE_CATEGORY}')
+SELECT CAST(category_number AS VARCHAR) AS key,
+       CASE WHEN category_number IN (SELECT category_number FROM product) THEN 'referenced_by:product'
+            ELSE 'deleted' END AS outcome
+FROM cat2""")
+def _q(t):
+    from larder.sources.tables import replaced
+    spare = t["category"].sparkSession.range(1).select(
+        F.lit(P.SPARE_CATEGORY).alias("category_number"), F.lit(f"Brand#{P.SPARE_CATEGORY}").alias("category_name"))
+    t2 = replaced(t, category=t["category"].unionByName(spare))
+    res = chg.apply_deletes(t2, "category", t2["category"])
+    keys = t2["category"].select(F.col("category_number").cast("string").alias("key"))
+    return keys.join(res.rejects.select("key", "reason"), "key", "left").select(
+        "key", F.coalesce(F.col("reason"), F.lit("deleted")).alias("outcome"))
+
+
+def _rekey_map(t):
+    items = t["store_product"].join(
+        t["product"].where(F.col("category_number") == P.REKEY_CATEGORY).select("id_product"), "id_product", "left_semi")
+    return items.select(F.col("upc").alias("old_key"),
+                        F.concat(F.lit("X"), F.substring(F.col("upc"), 2, 11)).alias("new_key"))
+
+
+_REKEY_SQL = f"""
+m AS (SELECT sp.upc AS old_key, 'X' || substr(sp.upc, 2, 11) AS new_key FROM store_product sp
+      JOIN product p ON sp.id_product = p.id_product WHERE p.category_number = {P.REKEY_CATEGORY})"""
+
+
+@register("rekey_store_product", "W5", "WITH" + _REKEY_SQL + """
+SELECT coalesce(m.new_key, sp.upc) AS upc, sp.upc_prom, sp.id_product, sp.selling_price, sp.products_number,
+       sp.expire_date, sp.promotional_product
+FROM store_product sp LEFT JOIN m ON sp.upc = m.old_key""")
+def _q(t):
+    return chg.rekey(t, "store_product", _rekey_map(t)).tables["store_product"]
+
+
+@register("rekey_sale", "W5", "WITH" + _REKEY_SQL + """
+SELECT coalesce(m.new_key, s.upc) AS upc, s.check_number, s.product_number, s.selling_price
+FROM sale s LEFT JOIN m ON s.upc = m.old_key""")
+def _q(t):
+    return chg.rekey(t, "store_product", _rekey_map(t)).tables["sale"]
+
+
+# --------------------------------------------------------- promotion
+
+_PROMO_SQL = f"""
+cand AS (
+  SELECT sp.* FROM store_product sp
+  WHERE sp.products_number > 100 AND sp.expire_date < DATE '{P.TODAY}' + INTERVAL 5 DAY
+    AND NOT sp.promotional_product
+    AND sp.upc NOT IN (SELECT upc_prom FROM store_product WHERE upc_prom IS NOT NULL)
+    AND sp.id_product NOT IN (SELECT id_product FROM store_product WHERE promotional_product)
+    AND sp.id_product NOT IN (SELECT id_product FROM store_product WHERE NOT promotional_product
+                              GROUP BY id_product HAVING count(*) > 1))"""
+
+
+@register("promotion_candidates", "W6", "WITH" + _PROMO_SQL + """
+SELECT upc, id_product, products_number, expire_date FROM cand""")
+def _q(t):
+    return promo.promotion_candidates(t["store_product"], P.TODAY).select(
+        "upc", "id_product", "products_number", "expire_date")
+
+
+@register("promotion_rows", "W6", "WITH" + _PROMO_SQL + """
+SELECT upc AS upc_prom, id_product, CAST(selling_price * CAST(0.8 AS DECIMAL(1,1)) AS DECIMAL(13,4)) AS selling_price,
+       products_number, expire_date, TRUE AS promotional_product FROM cand""")
+def _q(t):
+    return promo.promotion_rows(promo.promotion_candidates(t["store_product"], P.TODAY))
+
+
+@register("promotion_stock", "W6", "WITH" + _PROMO_SQL + """
+SELECT upc AS item, promotional_product,
+       CASE WHEN upc IN (SELECT upc FROM cand) THEN 0 ELSE products_number END AS products_number
+FROM store_product
+UNION ALL
+SELECT upc, TRUE, products_number FROM cand""")
+def _q(t):
+    sp = promo.promotion_pass(t, P.TODAY).tables["store_product"]
+    return sp.select(F.coalesce("upc_prom", "upc").alias("item"), "promotional_product", "products_number")
+
+
+@register("promotion_keys", "W8", None)
+def _q(t):
+    return promo.promotion_pass(t, P.TODAY).new_rows.select("upc_prom", "upc")
+
+
+# ------------------------------------------------------- sale posting
+
+_POST_SQL = """
+a AS (
+  SELECT c.*, sp.selling_price, sp.products_number, u.id_employee, k.percent,
+         count(*) OVER (PARTITION BY c.cart_id, c.upc) AS dup
+  FROM cart_lines c LEFT JOIN store_product sp ON c.upc = sp.upc
+  LEFT JOIN user_table u ON c.user_id = u.user_id
+  LEFT JOIN customer_card k ON c.card_number = k.card_number),
+b AS (SELECT *, CASE
+    WHEN amount IS NULL OR amount <= 0 THEN 'bad_amount'
+    WHEN products_number IS NULL OR products_number < amount THEN 'insufficient_stock'
+    WHEN id_employee IS NULL THEN 'unknown_cashier'
+    WHEN card_number IS NOT NULL AND percent IS NULL THEN 'unknown_card'
+    WHEN dup > 1 THEN 'duplicate_upc' END AS bad FROM a),
+g AS (SELECT cart_id, min(bad) AS bad FROM b GROUP BY cart_id),
+r AS (SELECT b.*, g.bad AS cart_bad,
+        sum(CASE WHEN g.bad IS NULL THEN amount ELSE 0 END)
+          OVER (PARTITION BY upc ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run
+      FROM b JOIN g ON b.cart_id = g.cart_id),
+f AS (SELECT cart_id, max(cart_bad) AS cb,
+        max(CASE WHEN cart_bad IS NULL AND run > products_number THEN 1 ELSE 0 END) AS over_sold
+      FROM r GROUP BY cart_id),
+ok AS (SELECT r.* FROM r JOIN f ON r.cart_id = f.cart_id WHERE f.cb IS NULL AND f.over_sold = 0)"""
+
+
+@register("post_sales_totals", "W7", "WITH" + _POST_SQL + """,
+tot AS (SELECT cart_id, max(id_employee) AS id_employee, max(card_number) AS card_number,
+  CAST(CAST(sum(selling_price * amount) AS DECIMAL(18,4)) * CAST(1.2 AS DECIMAL(2,1))
+       * CAST(100 - coalesce(max(percent), 0) AS DECIMAL(3,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(13,4))
+    AS sum_total
+  FROM ok GROUP BY cart_id)
+SELECT cart_id, id_employee, card_number, sum_total,
+       CAST(sum_total * CAST(0.2 AS DECIMAL(1,1)) AS DECIMAL(13,4)) AS vat FROM tot""")
+def _q(t):
+    return post.post_sales(t, t["cart_lines"], P.NOW).receipts.select(
+        "cart_id", "id_employee", "card_number", "sum_total", "vat")
+
+
+@register("post_sales_stock", "W7", "WITH" + _POST_SQL + """
+SELECT sp.upc, CAST(sp.products_number - coalesce(u.used, 0) AS INTEGER) AS products_number
+FROM store_product sp LEFT JOIN (SELECT upc, sum(amount) AS used FROM ok GROUP BY upc) u ON sp.upc = u.upc""")
+def _q(t):
+    return post.post_sales(t, t["cart_lines"], P.NOW).tables["store_product"].select("upc", "products_number")
+
+
+@register("post_sales_rejects", "W7", "WITH" + _POST_SQL + """
+SELECT cart_id, CASE WHEN cb IS NOT NULL THEN cb ELSE 'insufficient_stock_batch' END AS reason
+FROM f WHERE cb IS NOT NULL OR over_sold = 1""")
+def _q(t):
+    return post.post_sales(t, t["cart_lines"], P.NOW).rejects
+
+
+@register("post_sales_lines", "W7", "WITH" + _POST_SQL + """
+SELECT upc, cart_id, amount AS product_number, selling_price FROM ok""")
+def _q(t):
+    res = post.post_sales(t, t["cart_lines"], P.NOW)
+    return res.lines.join(res.receipts.select("check_number", "cart_id"), "check_number").select(
+        "upc", "cart_id", "product_number", "selling_price")
