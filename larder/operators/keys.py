@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.sources.tables import materialize
+
 # Fixed formats from the source: UPCs are 12 characters of A-Z and 0-9,
 # receipt numbers 10 decimal digits.
 UPC_LENGTH, UPC_BASE = 12, 36
@@ -39,6 +41,9 @@ def assign_text_keys(rows: DataFrame, key: str, kind: str, natural: list[str],
     which with 36^12 or 10^10 key spaces is normally after round 0. Rows
     are never dropped: reaching ``max_rounds`` raises.
     """
+    # The loop runs one action per round; materialise the input once so a
+    # round never recomputes the plan that produced the rows.
+    rows = materialize(rows, f"{kind}-key-input")
     taken = taken.select(F.col(taken.columns[0]).alias(key))
     pending = rows
     done = None

@@ -39,7 +39,7 @@ from larder.functions.exprs import dec, money, ts, vat
 from larder.operators.changes import capture_price
 from larder.operators.keys import assign_text_keys
 from larder.schemas import SCHEMAS
-from larder.sources.tables import Tables, replaced
+from larder.sources.tables import Tables, materialize, replaced
 
 # Fixed values from the source: VAT added to goods, discount in percent.
 GROSS_FACTOR = "1.2"
@@ -75,25 +75,34 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
     sp = t["store_product"].select("upc", "selling_price", "products_number")
     users = t["user_table"].select("user_id", "id_employee")
     cards = t["customer_card"].select("card_number", "percent")
-    dups = (lines.groupBy("cart_id", "upc").agg(F.count(F.lit(1)).alias("_dup"))
-            .where(F.col("_dup") > 1))
-    a = (lines.join(sp, "upc", "left").join(users, "user_id", "left").join(cards, "card_number", "left")
-         .join(dups, ["cart_id", "upc"], "left"))
+    # Lines of one UPC in one cart: a window over (cart, UPC) groups, which
+    # hold a handful of rows at most; the input is scanned once.
+    same = Window.partitionBy("cart_id", "upc")
+    a = (lines.withColumn("_dup", F.count(F.lit(1)).over(same))
+         .join(sp, "upc", "left").join(users, "user_id", "left").join(cards, "card_number", "left"))
     bad = (F.when(F.col("amount").isNull() | (F.col("amount") <= 0), F.lit("bad_amount"))
            .when(F.col("products_number").isNull() | (F.col("products_number") < F.col("amount")),
                  F.lit("insufficient_stock"))
            .when(F.col("id_employee").isNull(), F.lit("unknown_cashier"))
            .when(F.col("card_number").isNotNull() & F.col("percent").isNull(), F.lit("unknown_card"))
-           .when(F.col("_dup").isNotNull(), F.lit("duplicate_upc")))
+           .when(F.col("_dup") > 1, F.lit("duplicate_upc")))
     return a.withColumn("bad", bad).drop("_dup")
 
 
 def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = SEQ_BLOCK) -> Posting:
-    b = judge_lines(t, lines)
+    """Post a batch of carts; see the module text for the rules.
+
+    The judged lines and the lines with their running sum are each read by
+    several branches (per-cart verdicts, stock use, receipts, sale lines),
+    so both are written once to the session's shared checkpoint folder:
+    the lookups run once, and a lost executor resumes from the written
+    files instead of the whole lineage.
+    """
+    b = materialize(judge_lines(t, lines), "posting-judged")
     cart_bad = b.groupBy("cart_id").agg(F.min("bad").alias("cart_bad"))
     r = b.join(cart_bad, "cart_id").withColumn(
         "_take", F.when(F.col("cart_bad").isNull(), F.col("amount")).otherwise(F.lit(0)))
-    r = running_sum(r, "upc", "seq", "_take", "run", block)
+    r = materialize(running_sum(r, "upc", "seq", "_take", "run", block), "posting-run")
     f = r.groupBy("cart_id").agg(
         F.max("cart_bad").alias("cb"),
         F.max(F.when(F.col("cart_bad").isNull() & (F.col("run") > F.col("products_number")), 1)
@@ -101,7 +110,7 @@ def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = S
     verdict = f.select("cart_id", F.when(F.col("cb").isNotNull(), F.col("cb"))
                        .when(F.col("over_sold") == 1, F.lit("insufficient_stock_batch")).alias("reason"))
     rejects = verdict.where(F.col("reason").isNotNull())
-    ok_lines = b.join(verdict.where(F.col("reason").isNull()).select("cart_id"), "cart_id", "left_semi")
+    ok_lines = r.join(verdict.where(F.col("reason").isNull()).select("cart_id"), "cart_id", "left_semi")
 
     carts = ok_lines.groupBy("cart_id").agg(
         F.min("seq").alias("seq"),

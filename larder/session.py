@@ -42,6 +42,26 @@ def build_session(master: str | None = None, app: str = "larder",
     return spark
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder.
+
+    Taken from ``spark.checkpoint.dir`` (or the SparkContext). Only a local
+    session without one gets a folder under the system temp dir; a cluster
+    session without one is an error (a machine-local folder would not
+    survive the loss of the machine).
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if conf:
+        return checkpoint_dir(spark)
+    if sc.master.startswith("local"):
+        import tempfile
+        return checkpoint_dir(spark, os.path.join(tempfile.gettempdir(), "larder-checkpoints"))
+    raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Shared folder for checkpoints and published table versions.
 

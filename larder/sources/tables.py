@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +84,20 @@ def publish_tables(tables: Mapping[str, DataFrame], root: str, names=None) -> st
     for n in (names or list(tables)):
         tables[n].write.mode("errorifexists").parquet(os.path.join(root, n))
     return root
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as parquet under the session's shared checkpoint
+    folder and return a scan of it.
+
+    Cuts the lineage (a lost executor resumes from these files) and lets
+    several branches of a plan read one result. Unlike
+    ``DataFrame.checkpoint`` it is a single job (no second pass to write an
+    unpersisted RDD), and the written columns can be pruned and filtered.
+    """
+    from larder.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = os.path.join(root, "larder", f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
