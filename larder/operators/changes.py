@@ -112,6 +112,10 @@ def _validate(t: Tables, table: str, rows: DataFrame, existing: DataFrame | None
     return rows.withColumn("_reason", _first_reason(reasons)).drop(*flags)
 
 
+def _ordered(df: DataFrame, table: str) -> DataFrame:
+    return df.select(*SCHEMAS[table].fieldNames())
+
+
 def _rejects(table: str, bad: DataFrame) -> DataFrame:
     return bad.select(F.lit(table).alias("table_name"), key_text(SPECS[table].key).alias("key"),
                       F.col("_reason").alias("reason"))
@@ -194,7 +198,7 @@ def apply_updates(t: Tables, table: str, changes: DataFrame, today=None) -> Chan
     new = kept_old.unionByName(good.select(*SCHEMAS[table].fieldNames()))
     rejects = _rejects(table, bad).unionByName(
         unknown.select(F.lit(table).alias("table_name"), key_text(key).alias("key"), F.lit("unknown_key").alias("reason")))
-    return Change(replaced(t, **{table: new}), rejects)
+    return Change(replaced(t, **{table: _ordered(new, table)}), rejects)
 
 
 def apply_deletes(t: Tables, table: str, keys: DataFrame) -> Change:
@@ -224,13 +228,13 @@ def apply_deletes(t: Tables, table: str, keys: DataFrame) -> Change:
         gone = req.join(blocked.select(*key), key, "left_anti")
     else:
         gone = req
-    updates = {table: existing.join(gone, key, "left_anti")}
+    updates = {table: _ordered(existing.join(gone, key, "left_anti"), table)}
     for fk in references_to(table):
         child_name = fk.child
         child = updates.get(child_name, t[child_name])
         dead = gone.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)])
         if fk.on_delete == "CASCADE":
-            updates[child_name] = child.join(dead, list(fk.columns), "left_anti")
+            updates[child_name] = _ordered(child.join(dead, list(fk.columns), "left_anti"), child_name)
         elif fk.on_delete == "SET NULL":
             hit = dead.withColumn("_hit", F.lit(True))
             j = child.join(hit, list(fk.columns), "left")
