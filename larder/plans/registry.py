@@ -891,3 +891,23 @@ def _q(t):
     res = post.post_sales(t, t["cart_lines"], P.NOW)
     return res.lines.join(res.receipts.select("check_number", "cart_id"), "check_number").select(
         "upc", "cart_id", "product_number", "selling_price")
+
+
+@register("post_sales_stream_totals", "W7-stream", QUERIES["post_sales_totals"].sql)
+def _q(t):
+    # The open line items as a folder of carts, posted by the streaming
+    # query (availableNow: the folder is one micro-batch, so the result is
+    # the batch posting's).
+    import os
+    import uuid
+
+    from larder.session import ensure_checkpoint_dir
+    from larder.streaming.posting import CART_SCHEMA, carts_of, post_sales_stream, read_output
+    spark = t["store_product"].sparkSession
+    root = os.path.join(ensure_checkpoint_dir(spark), "larder", f"stream-{uuid.uuid4().hex}")
+    carts_of(t["cart_lines"], P.NOW).write.parquet(os.path.join(root, "in"))
+    stream = spark.readStream.schema(CART_SCHEMA).parquet(os.path.join(root, "in"))
+    q = post_sales_stream(stream, t, os.path.join(root, "out"), os.path.join(root, "state"))
+    q.awaitTermination()
+    return read_output(spark, os.path.join(root, "out"), "receipts").select(
+        "cart_id", "id_employee", "card_number", "sum_total", "vat")
