@@ -74,6 +74,8 @@ def check_lines_price_compare(t: Tables, check: str) -> DataFrame:
 
 def check_lines(t: Tables, check: str) -> DataFrame:
     """Lines of one receipt: product id and name, UPC, price paid, units."""
+    if check is None:
+        raise ValueError("check lines need a check number")
     c = t["check_table"].where(F.col("check_number") == check).select("check_number")
     s = t["sale"].where(F.col("check_number") == check)
     return (c.join(s, "check_number")

@@ -37,11 +37,18 @@ def column_failures(table: str) -> list[tuple[str, Column]]:
 
 
 def check_columns(df: DataFrame, table: str) -> DataFrame:
-    """NOT NULL and VARCHAR(n) length, all rules in one pass."""
-    fails = [F.when(cond, F.lit(name)) for name, cond in column_failures(table)]
-    named = df.select("*", F.filter(F.array(*fails), lambda x: x.isNotNull()).alias("_fails"))
-    return _report(named.where(F.size("_fails") > 0).select("*", F.explode("_fails").alias("_rule")),
-                   table, F.col("_rule"))
+    """NOT NULL and VARCHAR(n) length, all rules in one pass.
+
+    One predicate (any rule fails) filters the scan; only failing rows are
+    expanded to one report row per broken rule.
+    """
+    rules = column_failures(table)
+    any_fail = F.lit(False)
+    for _, cond in rules:
+        any_fail = any_fail | F.coalesce(cond, F.lit(False))
+    bad = df.where(any_fail)
+    named = bad.select("*", F.explode(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules])).alias("_rule"))
+    return _report(named.where(F.col("_rule").isNotNull()), table, F.col("_rule"))
 
 
 def check_unique(df: DataFrame, table: str, cols=None) -> DataFrame:

@@ -2,7 +2,8 @@
 stock changes, all-or-nothing per cart.
 
 Input: cart lines ``(seq, cart_id, user_id, card_number, upc, amount)``;
-``seq`` orders carts (arrival). Per cart, the first failing rule (by
+``seq`` orders carts (arrival); seq, user and card are cart attributes,
+equal on all lines of a cart. Per cart, the first failing rule (by
 reason name) rejects it:
 
 * ``bad_amount``          - an amount <= 0 (the source has no such test);
@@ -44,6 +45,19 @@ from larder.sources.tables import Tables, materialize, replaced
 # Fixed values from the source: VAT added to goods, discount in percent.
 GROSS_FACTOR = "1.2"
 SEQ_BLOCK = 1 << 16
+# Reject reasons, in the order a cart reports them (its first by name).
+# Carried as codes 1..n so per-cart aggregation stays in a hash aggregate
+# (min/max over text would fall back to a sort-based one).
+REASONS = ("bad_amount", "duplicate_upc", "insufficient_stock", "unknown_card", "unknown_cashier",
+           "insufficient_stock_batch")
+
+
+def _code(name: str) -> int:
+    return REASONS.index(name) + 1
+
+
+def reason_name(code):
+    return F.when(code.isNotNull(), F.element_at(F.array(*[F.lit(r) for r in REASONS]), code))
 
 
 class Posting(NamedTuple):
@@ -80,12 +94,12 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
     same = Window.partitionBy("cart_id", "upc")
     a = (lines.withColumn("_dup", F.count(F.lit(1)).over(same))
          .join(sp, "upc", "left").join(users, "user_id", "left").join(cards, "card_number", "left"))
-    bad = (F.when(F.col("amount").isNull() | (F.col("amount") <= 0), F.lit("bad_amount"))
+    bad = (F.when(F.col("amount").isNull() | (F.col("amount") <= 0), _code("bad_amount"))
            .when(F.col("products_number").isNull() | (F.col("products_number") < F.col("amount")),
-                 F.lit("insufficient_stock"))
-           .when(F.col("id_employee").isNull(), F.lit("unknown_cashier"))
-           .when(F.col("card_number").isNotNull() & F.col("percent").isNull(), F.lit("unknown_card"))
-           .when(F.col("_dup") > 1, F.lit("duplicate_upc")))
+                 _code("insufficient_stock"))
+           .when(F.col("id_employee").isNull(), _code("unknown_cashier"))
+           .when(F.col("card_number").isNotNull() & F.col("percent").isNull(), _code("unknown_card"))
+           .when(F.col("_dup") > 1, _code("duplicate_upc")))
     return a.withColumn("bad", bad).drop("_dup")
 
 
@@ -108,14 +122,13 @@ def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = S
         F.max(F.when(F.col("cart_bad").isNull() & (F.col("run") > F.col("products_number")), 1)
               .otherwise(0)).alias("over_sold"))
     verdict = f.select("cart_id", F.when(F.col("cb").isNotNull(), F.col("cb"))
-                       .when(F.col("over_sold") == 1, F.lit("insufficient_stock_batch")).alias("reason"))
-    rejects = verdict.where(F.col("reason").isNotNull())
-    ok_lines = r.join(verdict.where(F.col("reason").isNull()).select("cart_id"), "cart_id", "left_semi")
+                       .when(F.col("over_sold") == 1, F.lit(_code("insufficient_stock_batch"))).alias("code"))
+    rejects = verdict.where(F.col("code").isNotNull()).select("cart_id", reason_name(F.col("code")).alias("reason"))
+    ok_lines = r.join(verdict.where(F.col("code").isNull()).select("cart_id"), "cart_id", "left_semi")
 
-    carts = ok_lines.groupBy("cart_id").agg(
+    # Cashier and card are the same on every line of a cart: grouping keys.
+    carts = ok_lines.groupBy("cart_id", "id_employee", "card_number").agg(
         F.min("seq").alias("seq"),
-        F.max("id_employee").alias("id_employee"),
-        F.max("card_number").alias("card_number"),
         F.coalesce(F.max("percent"), F.lit(0)).alias("percent"),
         F.sum(F.col("selling_price") * F.col("amount")).cast("decimal(18,4)").alias("goods"))
     total = money(F.col("goods") * dec(GROSS_FACTOR)

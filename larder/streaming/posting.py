@@ -45,9 +45,8 @@ def carts_of(lines: DataFrame, arrived_at) -> DataFrame:
     as one message; the array holds one transaction's lines (bounded by the
     till), never a group that grows with the data.
     """
-    return lines.groupBy("cart_id").agg(
-        F.min("seq").alias("seq"), F.max("user_id").alias("user_id"), F.max("card_number").alias("card_number"),
-        F.collect_list(F.struct("upc", "amount")).alias("lines")).withColumn(
+    return lines.groupBy("cart_id", "user_id", "card_number").agg(
+        F.min("seq").alias("seq"), F.collect_list(F.struct("upc", "amount")).alias("lines")).withColumn(
         "arrived_at", F.lit(arrived_at).cast("timestamp"))
 
 
