@@ -37,29 +37,27 @@ def assign_text_keys(rows: DataFrame, key: str, kind: str, natural: list[str],
     Round r tries salt r for the rows still without a key. A key that is
     already taken, or drawn by two rows of the batch, is retried with the
     next salt (in-batch ties keep the key for the smallest natural key).
-    Each round is one semi/anti join; the loop ends when no row is left,
-    which with 36^12 or 10^10 key spaces is normally after round 0. Rows
-    are never dropped: reaching ``max_rounds`` raises.
+    Each round is one anti join against the taken keys (only key columns
+    are shuffled) plus a window over equal keys (groups of one or two
+    rows); its winners are written once to the checkpoint folder, so the
+    emptiness test and every later reader see the same keys without
+    recomputing them. With 36^12 or 10^10 keys the loop normally ends after
+    round 0. Rows are never dropped: reaching ``max_rounds`` raises.
     """
-    # The loop runs one action per round; materialise the input once so a
-    # round never recomputes the plan that produced the rows.
-    rows = materialize(rows, f"{kind}-key-input")
+    pending = materialize(rows, f"{kind}-key-input")
     taken = taken.select(F.col(taken.columns[0]).alias(key))
-    pending = rows
     done = None
     for salt in range(max_rounds):
-        cand = pending.withColumn(key, hashed_key(natural, kind, salt))
-        cand = cand.join(taken, key, "left_anti")
-        first = Window.partitionBy(key).orderBy(*[F.col(c) for c in natural])
-        ranked = cand.withColumn("_r", F.row_number().over(first))
-        won = ranked.where(F.col("_r") == 1).drop("_r")
+        cand = pending.withColumn(key, hashed_key(natural, kind, salt)).join(taken, key, "left_anti")
         if done is not None:
-            won = won.join(done.select(key), key, "left_anti")
+            cand = cand.join(done.select(key), key, "left_anti")
+        first = Window.partitionBy(key).orderBy(*[F.col(c) for c in natural])
+        won = materialize(cand.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).drop("_r"),
+                          f"{kind}-keys-{salt}")
         done = won if done is None else done.unionByName(won)
-        pending = rows.join(done.select(*natural), natural, "left_anti")
+        pending = pending.join(won.select(*natural), natural, "left_anti")
         if pending.isEmpty():
             return done
-        taken = taken.unionByName(done.select(key))
     raise RuntimeError(f"could not assign {kind} keys in {max_rounds} rounds")
 
 

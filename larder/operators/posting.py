@@ -37,7 +37,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import dec, money, ts, vat
-from larder.operators.changes import capture_price
 from larder.operators.keys import assign_text_keys
 from larder.schemas import SCHEMAS
 from larder.sources.tables import Tables, materialize, replaced
@@ -100,7 +99,12 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
            .when(F.col("id_employee").isNull(), _code("unknown_cashier"))
            .when(F.col("card_number").isNotNull() & F.col("percent").isNull(), _code("unknown_card"))
            .when(F.col("_dup") > 1, _code("duplicate_upc")))
-    return a.withColumn("bad", bad).drop("_dup")
+    # The cart's verdict is its smallest line code, over a window of the
+    # cart's lines (a cart is one till transaction, so the window holds a
+    # bounded group); no aggregate is joined back, so no broadcast of
+    # per-cart results and no second pass over the lines.
+    cart = Window.partitionBy("cart_id")
+    return a.withColumn("bad", bad).drop("_dup").withColumn("cart_bad", F.min("bad").over(cart))
 
 
 def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = SEQ_BLOCK) -> Posting:
@@ -113,18 +117,16 @@ def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = S
     files instead of the whole lineage.
     """
     b = materialize(judge_lines(t, lines), "posting-judged")
-    cart_bad = b.groupBy("cart_id").agg(F.min("bad").alias("cart_bad"))
-    r = b.join(cart_bad, "cart_id").withColumn(
-        "_take", F.when(F.col("cart_bad").isNull(), F.col("amount")).otherwise(F.lit(0)))
-    r = materialize(running_sum(r, "upc", "seq", "_take", "run", block), "posting-run")
-    f = r.groupBy("cart_id").agg(
-        F.max("cart_bad").alias("cb"),
-        F.max(F.when(F.col("cart_bad").isNull() & (F.col("run") > F.col("products_number")), 1)
-              .otherwise(0)).alias("over_sold"))
-    verdict = f.select("cart_id", F.when(F.col("cb").isNotNull(), F.col("cb"))
-                       .when(F.col("over_sold") == 1, F.lit(_code("insufficient_stock_batch"))).alias("code"))
-    rejects = verdict.where(F.col("code").isNotNull()).select("cart_id", reason_name(F.col("code")).alias("reason"))
-    ok_lines = r.join(verdict.where(F.col("code").isNull()).select("cart_id"), "cart_id", "left_semi")
+    r = b.withColumn("_take", F.when(F.col("cart_bad").isNull(), F.col("amount")).otherwise(F.lit(0)))
+    over = F.when(F.col("cart_bad").isNull() & (F.col("run") > F.col("products_number")), 1).otherwise(0)
+    r = materialize(running_sum(r, "upc", "seq", "_take", "run", block)
+                    .withColumn("cart_over", F.max(over).over(Window.partitionBy("cart_id"))), "posting-run")
+    # Every line carries its cart's verdict, so rejects and accepted lines
+    # are plain filters (no per-cart result is joined back).
+    code = F.coalesce(F.col("cart_bad"), F.when(F.col("cart_over") == 1, F.lit(_code("insufficient_stock_batch"))))
+    rejects = (r.where(code.isNotNull()).select("cart_id", code.alias("code")).distinct()
+               .select("cart_id", reason_name(F.col("code")).alias("reason")))
+    ok_lines = r.where(code.isNull())
 
     # Cashier and card are the same on every line of a cart: grouping keys.
     carts = ok_lines.groupBy("cart_id", "id_employee", "card_number").agg(
@@ -139,9 +141,9 @@ def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = S
     existing = t["check_table"].select("check_number")
     receipts = assign_text_keys(receipts, "check_number", "check", ["cart_id"], existing)
 
+    # The captured price (J13) is the store price the lines were judged with.
     sold = ok_lines.join(receipts.select("cart_id", "check_number"), "cart_id").select(
-        "upc", "check_number", F.col("amount").cast("int").alias("product_number"))
-    sold = capture_price(sold, t["store_product"])
+        "upc", "check_number", F.col("amount").cast("int").alias("product_number"), "selling_price")
     used = ok_lines.groupBy("upc").agg(F.sum("amount").alias("_used"))
     sp = t["store_product"].join(used, "upc", "left").withColumn(
         "products_number", (F.col("products_number") - F.coalesce(F.col("_used"), F.lit(0))).cast("int"))
