@@ -181,10 +181,11 @@ def divide(candidates: DataFrame, required: DataFrame, facts: DataFrame, by: lis
     required count is a one-row scalar subquery; no pairs are built. An
     empty divisor returns every candidate.
     """
-    req = required.select(*over).distinct()
-    n_req = req.agg(F.count(F.lit(1))).scalar()
-    got = (facts.select(*by, *over).distinct()
-           .join(req, over, "left_semi")
+    req = required.select(*over)
+    n_req = req.distinct().agg(F.count(F.lit(1))).scalar()
+    # The semi join needs no distinct divisor; Catalyst pushes it below the
+    # distinct and below joins inside ``facts``, down to the fact scan.
+    got = (facts.select(*by, *over).join(req, over, "left_semi").distinct()
            .groupBy(*by).agg(F.count(F.lit(1)).alias("_n")))
     return (candidates.join(got, by, "left")
             .where(F.coalesce(F.col("_n"), F.lit(0)) == n_req)
@@ -197,10 +198,7 @@ def sold_every_product(t: Tables, required: DataFrame | None = None) -> DataFram
     ``required`` defaults to all of store_product (the source's question).
     """
     req = (required if required is not None else t["store_product"]).select("upc")
-    # Only lines of required UPCs can count; drop the rest before the
-    # line -> receipt join (the big join of this report).
-    lines = t["sale"].select("upc", "check_number").join(req.distinct(), "upc", "left_semi")
-    facts = lines.join(t["check_table"].select("check_number", "id_employee"), "check_number").select(
-        "id_employee", "upc")
+    facts = t["sale"].select("upc", "check_number").join(
+        t["check_table"].select("check_number", "id_employee"), "check_number").select("id_employee", "upc")
     cands = t["employee"].select("id_employee", "empl_surname").distinct()
     return divide(cands, req, facts, ["id_employee"], ["upc"])
