@@ -111,12 +111,24 @@ SORT_OPTIONS = {
 }
 
 
-def sort_key(sort: str | None, default: str = "product_name") -> list[Column]:
+TEXT_SORT_COLUMNS = {"product_name", "category_name", "empl_surname", "cust_surname"}
+
+
+def ordered(name: str, asc: bool = True, collation: str | None = None) -> Column:
+    """Sort column; text columns may use a collation ('UNICODE' sorts
+    'apple' before 'Banana', the default compares bytes)."""
+    c = F.col(name)
+    if collation and name in TEXT_SORT_COLUMNS:
+        c = F.collate(c, collation)
+    return c.asc() if asc else c.desc()
+
+
+def sort_key(sort: str | None, default: str = "product_name", collation: str | None = None) -> list[Column]:
     """Sort option -> columns; unknown options sort by stock ascending."""
     if not sort:
-        return [F.col(default).asc()]
+        return [ordered(default, True, collation)]
     name, asc = SORT_OPTIONS.get(sort, ("products_number", True))
-    return [F.col(name).asc() if asc else F.col(name).desc()]
+    return [ordered(name, asc, collation)]
 
 
 def parse_id_list(text: str | None, cast=int) -> list | None:

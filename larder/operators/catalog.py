@@ -12,24 +12,26 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.exprs import display_price, original_price, sort_key
+from larder.functions.exprs import display_price, ordered, original_price, sort_key
 
 Tables = Mapping[str, DataFrame]
 
 
-def categories(t: Tables) -> DataFrame:
+def categories(t: Tables, collation: str | None = None) -> DataFrame:
     """Categories by name."""
-    return t["category"].select("category_number", "category_name").orderBy("category_name", "category_number")
+    return t["category"].select("category_number", "category_name").orderBy(
+        ordered("category_name", True, collation), "category_number")
 
 
-def product_names(t: Tables) -> DataFrame:
+def product_names(t: Tables, collation: str | None = None) -> DataFrame:
     """Product id and name, by name."""
-    return t["product"].select("id_product", "product_name").orderBy("product_name", "id_product")
+    return t["product"].select("id_product", "product_name").orderBy(
+        ordered("product_name", True, collation), "id_product")
 
 
-def products(t: Tables) -> DataFrame:
+def products(t: Tables, collation: str | None = None) -> DataFrame:
     """All product columns, by name (no category join)."""
-    return t["product"].orderBy("product_name", "id_product")
+    return t["product"].orderBy(ordered("product_name", True, collation), "id_product")
 
 
 def product_by_name(t: Tables, name: str) -> DataFrame:
@@ -103,7 +105,7 @@ def with_presentation_prices(df: DataFrame) -> DataFrame:
 
 def catalog(t: Tables, search: str | None = None, promo: bool | None = None,
             min_price=None, max_price=None, categories: list[int] | None = None,
-            in_stock: bool = False, sort: str | None = "products-asc") -> DataFrame:
+            in_stock: bool = False, sort: str | None = "products-asc", collation: str | None = None) -> DataFrame:
     """The shop catalog with optional filters; in-stock rows first.
 
     J5a search: if any product (stocked or not) has a name containing the
@@ -130,7 +132,7 @@ def catalog(t: Tables, search: str | None = None, promo: bool | None = None,
     cols = ["upc", "upc_prom", "id_product", "selling_price", "products_number", "expire_date",
             "promotional_product", "product_name", "category_name", "picture"]
     df = with_presentation_prices(df.select(*cols))
-    return df.orderBy((F.col("products_number") == 0).asc(), *sort_key(sort), F.col("upc").asc())
+    return df.orderBy((F.col("products_number") == 0).asc(), *sort_key(sort, collation=collation), F.col("upc").asc())
 
 
 def store_products_raw(t: Tables) -> DataFrame:
@@ -138,14 +140,15 @@ def store_products_raw(t: Tables) -> DataFrame:
     return with_presentation_prices(t["store_product"])
 
 
-def store_products(t: Tables, promo: bool | None = None, sort: str | None = None) -> DataFrame:
+def store_products(t: Tables, promo: bool | None = None, sort: str | None = None,
+                   collation: str | None = None) -> DataFrame:
     """Stocked items with product and category names."""
     df = _store_join(t)
     if promo is not None:
         df = df.where(F.col("promotional_product") == F.lit(bool(promo)))
     cols = ["upc", "upc_prom", "id_product", "selling_price", "products_number", "expire_date",
             "promotional_product", "product_name", "category_name"]
-    return with_presentation_prices(df.select(*cols)).orderBy(*sort_key(sort), F.col("upc").asc())
+    return with_presentation_prices(df.select(*cols)).orderBy(*sort_key(sort, collation=collation), F.col("upc").asc())
 
 
 def store_product(t: Tables, upc: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.exprs import ordered
+
 Tables = Mapping[str, DataFrame]
 
 
@@ -15,12 +17,12 @@ def card_percents(t: Tables) -> DataFrame:
     return t["customer_card"].select("card_number", "cust_surname", "percent")
 
 
-def employees(t: Tables, role: str | None = None) -> DataFrame:
+def employees(t: Tables, role: str | None = None, collation: str | None = None) -> DataFrame:
     """P5: employees by surname, optionally with one exact role."""
     df = t["employee"]
     if role is not None:
         df = df.where(F.col("empl_role") == role)
-    return df.orderBy("empl_surname", "id_employee")
+    return df.orderBy(ordered("empl_surname", True, collation), "id_employee")
 
 
 def employee_contact(t: Tables, surname: str) -> DataFrame:
@@ -33,14 +35,15 @@ def employee(t: Tables, id_employee: str) -> DataFrame:
     return t["employee"].where(F.col("id_employee") == id_employee)
 
 
-def customers(t: Tables, percent: int | None = None, surname: str | None = None) -> DataFrame:
+def customers(t: Tables, percent: int | None = None, surname: str | None = None,
+              collation: str | None = None) -> DataFrame:
     """Cards by surname, optionally with a percent or exact surname."""
     df = t["customer_card"]
     if percent is not None:
         df = df.where(F.col("percent") == int(percent))
     if surname is not None:
         df = df.where(F.col("cust_surname") == surname)
-    return df.orderBy("cust_surname", "card_number")
+    return df.orderBy(ordered("cust_surname", True, collation), "card_number")
 
 
 def user_employee(t: Tables, user_id: int | None = None) -> DataFrame:

@@ -97,3 +97,11 @@ def test_check_lines_and_report(seed):
     assert rep.count() == 5 + 9 - 1 and set(names(rep, "check_number")) == {"100001", "100002"}
     with pytest.raises(ValueError):
         chk.check_lines(seed, None)
+
+
+def test_unicode_collation_option(spark, seed):
+    from larder.sources.tables import replaced
+    extra = spark.createDataFrame([(6, "apple sweets")], "category_number int, category_name string")
+    t = replaced(seed, category=seed["category"].unionByName(extra))
+    assert names(cat.categories(t), "category_name")[-1] == "apple sweets"          # bytes: lower case last
+    assert names(cat.categories(t, collation="UNICODE"), "category_name")[0] == "apple sweets"
