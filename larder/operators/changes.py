@@ -23,7 +23,7 @@ from larder.functions.exprs import vat
 from larder.operators.integrity import column_failures, key_text
 from larder.operators.keys import assign_serial
 from larder.schemas import FOREIGN_KEYS, RULES, SCHEMAS, SPECS, references_from, references_to
-from larder.sources.tables import Tables, conform, replaced
+from larder.sources.tables import Tables, conform, materialize, replaced
 
 REJECT_COLUMNS = ("table_name", "key", "reason")
 
@@ -142,7 +142,11 @@ def apply_inserts(t: Tables, table: str, rows: DataFrame, today=None, order: lis
         rows = rows.withColumn("vat", vat(F.col("sum_total")))
     if table == "sale":
         rows = capture_price(rows, t["store_product"])
-    checked = _validate(t, table, rows, existing, today)
+    # The batch meets several key and reference lookups; the judged batch
+    # is written once, so the accepted and rejected halves (and every later
+    # reader) do not redo them.
+    checked = materialize(_validate(t, table, materialize(rows, f"insert-{table}"), existing, today),
+                          f"insert-{table}-checked")
     good = checked.where(F.col("_reason").isNull()).drop("_reason")
     bad = checked.where(F.col("_reason").isNotNull())
     return Change(replaced(t, **{table: existing.unionByName(good)}), _rejects(table, bad))
@@ -175,7 +179,7 @@ def apply_updates(t: Tables, table: str, changes: DataFrame, today=None) -> Chan
     existing = t[table]
     fields = [c for c in UPDATABLE[table] if c in changes.columns]
     ch = changes.select(*key, *[F.col(c).cast(SCHEMAS[table][c].dataType).alias(c) for c in fields])
-    ch = _flag_batch_duplicates(ch, key, "_dupc")
+    ch = materialize(_flag_batch_duplicates(ch, key, "_dupc"), f"update-{table}")
     unknown = ch.join(existing.select(*key), key, "left_anti")
     known = ch.join(existing.select(*key), key, "left_semi")
     old = existing.alias("o")
@@ -188,10 +192,12 @@ def apply_updates(t: Tables, table: str, changes: DataFrame, today=None) -> Chan
         merged = merged.withColumn("vat", vat(F.col("sum_total")))
     if table == "sale":
         merged = capture_price(merged, t["store_product"]).join(merged.select(*key, "_dupc"), key)
+    merged = materialize(merged, f"update-{table}-merged")
     others = existing.join(merged.select(*key), key, "left_anti")
     checked = _validate(t, table, merged.drop("_dupc"), others, today)
     checked = checked.join(merged.select(*key, "_dupc").distinct(), key).withColumn(
         "_reason", F.when(F.col("_dupc"), F.lit("duplicate_in_batch")).otherwise(F.col("_reason"))).drop("_dupc")
+    checked = materialize(checked, f"update-{table}-checked")
     good = checked.where(F.col("_reason").isNull()).drop("_reason")
     bad = checked.where(F.col("_reason").isNotNull())
     kept_old = existing.join(good.select(*key), key, "left_anti")

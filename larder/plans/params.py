@@ -28,3 +28,6 @@ UPDATE_SEGMENT, ZERO_SEGMENT, UNKNOWN_SEGMENT = "AUTOMOBILE", "HOUSEHOLD", "MACH
 PURGE_BEFORE = "1995-07-01"         # receipts older than this are deleted
 SPARE_CATEGORY = 999
 REKEY_CATEGORY = 1
+NEW_PRODUCT_CATEGORY = 1            # new products (one per distinct part name) go here
+PRICE_UP_CATEGORY = 2               # these items get 10 % dearer
+ZERO_PRICE_SIZE = 50                # items of parts of this size are (wrongly) priced 0

@@ -911,3 +911,63 @@ def _q(t):
     q.awaitTermination()
     return read_output(spark, os.path.join(root, "out"), "receipts").select(
         "cart_id", "id_employee", "card_number", "sum_total", "vat")
+
+
+# ----------------------------------------- more change sets (W2 serial, W3)
+# New products: one per distinct part name, in category 1; their serial ids
+# continue after the current maximum in name order (W8 serial keys).
+
+def _new_products(t):
+    return (t["raw.part"].select(F.concat(F.col("p_name"), F.lit(" (new)")).alias("product_name")).distinct()
+            .select(F.lit(P.NEW_PRODUCT_CATEGORY).alias("category_number"), "product_name",
+                    F.lit("new").alias("characteristics")))
+
+
+@register("insert_products", "W2/W8", f"""
+SELECT * FROM product UNION ALL
+SELECT (SELECT max(id_product) FROM product) + row_number() OVER (ORDER BY product_name) AS id_product,
+       {P.NEW_PRODUCT_CATEGORY} AS category_number, product_name, 'new' AS characteristics,
+       CAST(NULL AS VARCHAR) AS picture
+FROM (SELECT DISTINCT p_name || ' (new)' AS product_name FROM part) n""")
+def _q(t):
+    return chg.apply_inserts(t, "product", _new_products(t), order=["product_name"]).tables["product"]
+
+
+# Price changes: category 2 items 10 % dearer; items of size-50 parts are
+# set to price 0, which the CHECK rule refuses (they keep their price).
+
+def _price_changes(t):
+    items = t["store_product"].join(t["product"].select("id_product", "category_number"), "id_product")
+    up = items.where(F.col("category_number") == P.PRICE_UP_CATEGORY).select(
+        "upc", (F.col("selling_price") * F.lit("1.1").cast("decimal(2,1)")).cast("decimal(13,4)").alias("selling_price"))
+    zero = (t["raw.part"].where(F.col("p_size") == P.ZERO_PRICE_SIZE)
+            .select(upc_of(F.col("p_partkey")).alias("upc"), F.lit(0).cast("decimal(13,4)").alias("selling_price")))
+    return up.unionByName(zero.join(up.select("upc"), "upc", "left_anti"))
+
+
+_PRICE_SQL = f"""
+up AS (SELECT sp.upc, CAST(sp.selling_price * CAST(1.1 AS DECIMAL(2,1)) AS DECIMAL(13,4)) AS new_price
+       FROM store_product sp JOIN product p ON sp.id_product = p.id_product
+       WHERE p.category_number = {P.PRICE_UP_CATEGORY}),
+zero AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS upc, CAST(0 AS DECIMAL(13,4)) AS new_price
+         FROM part WHERE p_size = {P.ZERO_PRICE_SIZE}
+           AND lpad(CAST(p_partkey AS VARCHAR), 12, '0') NOT IN (SELECT upc FROM up)),
+ch AS (SELECT * FROM up UNION ALL SELECT * FROM zero)"""
+
+
+@register("update_store_prices", "W3", "WITH" + _PRICE_SQL + """
+SELECT sp.upc, sp.upc_prom, sp.id_product,
+       CASE WHEN ch.new_price > 0 THEN ch.new_price ELSE sp.selling_price END AS selling_price,
+       sp.products_number, sp.expire_date, sp.promotional_product
+FROM store_product sp LEFT JOIN ch ON sp.upc = ch.upc""")
+def _q(t):
+    return chg.apply_updates(t, "store_product", _price_changes(t)).tables["store_product"]
+
+
+@register("update_store_prices_rejects", "W3", "WITH" + _PRICE_SQL + """
+SELECT 'store_product' AS table_name, ch.upc AS key,
+       CASE WHEN ch.upc IN (SELECT upc FROM store_product) THEN 'check:positive_selling_price'
+            ELSE 'unknown_key' END AS reason
+FROM ch WHERE ch.new_price <= 0""")
+def _q(t):
+    return chg.apply_updates(t, "store_product", _price_changes(t)).rejects
