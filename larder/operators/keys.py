@@ -41,10 +41,11 @@ def assign_text_keys(rows: DataFrame, key: str, kind: str, natural: list[str],
     are shuffled) plus a window over equal keys (groups of one or two
     rows); its winners are written once to the checkpoint folder, so the
     emptiness test and every later reader see the same keys without
-    recomputing them. With 36^12 or 10^10 keys the loop normally ends after
-    round 0. Rows are never dropped: reaching ``max_rounds`` raises.
+    recomputing them (``rows`` must be deterministic: it is read again by
+    the test). With 36^12 or 10^10 keys the loop normally ends after round
+    0. Rows are never dropped: reaching ``max_rounds`` raises.
     """
-    pending = materialize(rows, f"{kind}-key-input")
+    pending = rows
     taken = taken.select(F.col(taken.columns[0]).alias(key))
     done = None
     for salt in range(max_rounds):

@@ -51,3 +51,25 @@ def test_jdbc_slicing_rules():
     with pytest.raises(ValueError):
         jdbc.read_jdbc(None, "jdbc:postgresql://db/x", "product")   # range table needs bounds
     assert set(jdbc.SPLITS) == set(TABLES)
+
+
+def test_bucketed_publish_avoids_fact_shuffle(spark, seed):
+    import contextlib
+    import io
+    import uuid
+
+    from larder.operators import reports as rep
+    from larder.sources.tables import publish_bucketed
+    root = os.path.join(tempfile.mkdtemp(prefix="larder-bkt-"), "v1")
+    db = f"larder_{uuid.uuid4().hex[:8]}"
+    t = publish_bucketed(seed, root, db, buckets={"check_table": ("check_number", 4), "sale": ("check_number", 4)})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = t["sale"].join(t["check_table"], "check_number")
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            j.explain()
+        assert "SortMergeJoin" in buf.getvalue() and "Exchange" not in buf.getvalue()
+        assert rep.units_sold(t, cashier="1001").collect()[0][0] == 32
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
