@@ -21,11 +21,11 @@ strictly sequential posting would take; for one cart it is exact).
 Totals: goods = sum(price x amount); total = goods x 1.2 x (100 - percent)
 / 100, cast once to (13,4); vat = total x 0.2 (the generated column).
 
-Scale: the running sum is a two-level scan. Lines are grouped into
-(UPC, seq block) cells; cell totals get a running sum per UPC (a table
-``block`` times smaller than the lines), and each cell then runs its own
-window with that offset. A UPC that appears in a third of all carts is
-spread over many cells instead of one task.
+Scale: the running sum is a multi-level scan. Lines are grouped into
+(UPC, seq block) cells; cell totals get their running sum the same way
+one level up (a table ``block`` times smaller), and each cell then runs
+its own window with that offset. A UPC that appears in a third of all
+carts is spread over many cells instead of one task, at every level.
 """
 
 from __future__ import annotations
@@ -66,21 +66,32 @@ class Posting(NamedTuple):
     rejects: DataFrame       # cart_id, reason
 
 
-def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, block: int = SEQ_BLOCK) -> DataFrame:
+def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, block: int = SEQ_BLOCK,
+                levels: int = 3) -> DataFrame:
     """Inclusive running sum of ``value`` per ``by`` in ``order`` (ROWS frame),
-    computed as a two-level scan so no single key lands in one task.
-
-    ``order`` must be integral; ``block`` is the width of one cell in it.
+    as a multi-level scan so that no window group grows with the data.
+
+    Level 1 groups rows into (``by``, order // block) cells and runs a window
+    inside each cell; the running sums of the cell totals (the offsets) are
+    computed the same way one level up, on a table ``block`` times smaller.
+    At the last level a plain per-``by`` window runs over at most
+    order range / block^(levels-1) rows: with the defaults, 256 rows per
+    key for a range of 2^40 (a trillion carts). ``order`` must be integral and unique
+    within ``by`` up to ties of zero ``value``.
     """
-    cells = df.withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
-    cell_tot = cells.groupBy(by, "_blk").agg(F.sum(value).alias("_tot"))
-    before = Window.partitionBy(by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cell_tot.select(by, "_blk", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(by, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (cells.withColumn("_in", F.sum(value).over(inside))
-            .join(offsets, [by, "_blk"])
-            .withColumn(out, F.col("_off") + F.col("_in"))
-            .drop("_blk", "_in", "_off"))
+    if levels <= 1:
+        w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value).over(w))
+    blk, tot, cum, off, inn = (f"_{x}{levels}" for x in ("blk", "tot", "cum", "off", "in"))
+    cells = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)))
+    totals = cells.groupBy(by, blk).agg(F.sum(value).alias(tot))
+    upper = running_sum(totals, by, blk, tot, cum, block, levels - 1)
+    offsets = upper.select(by, blk, (F.col(cum) - F.col(tot)).alias(off))
+    inside = Window.partitionBy(by, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return (cells.withColumn(inn, F.sum(value).over(inside))
+            .join(offsets, [by, blk])
+            .withColumn(out, F.col(off) + F.col(inn))
+            .drop(blk, inn, off))
 
 
 def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:

@@ -82,9 +82,10 @@ def test_running_sum_matches_plain_window(spark):
     from pyspark.sql import Window
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 5000).alias("o"),
                                      (F.col("id") % 11).alias("v"))
-    two = post.running_sum(df, "k", "o", "v", "run", block=64)
     plain = df.withColumn("run", F.sum("v").over(Window.partitionBy("k").orderBy("o")))
-    assert rows(two, "k", "o", "run") == rows(plain, "k", "o", "run")
+    for levels in (1, 2, 3):
+        scan = post.running_sum(df, "k", "o", "v", "run", block=8, levels=levels)
+        assert rows(scan, "k", "o", "run") == rows(plain, "k", "o", "run")
 
 
 def test_integrity_on_seed(seed):
