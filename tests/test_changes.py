@@ -188,3 +188,36 @@ def test_serial_keys_distributed(spark):
     out = keys.assign_serial(df, "k", spark.createDataFrame([(41,)], "k long"), ["o"], partitions=5)
     got = rows(out, "o", "k")
     assert got[0] == (0, 42) and got[-1] == (999, 1041)
+
+
+def test_update_rules_per_table(spark, seed):
+    import datetime as dt
+    prod = spark.createDataFrame([(1, 99, None), (2, None, "Roma tomato")],
+                                 "id_product long, category_number int, product_name string")
+    res = chg.apply_updates(seed, "product", prod)
+    assert rows(res.rejects, "key", "reason") == [("1", "fk:category")]
+    assert rows(res.tables["product"].where("id_product = 2"), "product_name") == [("Roma tomato",)]
+    emp = spark.createDataFrame([("1003", dt.date(2010, 1, 1))], "id_employee string, date_of_birth date")
+    res = chg.apply_updates(seed, "employee", emp, today="2024-06-20")
+    assert rows(res.rejects, "reason") == [("check:adult_employee",)]
+    # a sale line update re-captures the store price (the trigger fires on update)
+    from larder.sources.tables import replaced
+    sp = seed["store_product"].withColumn(
+        "selling_price", F.when(F.col("upc") == "123456789012", F.lit(D("15.0000"))).otherwise(F.col("selling_price")))
+    t = replaced(seed, store_product=sp)
+    line = spark.createDataFrame([("123456789012", "100001", 4)], "upc string, check_number string, product_number int")
+    res = chg.apply_updates(t, "sale", line)
+    got = rows(res.tables["sale"].where("check_number = '100001' AND upc = '123456789012'"),
+               "product_number", "selling_price")
+    assert got == [(4, D("15.0000"))] and res.rejects.count() == 0
+
+
+def test_insert_sale_lines_capture_price_and_check_references(spark, seed):
+    lines = spark.createDataFrame([("234567890123", "100003", 2, D("1.0000")), ("999999999999", "100003", 1, None),
+                                   ("234567890123", "100001", 1, None)],
+                                  "upc string, check_number string, product_number int, selling_price decimal(13,4)")
+    res = chg.apply_inserts(seed, "sale", lines)
+    assert dict(rows(res.rejects, "key", "reason")) == {
+        "999999999999|100003": "fk:store_product", "234567890123|100001": "duplicate_key:upc,check_number"}
+    got = rows(res.tables["sale"].where("check_number = '100003'"), "upc", "selling_price")
+    assert ("234567890123", D("18.5000")) in got
