@@ -11,7 +11,9 @@ Outputs go to ``out_root`` as append-only folders, one partition per
 epoch (receipts, sale lines, stock used, rejects). A retried epoch
 overwrites exactly its own partition and reads only earlier epochs, so a
 micro-batch is applied once even after a failure (the query's own
-checkpoint records which epochs committed).
+checkpoint records which epochs committed). ``compact`` folds committed
+epochs into a new base version so a micro-batch never reads an unbounded
+history of epoch folders.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators.posting import post_sales
 from larder.schemas import SCHEMAS
-from larder.sources.tables import replaced
+from larder.sources.tables import Tables, replaced
 
 CART_SCHEMA = ("cart_id string, seq long, user_id int, card_number string, "
                "lines array<struct<upc: string, amount: int>>, arrived_at timestamp")
@@ -53,17 +55,13 @@ def carts_of(lines: DataFrame, arrived_at) -> DataFrame:
 class PostingBatch:
     """``foreachBatch`` function posting each micro-batch of carts."""
 
-    def __init__(self, base: Mapping[str, DataFrame], out_root: str):
+    def __init__(self, base: Mapping[str, DataFrame], out_root: str, since_epoch: int = -1):
         self.base = base
         self.out_root = out_root
+        self.since_epoch = since_epoch      # epochs up to this one are folded into ``base``
 
     def _earlier(self, spark, name: str, schema: str, epoch: int) -> DataFrame:
-        path = os.path.join(self.out_root, name)
-        try:
-            df = spark.read.schema(schema + ", epoch long").parquet(path)
-        except Exception:  # nothing written yet
-            return spark.createDataFrame([], schema)
-        return df.where(F.col("epoch") < epoch).drop("epoch")
+        return epochs(spark, self.out_root, name, schema, self.since_epoch, epoch)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -92,11 +90,52 @@ class PostingBatch:
              .partitionBy("epoch").parquet(os.path.join(self.out_root, name)))
 
 
+def epochs(spark, out_root: str, name: str, schema: str, after: int, before: int) -> DataFrame:
+    """Rows of output ``name`` written by epochs ``after < epoch < before``
+    (partition pruning on the epoch folders)."""
+    path = os.path.join(out_root, name)
+    try:
+        df = spark.read.schema(schema + ", epoch long").parquet(path)
+    except Exception:  # nothing written yet
+        return spark.createDataFrame([], schema)
+    return df.where((F.col("epoch") > after) & (F.col("epoch") < before)).drop("epoch")
+
+
+def compact(base: Mapping[str, DataFrame], out_root: str, upto_epoch: int, root: str,
+            since_epoch: int = -1) -> Tables:
+    """Fold epochs ``since_epoch < epoch <= upto_epoch`` into a new base version.
+
+    Stock becomes base stock minus the units those epochs sold; their
+    receipts and sale lines are appended. The version is written to
+    ``root`` (a fresh folder); restart the stream (or a new PostingBatch)
+    with this base and ``since_epoch=upto_epoch``, so each micro-batch reads
+    a bounded number of epoch folders instead of the whole history.
+    """
+    from larder.sources.tables import publish_tables, read_tables
+    spark = base["store_product"].sparkSession
+    col = lambda t: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SCHEMAS[t].fields)
+    used = (epochs(spark, out_root, "stock_used", "upc string, used long", since_epoch, upto_epoch + 1)
+            .groupBy("upc").agg(F.sum("used").alias("_u")))
+    sp = (base["store_product"].join(used, "upc", "left")
+          .withColumn("products_number", (F.col("products_number") - F.coalesce("_u", F.lit(0))).cast("int"))
+          .select(*SCHEMAS["store_product"].fieldNames()))
+    checks = base["check_table"].unionByName(
+        epochs(spark, out_root, "receipts", col("check_table") + ", cart_id string", since_epoch, upto_epoch + 1)
+        .select(*SCHEMAS["check_table"].fieldNames()))
+    sale = base["sale"].unionByName(epochs(spark, out_root, "sale", col("sale"), since_epoch, upto_epoch + 1))
+    publish_tables(replaced(base, store_product=sp, check_table=checks, sale=sale), root,
+                   names=["store_product", "check_table", "sale"])
+    fresh = read_tables(spark, root, names=("store_product", "check_table", "sale"))
+    return replaced(base, **{n: fresh[n] for n in ("store_product", "check_table", "sale")})
+
+
 def post_sales_stream(carts: DataFrame, base: Mapping[str, DataFrame], out_root: str, checkpoint: str,
-                      watermark: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
+                      watermark: str = "1 hour", trigger: dict | None = None,
+                      since_epoch: int = -1) -> StreamingQuery:
     """Start the posting stream; ``carts`` is a streaming DataFrame of carts."""
     deduped = carts.withWatermark("arrived_at", watermark).dropDuplicatesWithinWatermark(["cart_id"])
-    writer = deduped.writeStream.foreachBatch(PostingBatch(base, out_root)).option("checkpointLocation", checkpoint)
+    writer = deduped.writeStream.foreachBatch(PostingBatch(base, out_root, since_epoch)).option(
+        "checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     return writer.start()
 

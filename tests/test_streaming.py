@@ -31,3 +31,21 @@ def test_stream_two_batches(spark, seed):
     rejects = read_output(spark, os.path.join(root, "out"), "rejects")
     # cart b asks for 3 of the 2 left after cart a; the re-sent cart a is dropped
     assert rows(rejects, "cart_id", "reason") == [("b", "insufficient_stock"), ("e", "empty_cart")]
+
+
+def test_compaction_folds_epochs_into_base(spark, seed):
+    from larder.streaming.posting import PostingBatch, compact
+    root = tempfile.mkdtemp(prefix="larder-compact-")
+    out = os.path.join(root, "out")
+    batch = PostingBatch(seed, out)
+    batch(_carts(spark, [("a", 1, "102", [("901234567890", 3)])]), 0)
+    base = compact(seed, out, 0, os.path.join(root, "v1"))
+    stock = dict(rows(base["store_product"], "upc", "products_number"))
+    assert stock["901234567890"] == 2 and base["check_table"].count() == 5 and base["sale"].count() == 16
+    # the next epoch runs on the compacted base and reads no older epoch
+    after = PostingBatch(base, out, since_epoch=0)
+    after(_carts(spark, [("b", 2, None, [("901234567890", 3)]), ("c", 3, None, [("901234567890", 2)])]), 1)
+    rejects = read_output(spark, out, "rejects").where("epoch = 1")
+    assert rows(rejects, "cart_id", "reason") == [("b", "insufficient_stock")]
+    receipts = read_output(spark, out, "receipts").where("epoch = 1")
+    assert rows(receipts, "cart_id") == [("c",)]
