@@ -83,13 +83,15 @@ def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, block:
         w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
     blk, tot, cum, off, inn = (f"_{x}{levels}" for x in ("blk", "tot", "cum", "off", "in"))
-    cells = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)))
+    inside = Window.partitionBy(by, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    cells = df.withColumn(blk, F.floor(F.col(order) / F.lit(block))).withColumn(inn, F.sum(value).over(inside))
+    # Cell totals come from the windowed rows, which are already partitioned
+    # by cell: the input is shuffled once and read by both branches (the
+    # exchange is reused), instead of being computed twice.
     totals = cells.groupBy(by, blk).agg(F.sum(value).alias(tot))
     upper = running_sum(totals, by, blk, tot, cum, block, levels - 1)
     offsets = upper.select(by, blk, (F.col(cum) - F.col(tot)).alias(off))
-    inside = Window.partitionBy(by, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return (cells.withColumn(inn, F.sum(value).over(inside))
-            .join(offsets, [by, blk])
+    return (cells.join(offsets, [by, blk])
             .withColumn(out, F.col(off) + F.col(inn))
             .drop(blk, inn, off))
 
@@ -121,14 +123,14 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
 def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = SEQ_BLOCK) -> Posting:
     """Post a batch of carts; see the module text for the rules.
 
-    The judged lines and the lines with their running sum are each read by
-    several branches (per-cart verdicts, stock use, receipts, sale lines),
-    so both are written once to the session's shared checkpoint folder:
-    the lookups run once, and a lost executor resumes from the written
-    files instead of the whole lineage.
+    The judged lines, and the lines with their running sums, are each read
+    by several branches (the levels of the running sum; rejects, receipts,
+    stock use, sale lines), so both are written once to the session's
+    shared checkpoint folder: the lookups run once, and a lost executor
+    resumes from the written files instead of the whole lineage.
     """
-    b = materialize(judge_lines(t, lines), "posting-judged")
-    r = b.withColumn("_take", F.when(F.col("cart_bad").isNull(), F.col("amount")).otherwise(F.lit(0)))
+    r = materialize(judge_lines(t, lines), "posting-judged").withColumn(
+        "_take", F.when(F.col("cart_bad").isNull(), F.col("amount")).otherwise(F.lit(0)))
     over = F.when(F.col("cart_bad").isNull() & (F.col("run") > F.col("products_number")), 1).otherwise(0)
     r = materialize(running_sum(r, "upc", "seq", "_take", "run", block)
                     .withColumn("cart_over", F.max(over).over(Window.partitionBy("cart_id"))), "posting-run")
