@@ -971,3 +971,10 @@ SELECT 'store_product' AS table_name, ch.upc AS key,
 FROM ch WHERE ch.new_price <= 0""")
 def _q(t):
     return chg.apply_updates(t, "store_product", _price_changes(t)).rejects
+
+
+@register("assign_keys", "W8", None)
+def _q(t):
+    # New receipt numbers of the posted carts: 10 digits, unique among all
+    # receipts (rows-only check; format and uniqueness are unit-tested).
+    return post.post_sales(t, t["cart_lines"], P.NOW).receipts.select("cart_id", "check_number")
