@@ -130,7 +130,8 @@ def apply_inserts(t: Tables, table: str, rows: DataFrame, today=None, order: lis
       no promotional link); run the promotion pass afterwards;
     * receipts get their generated VAT; sale lines capture the store price;
     * rows failing NOT NULL / empty-required, length, CHECK, key uniqueness
-      (against the table and inside the batch) or references are rejected.
+      (against the table and inside the batch) or references are rejected;
+      date rules (an employee's age) need ``today`` and are skipped without.
     """
     existing = t[table]
     if table in SERIAL_KEYS and SERIAL_KEYS[table] not in rows.columns:
