@@ -103,9 +103,14 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
     cards = t["customer_card"].select("card_number", "percent")
     # Lines of one UPC in one cart: a window over (cart, UPC) groups, which
     # hold a handful of rows at most; the input is scanned once.
+    # The card lookup (a large dimension: sort-merge join on the card) goes
+    # first; the lines are then partitioned by cart once, which satisfies
+    # both the (cart, UPC) window and the cart window below as long as the
+    # item and user lookups are broadcast.
     same = Window.partitionBy("cart_id", "upc")
-    a = (lines.withColumn("_dup", F.count(F.lit(1)).over(same))
-         .join(sp, "upc", "left").join(users, "user_id", "left").join(cards, "card_number", "left"))
+    a = (lines.join(cards, "card_number", "left").repartition("cart_id")
+         .withColumn("_dup", F.count(F.lit(1)).over(same))
+         .join(sp, "upc", "left").join(users, "user_id", "left"))
     bad = (F.when(F.col("amount").isNull() | (F.col("amount") <= 0), _code("bad_amount"))
            .when(F.col("products_number").isNull() | (F.col("products_number") < F.col("amount")),
                  _code("insufficient_stock"))
