@@ -70,11 +70,9 @@ def _flag_batch_duplicates(rows: DataFrame, cols: list[str], flag: str) -> DataF
 def _rule_failures(table: str, today) -> list[Column]:
     out = []
     for r in RULES:
-        if r.table != table:
+        if r.table != table or (r.needs_today and today is None):
             continue
         text = r.expr.replace("{today}", f"DATE'{today}'") if r.needs_today else r.expr
-        if r.needs_today and today is None:
-            continue
         out.append(F.when(F.expr(text) == F.lit(False), F.lit(f"check:{r.name}")))
     return out
 

@@ -76,8 +76,8 @@ def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, block:
     computed the same way one level up, on a table ``block`` times smaller.
     At the last level a plain per-``by`` window runs over at most
     order range / block^(levels-1) rows: with the defaults, 256 rows per
-    key for a range of 2^40 (a trillion carts). ``order`` must be integral and unique
-    within ``by`` up to ties of zero ``value``.
+    key for a range of 2^40 (a trillion carts). ``order`` must be integral
+    and unique within ``by`` up to ties of zero ``value``.
     """
     if levels <= 1:
         w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -101,12 +101,10 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
     sp = t["store_product"].select("upc", "selling_price", "products_number")
     users = t["user_table"].select("user_id", "id_employee")
     cards = t["customer_card"].select("card_number", "percent")
-    # Lines of one UPC in one cart: a window over (cart, UPC) groups, which
-    # hold a handful of rows at most; the input is scanned once.
     # The card lookup (a large dimension: sort-merge join on the card) goes
     # first; the lines are then partitioned by cart once, which satisfies
-    # both the (cart, UPC) window and the cart window below as long as the
-    # item and user lookups are broadcast.
+    # both the (cart, UPC) window that counts repeated UPCs and the cart
+    # window below as long as the item and user lookups are broadcast.
     same = Window.partitionBy("cart_id", "upc")
     a = (lines.join(cards, "card_number", "left").repartition("cart_id")
          .withColumn("_dup", F.count(F.lit(1)).over(same))
