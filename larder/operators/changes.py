@@ -48,7 +48,8 @@ def capture_price(sale_rows: DataFrame, store_product: DataFrame) -> DataFrame:
 
 
 def _first_reason(reasons: list[Column]) -> Column:
-    return F.try_element_at(F.filter(F.array(*reasons), lambda x: x.isNotNull()), F.lit(1))
+    """The first failing rule's name (each reason is NULL when its rule holds)."""
+    return F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
 
 
 def _flag_keys(rows: DataFrame, other: DataFrame, cols: list[str], flag: str) -> DataFrame:
