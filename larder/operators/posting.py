@@ -106,6 +106,8 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
     # both the (cart, UPC) window that counts repeated UPCs and the cart
     # window below as long as the item and user lookups are broadcast.
     same = Window.partitionBy("cart_id", "upc")
+    # An empty card number means a walk-in customer, like a missing one.
+    lines = lines.withColumn("card_number", F.when(F.trim(F.col("card_number")) != "", F.col("card_number")))
     a = (lines.join(cards, "card_number", "left").repartition("cart_id")
          .withColumn("_dup", F.count(F.lit(1)).over(same))
          .join(sp, "upc", "left").join(users, "user_id", "left"))

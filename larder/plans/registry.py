@@ -835,10 +835,12 @@ def _q(t):
 # ------------------------------------------------------- sale posting
 
 _POST_SQL = """
+cl AS (SELECT seq, cart_id, user_id, CASE WHEN trim(card_number) <> '' THEN card_number END AS card_number,
+              upc, amount FROM cart_lines),
 a AS (
   SELECT c.*, sp.selling_price, sp.products_number, u.id_employee, k.percent,
          count(*) OVER (PARTITION BY c.cart_id, c.upc) AS dup
-  FROM cart_lines c LEFT JOIN store_product sp ON c.upc = sp.upc
+  FROM cl c LEFT JOIN store_product sp ON c.upc = sp.upc
   LEFT JOIN user_table u ON c.user_id = u.user_id
   LEFT JOIN customer_card k ON c.card_number = k.card_number),
 b AS (SELECT *, CASE

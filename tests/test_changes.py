@@ -221,3 +221,9 @@ def test_insert_sale_lines_capture_price_and_check_references(spark, seed):
         "999999999999|100003": "fk:store_product", "234567890123|100001": "duplicate_key:upc,check_number"}
     got = rows(res.tables["sale"].where("check_number = '100003'"), "upc", "selling_price")
     assert ("234567890123", D("18.5000")) in got
+
+
+def test_posting_empty_card_is_walk_in(spark, seed):
+    res = post.post_sales(seed, _cart(spark, [("012345678901", 1)], card=" "), "2024-06-20 10:00:00")
+    (r,) = res.receipts.collect()
+    assert r["card_number"] is None and r["sum_total"] == D("7.1880") and res.rejects.count() == 0
