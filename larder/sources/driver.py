@@ -145,19 +145,21 @@ def sale(lineitem: DataFrame) -> DataFrame:
     # (part, order) is the sale key; the few line items that repeat it are
     # summed. The key is almost unique, so a map-side partial aggregation
     # would only build a hash table as large as its input: the lines are
-    # hash-partitioned by receipt (a receipt has a handful of lines, so no
-    # hot partition even when one part is in a third of all receipts) and
-    # aggregated once after that shuffle.
-    # Partitioning by the receipt number (not the raw order key) leaves the
-    # sale table hash-partitioned on check_number, so the receipt <-> line
-    # joins that follow reuse it instead of shuffling the lines again.
-    lines = lineitem.where(_stocked(F.col("l_partkey"))).select(
-        upc_of(F.col("l_partkey")).alias("upc"), F.col("l_orderkey").cast("string").alias("check_number"),
-        "l_quantity", "l_extendedprice")
-    return conform(lines.repartition("check_number")
-                   .groupBy("upc", "check_number")
+    # hash-partitioned by order (an order has a handful of lines, so no hot
+    # partition even when one part is in a third of all orders) and
+    # aggregated once after that shuffle, on the integer keys; the key texts
+    # are built afterwards, once per sale row. (Partitioning on the receipt
+    # text instead, so receipt <-> line joins could reuse it, measured slower
+    # here: bucketing a published version, ``publish_bucketed``, is the way
+    # to co-locate those joins.)
+    return conform(lineitem.where(_stocked(F.col("l_partkey")))
+                   .repartition("l_orderkey")
+                   .groupBy("l_partkey", "l_orderkey")
                    .agg(F.sum("l_quantity").cast("int").alias("product_number"),
-                        F.max(F.col("l_extendedprice").cast(MONEY)).alias("selling_price")), "sale")
+                        F.max(F.col("l_extendedprice").cast(MONEY)).alias("selling_price"))
+                   .select(upc_of(F.col("l_partkey")).alias("upc"),
+                           F.col("l_orderkey").cast("string").alias("check_number"),
+                           "product_number", "selling_price"), "sale")
 
 
 def cart_lines(lineitem: DataFrame) -> DataFrame:
