@@ -122,3 +122,12 @@ def test_presentation_prices(seed):
            for r in cat.store_products_raw(replaced(seed, store_product=sp)).collect()}
     assert got["123456789012"] == (D("14.45"), D("18.06"))
     assert got["234567890123"] == (D("18.50"), None)
+
+
+def test_divide_generic(spark):
+    cands = spark.createDataFrame([("a",), ("b",), ("c",)], "who string")
+    required = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "k int, v string")
+    facts = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "x"), ("b", 1, "x")],
+                                  "who string, k int, v string")
+    got = rep.divide(cands, required, facts, ["who"], ["k", "v"])
+    assert rows(got, "who") == [("a",)]
