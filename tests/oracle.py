@@ -43,7 +43,7 @@ def _norm(v):
     if isinstance(v, dt.datetime):
         return ("t", v.replace(tzinfo=None).isoformat())
     if isinstance(v, dt.date):
-        return ("t", dt.datetime(v.year, v.month, v.day).isoformat() if False else v.isoformat())
+        return ("t", v.isoformat())
     return ("v", v)
 
 
