@@ -14,7 +14,7 @@ from larder.llm import decontamination, langid, minhash, mixing, substring_dedup
 from larder.llm.common import Scratch, table
 
 # A document whose best language scores below this is rejected, as is one that is undetermined.
-LEAST_LANGUAGE_SCORE = 0.25
+LEAST_LANGUAGE_SCORE = 0.35
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
