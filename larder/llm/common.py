@@ -104,3 +104,36 @@ def lower_az(col: Column) -> Column:
 def column_schema(df: DataFrame, names: list[str]) -> str:
     """DDL of some columns of df, for mapInArrow outputs that pass them on."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+BLOOM_WORDS = 8                  # 32-bit words (and set bits) per block of a blocked Bloom filter
+# Blocks of a filter: 2**16 rows of a long and eight ints, under 6 MB whatever the
+# number of keys, which is why it may be broadcast. More keys only let more rows through.
+BLOOM_BLOCKS = 1 << 16
+
+
+def _bloom_place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
+    """Block of a key, and one bit for each word, from two hashes."""
+    g = F.xxhash64(F.lit(97), key)
+    bits = [F.call_function("shiftleft", F.lit(1), F.shiftrightunsigned(g, 5 * i).bitwiseAND(F.lit(31)).cast("int"))
+            for i in range(BLOOM_WORDS)]
+    return F.pmod(F.xxhash64(key), F.lit(blocks)), bits
+
+
+def bloom_table(keys: DataFrame, key: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+    """A blocked Bloom filter of a column as rows (__block, __w0..__w7); at most ``blocks`` rows."""
+    block, bits = _bloom_place(F.col(key), blocks)
+    return keys.select(block.alias("__block"), *[b.alias(f"__w{i}") for i, b in enumerate(bits)]) \
+        .groupBy("__block").agg(*[F.bit_or(f"__w{i}").alias(f"__w{i}") for i in range(BLOOM_WORDS)])
+
+
+def bloom_probe(df: DataFrame, key: Column, bloom: DataFrame, out: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+    """``df`` with a boolean column: may the key be among the filter's keys? False is certain."""
+    block, bits = _bloom_place(key, blocks)
+    own = df.withColumns({"__block": block} | {f"__b{i}": b for i, b in enumerate(bits)})
+    hit = F.lit(True)
+    for i in range(BLOOM_WORDS):
+        hit = hit & (F.coalesce(F.col(f"__w{i}"), F.lit(0)).bitwiseAND(F.col(f"__b{i}")) != 0)
+    # Bounded broadcast: never more than `blocks` rows.
+    found = own.join(F.broadcast(bloom), "__block", "left").withColumn(out, hit)
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], out)

@@ -10,22 +10,24 @@ one without being shuffled; the windows under all other anchors are hashed and
 counted one by one. A run of neighbouring windows with one anchor is one row,
 about one row for 18 words.
 
-Steps: (1) anchor runs of all documents; (2) anchors seen in two documents or
-more; (3) hashes of the windows under them, least document per hash;
-(4) windows that a smaller document holds, gathered per document (as many as
-it has words, at most); (5) texts without the covered words.
+Steps: (1) anchor runs of all documents, each with the hash of all its words;
+(2) runs that a smaller document holds word for word: all their windows are
+repeats, and the smaller document stands for them from here on; (3) among the
+other runs, anchors seen in two documents or more; (4) hashes of the windows
+under them, least document per hash; (5) windows that a smaller document
+holds, gathered per document (as many as it has words, at most); (6) texts without
+the covered words. A Bloom filter of fixed size picks the texts that steps 4
+and 6 have to move; it lets some through for nothing, but holds none back.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import WordHash, mix, slices, texts
+from larder.llm.common import Scratch, WordHash, bloom_probe, bloom_table, mix, slices, texts
 
 WINDOW = 50
 ANCHOR_WORDS = 16
@@ -48,41 +50,60 @@ class Roller:
                 p[0] = 1
                 setattr(self, name, np.cumprod(p, dtype=np.uint64))
 
-    def windows(self, words: np.ndarray, length: int) -> np.ndarray:
+    def _totals(self, words: np.ndarray) -> np.ndarray:
         n = len(words)
         self._powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(words * self.up[:n], out=total[1:], dtype=np.uint64)
-        return mix((total[length:] - total[:n - length + 1]) * self.down[:n - length + 1])
+        return total
+
+    def windows(self, words: np.ndarray, length: int) -> np.ndarray:
+        total, n = self._totals(words), len(words) - length + 1
+        return mix((total[length:] - total[:n]) * self.down[:n])
 
+    def spans(self, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of words[start:end] for arrays of bounds; the length counts too."""
+        total = self._totals(words)
+        return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
-def _runs(words: np.ndarray, roller: Roller, window: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, first and last window of each run of windows with one anchor."""
-    pieces = roller.windows(words, piece)
-    least = np.lib.stride_tricks.sliding_window_view(pieces, window - piece + 1).min(axis=1)
+
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """Minimum of each ``size`` neighbours, by doubling."""
+    least, done = values, 1
+    while done < size:
+        step = min(done, size - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    return least
+
+
+def _runs(words: np.ndarray, one: Roller, two: Roller, window: int, piece: int) -> tuple[np.ndarray, ...]:
+    """Anchor, two hashes of all words, first and last window of each run of windows with one anchor."""
+    least = _least(one.windows(words, piece), window - piece + 1)
     first = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-    return least[first], first, np.r_[first[1:], len(least)] - 1
+    last = np.r_[first[1:], len(least)] - 1
+    return (least[first], one.spans(words, first, last + window), two.spans(words, first, last + window) >> np.uint64(32),
+            first, last)
 
 
 def _anchor_task(window: int, piece: int):
     def run(batches):
-        hashes, roller = WordHash(), Roller(BASE)
+        hashes, one, two = WordHash(), Roller(BASE), Roller(BASE_2)
         for batch in batches:
             for part in slices(batch, 2):
-                anchors, ids, keys, first, last = [], [], [], [], []
+                out = []
                 for doc, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part, 2)):
                     words = text.split()
-                    if len(words) < window:
-                        continue
-                    a, f, l = _runs(hashes.of(words), roller, window, piece)
-                    anchors.append(a), first.append(f), last.append(l)
-                    ids.append(np.full(len(a), doc)), keys.append(np.full(len(a), key))
-                if anchors:
-                    cat = np.concatenate
+                    if len(words) >= window:
+                        r = _runs(hashes.of(words), one, two, window, piece)
+                        out.append((*r, np.full(len(r[0]), doc), np.full(len(r[0]), key)))
+                if out:
+                    anchor, h, g, first, last, doc, key = map(np.concatenate, zip(*out))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(cat(anchors).view(np.int64)), pa.array(cat(ids), pa.int64()),
-                        pa.array(cat(keys), pa.int64()), pa.array(cat(first), pa.int32()),
-                        pa.array(cat(last), pa.int32())], names=["anchor", "doc", "row", "first", "last"])
+                        pa.array(anchor.view(np.int64)), pa.array(h.view(np.int64)),
+                        pa.array(g.astype(np.uint32).view(np.int32)), pa.array(doc, pa.int64()), pa.array(key, pa.int64()),
+                        pa.array(first, pa.int32()), pa.array(last, pa.int32())],
+                        names=["anchor", "h", "g", "doc", "row", "first", "last"])
     return run
 
 
@@ -115,11 +136,11 @@ def _window_task(window: int):
     return run
 
 
-def covered(starts: np.ndarray, window: int, n_words: int) -> np.ndarray:
-    """Mask of the words that windows starting at ``starts`` cover."""
-    edge = np.zeros(n_words + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + window, n_words), -1)
+def covered(runs: list[dict], window: int, n_words: int) -> np.ndarray:
+    """Mask of the words that windows starting in the runs cover."""
+    edge = np.zeros(n_words + 1, np.int64)
+    np.add.at(edge, [r["first"] for r in runs], 1)
+    np.add.at(edge, [min(r["last"] + window, n_words) for r in runs], -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -129,19 +150,20 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def _cut_task(window: int, text_at: int, starts_at: int, names: list[str]):
+def _cut_task(window: int, text_at: int, runs_at: int, names: list[str]):
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_at):
                 n_words, n_removed, spans, kept = [], [], [], []
-                for text, starts in zip(texts(part, text_at), part.column(starts_at).to_pylist()):
-                    words = text.split()
-                    gone = covered(np.asarray(starts or [], np.int64), window, len(words))
-                    left = words if not starts else [w for w, g in zip(words, gone) if not g]
+                for text, runs in zip(texts(part, text_at), part.column(runs_at).to_pylist()):
+                    left = words = text.split()
+                    if runs:
+                        gone = covered(runs, window, len(words))
+                        left = [w for w, g in zip(words, gone) if not g]
                     n_words.append(len(words)), n_removed.append(len(words) - len(left))
-                    spans.append([{"start": a, "end": b} for a, b in intervals(gone)] if starts else [])
+                    spans.append([{"start": a, "end": b} for a, b in intervals(gone)] if runs else [])
                     kept.append(b" ".join(left))
-                passed = [part.column(i) for i in range(starts_at)]
+                passed = [part.column(i) for i in range(runs_at)]
                 yield pa.RecordBatch.from_arrays(passed + [
                     pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
@@ -149,20 +171,38 @@ def _cut_task(window: int, text_at: int, starts_at: int, names: list[str]):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, piece: int = ANCHOR_WORDS) -> DataFrame:
-    """(doc, row, at): every window start whose words also start in a document
-    with a smaller id. ``docs``: doc, row (a hash that tells rows with one id apart), text."""
+def _bloom_of(keys: DataFrame) -> DataFrame:
+    return bloom_table(keys.select(F.xxhash64("doc", "row").alias("k")).distinct(), "k")
+
+
+def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, piece: int = ANCHOR_WORDS) -> DataFrame:
+    """(doc, row, first, last), written: runs of window starts whose words also
+    start in a document with a smaller id. ``docs``: doc, row (a hash that tells rows
+    with one id apart), text."""
     named = docs.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "row", "text")
-    runs = named.mapInArrow(_anchor_task(window, piece),
-                            "anchor long, doc long, row long, first int, last int")
-    shared = runs.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    wanted = runs.join(shared.select("anchor"), "anchor", "left_semi") \
-        .groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    hashed = named.join(wanted, ["doc", "row"]).select("doc", "row", "text", "runs") \
-        .mapInArrow(_window_task(window), "h long, g int, doc long, row long, at int")
+    runs = scratch.write(named.mapInArrow(
+        _anchor_task(window, piece), "anchor long, h long, g int, doc long, row long, first int, last int"))
+    # Aggregations combine before the shuffle, and AQE splits the joins back: no hot hash is one group.
+    same = runs.groupBy("h", "g").agg(F.min("doc").alias("lo"))
+    judged = scratch.write(runs.join(same, ["h", "g"]).select("anchor", "doc", "row", "first", "last",
+                                                              (F.col("doc") > F.col("lo")).alias("copy")))
+    scratch.drop(runs)
+    left = judged.where(~F.col("copy"))
+    shared = left.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    wanted = scratch.write(left.join(shared.select("anchor"), "anchor", "left_semi")
+                           .groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
+    asked = bloom_probe(named, F.xxhash64("doc", "row"), _bloom_of(wanted), "maybe").where("maybe")
+    hashed = scratch.write(asked.join(wanted, ["doc", "row"]).select("doc", "row", "text", "runs")
+                           .mapInArrow(_window_task(window), "h long, g int, doc long, row long, at int"))
     least = hashed.groupBy("h", "g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")) \
         .where("lo < hi").drop("hi")
-    return hashed.join(least, ["h", "g"]).where("doc > lo").select("doc", "row", "at")
+    single = hashed.join(least, ["h", "g"]).where("doc > lo") \
+        .select("doc", "row", F.col("at").alias("first"), F.col("at").alias("last"))
+    out = scratch.write(judged.where("copy").select("doc", "row", "first", "last").union(single)
+                        .groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
+    for t in (judged, wanted, hashed):
+        scratch.drop(t)
+    return out
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text",
@@ -179,20 +219,18 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
     """
     out = ["n_words", "n_removed", "removed", "kept_text"]
     keep = [c for c in docs.columns if c not in out]
+    cols = [F.col(f"`{c}`") for c in keep]
     row = F.xxhash64(F.col(f"`{text}`"))
-    found = repeated_windows(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), row.alias("row"),
-                                         F.col(f"`{text}`").alias("text")), window, piece)
-    starts = found.groupBy("doc", "row").agg(F.collect_set("at").alias("__starts"))
-    joined = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{doc_id}`").cast("long").alias("__doc"),
-                         row.alias("__row")) \
-        .join(starts.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "__starts"),
-              ["__doc", "__row"], "left") \
-        .select(*[F.col(f"`{c}`") for c in keep], "__starts")
+    runs = repeated_runs(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), row.alias("row"),
+                                     F.col(f"`{text}`").alias("text")), Scratch(docs.sparkSession), window, piece)
+    probed = bloom_probe(docs.select(*cols, F.col(f"`{doc_id}`").cast("long").alias("__doc"), row.alias("__row")),
+                         F.xxhash64("__doc", "__row"), _bloom_of(runs), "__maybe")
+    cut = probed.where("__maybe").join(
+        runs.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("runs").alias("__runs")),
+        ["__doc", "__row"], "left").select(*cols, "__runs")
+    whole = probed.where(~F.col("__maybe")).select(
+        *cols, F.lit(None).cast("array<struct<first:int,last:int>>").alias("__runs"))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
                        + ["n_words long", "n_removed long", "removed array<struct<start:int,end:int>>",
                           "kept_text string"])
-    return joined.mapInArrow(_cut_task(window, keep.index(text), len(keep), keep + out), schema)
-
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
+    return cut.unionByName(whole).mapInArrow(_cut_task(window, keep.index(text), len(keep), keep + out), schema)

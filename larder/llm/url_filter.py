@@ -15,13 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import lower_az
+from larder.llm.common import BLOOM_BLOCKS, bloom_probe, bloom_table, lower_az
 
-WORDS = 8          # 32-bit words (and set bits) per block
-# Blocks of the filter: 2**16 rows of a long and eight ints, under 4 MB
-# whatever the list's length, which is why it may be broadcast. A longer list
-# only lets more false positives through to the join.
-BLOCKS = 1 << 16
 SALTS = 16         # copies of a listed URL, so that one hot URL is joined by several tasks
 
 
@@ -52,59 +47,21 @@ def canonical(host: Column, path: Column) -> Column:
                     F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html?$", ""))
 
 
-def _hash(url: Column) -> Column:
-    return F.xxhash64(url)
-
-
-def _block(h: Column, blocks: int) -> Column:
-    return F.pmod(h, F.lit(blocks))
-
-
-def _bits(url: Column) -> list[Column]:
-    """One bit per word, from a second hash of the URL (five bits for each word)."""
-    g = F.xxhash64(F.lit(97), url)
-    return [_bit(g, 5 * i) for i in range(WORDS)]
-
-
-def _bit(g: Column, shift: int) -> Column:
-    place = F.shiftrightunsigned(g, shift).bitwiseAND(F.lit(31)).cast("int")
-    return F.call_function("shiftleft", F.lit(1), place)
-
-
-def bloom_table(listed: DataFrame, url: str = "canonical", blocks: int = BLOCKS) -> DataFrame:
-    """The filter as rows (block, w0..w7); at most ``blocks`` rows."""
-    bits = _bits(F.col(url))
-    return listed.select(_block(_hash(F.col(url)), blocks).alias("block"),
-                         *[b.alias(f"w{i}") for i, b in enumerate(bits)]) \
-        .groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-
-
-def on_list(urls: DataFrame, listed: DataFrame, url: str = "canonical", blocks: int = BLOCKS,
+def on_list(urls: DataFrame, listed: DataFrame, url: str = "canonical", blocks: int = BLOOM_BLOCKS,
             out: str = "listed") -> DataFrame:
     """``urls`` with a boolean column: is the URL on the list? Null or empty URLs are not."""
-    spec = {c: F.col(f"`{c}`") for c in urls.columns if c != out}
-    keyed = urls.select(*[c.alias(n) for n, c in spec.items()],
-                        _block(_hash(F.col(url)), blocks).alias("__uf_block"),
-                        *[b.alias(f"__uf_b{i}") for i, b in enumerate(_bits(F.col(url)))])
-    names = listed.select(F.col(url).alias("__uf_url")).where("__uf_url <> ''").distinct()
-    bloom = bloom_table(names, "__uf_url", blocks).select(
-        F.col("block").alias("__uf_block"), *[F.col(f"w{i}").alias(f"__uf_w{i}") for i in range(WORDS)])
-    hit = F.lit(True)
-    for i in range(WORDS):
-        hit = hit & (F.coalesce(F.col(f"__uf_w{i}"), F.lit(0)).bitwiseAND(F.col(f"__uf_b{i}")) != 0)
-    # Bounded broadcast: the filter never has more than `blocks` rows.
-    probed = keyed.join(F.broadcast(bloom), "__uf_block", "left").withColumn("__uf_maybe", hit)
-    # A row that the filter rejects carries no join key, and is spread over the
-    # salts like the others; the salts also split a URL that very many rows have.
-    salted = probed.withColumn("__uf_key", F.when(F.col("__uf_maybe"), F.col(url))) \
-        .withColumn("__uf_salt", F.pmod(F.xxhash64(*spec.values()), F.lit(SALTS)))
-    exact = names.withColumn("__uf_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))) \
-        .withColumnRenamed("__uf_url", "__uf_key").withColumn("__uf_found", F.lit(True))
-    maybe = salted.where("__uf_maybe").join(exact, ["__uf_key", "__uf_salt"], "left")
-    no = salted.where(~F.col("__uf_maybe")).withColumn("__uf_found", F.lit(False))
-    keep = [F.col(f"`{n}`") for n in spec]
-    return maybe.select(*keep, F.coalesce("__uf_found", F.lit(False)).alias(out)).unionByName(
-        no.select(*keep, F.col("__uf_found").alias(out)))
+    keep = [c for c in urls.columns if c != out]
+    names = listed.select(F.col(url).alias("__url")).where("__url <> ''").distinct()
+    probed = bloom_probe(urls, F.col(url), bloom_table(names, "__url", blocks), "__maybe", blocks)
+    # The salts split a URL that very many rows have.
+    salted = probed.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keep]), F.lit(SALTS)))
+    exact = names.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))) \
+        .withColumnRenamed("__url", "__key").withColumn("__found", F.lit(True))
+    maybe = salted.where("__maybe").withColumn("__key", F.col(url)).join(exact, ["__key", "__salt"], "left")
+    sure = salted.where(~F.col("__maybe")).withColumn("__found", F.lit(False))
+    cols = [F.col(f"`{c}`") for c in keep]
+    return maybe.select(*cols, F.coalesce("__found", F.lit(False)).alias(out)).unionByName(
+        sure.select(*cols, F.col("__found").alias(out)))
 
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -118,7 +75,7 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url",
-                blocks: int = BLOCKS) -> DataFrame:
+                blocks: int = BLOOM_BLOCKS) -> DataFrame:
     """``pages`` with host, path, rule, verdict.
 
     ``listed``: one column ``canonical`` of listed URLs. The rule that fits
@@ -131,9 +88,9 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     host, path = url_parts(F.col(f"`{url}`"))
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in new]
     parts = pages.select(*kept, host.alias("host"), path.alias("path")) \
-        .withColumn("__uf_canonical", canonical(F.col("host"), F.col("path")))
-    checked = on_list(parts, listed.select(F.col("canonical").alias("__uf_canonical")), "__uf_canonical", blocks, "__uf_listed")
+        .withColumn("__canonical", canonical(F.col("host"), F.col("path")))
+    checked = on_list(parts, listed.select(F.col("canonical").alias("__canonical")), "__canonical", blocks, "__listed")
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return checked.select(*[F.col(f"`{c}`") for c in pages.columns if c not in new],
                           "host", "path", name.alias("rule"),
-                          F.coalesce(verdict, F.when(F.col("__uf_listed"), "block").otherwise("allow")).alias("verdict"))
+                          F.coalesce(verdict, F.when(F.col("__listed"), "block").otherwise("allow")).alias("verdict"))
