@@ -10,11 +10,11 @@ and the agreeing share is concentrated around it as for independent hashes.
 Banding: a band is ``rows`` neighbouring coordinates; documents that share a
 band are candidates. Candidates are confirmed on the full shingle sets.
 
-Work in groups that share a band never grows to all pairs of near copies:
-equal sets are one row; members are first confirmed against a hub of their
-group; groups whose members are by then connected are finished. What is left
-(members of one group in different components) is compared tile by tile by
-sketches, most alike pairs first, then all that remain.
+Work in groups of candidates never grows to moving all pairs of near copies:
+equal sets are one row; a member is first confirmed against one hub of its
+candidates; what is then in different components of a group is compared tile by
+tile, where the sketches pick the pairs to confirm, most alike first, and pairs
+that are connected meanwhile are left out. Tasks return links that connect, not pairs.
 """
 
 from __future__ import annotations
@@ -27,15 +27,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Scratch, WordHash, mix, slices, texts
+from larder.llm.common import Scratch, WordHash, bloom_probe, bloom_table, mix, slices, texts
 from larder.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 80                  # per cent
 BANDS, ROWS = 28, 5              # similarity 0.85: a pair is missed with probability 7e-8, 0.8: 1e-5
-HUBS = 2                         # hubs a document is confirmed against first
-BEST = 4                         # most alike partners in a tile that are confirmed before the rest
-TILE = 512
+TILE = 2048                      # documents in a tile
+# Candidates connected through bands form one group up to so many documents;
+# larger ones are compared band by band, so that a chain of groups is not one.
+WHOLE_GROUP = 8 * TILE
 # Pairs whose sketches agree on fewer coordinates are no candidates: at the wanted
 # similarity the chance is under 1e-6 (lower tail of the binomial distribution).
 TAIL = 5.2
@@ -106,110 +107,115 @@ def _sketch_task(size: int, bands: int, rows: int):
     return run
 
 
-def _set_task(size: int):
+def _set_task(size: int, names: list[str]):
+    """The rows with the shingle set in place of the text (the last column)."""
     def run(batches):
         hashes = WordHash()
+        at = len(names) - 1
         for batch in batches:
-            for part in slices(batch, 1):
-                sets = [shingles(hashes.of(t.lower().split()), size).tobytes() for t in texts(part, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc", "set"])
+            for part in slices(batch, at):
+                sets = [shingles(hashes.of(t.lower().split()), size).tobytes() for t in texts(part, at)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(at)] + [pa.array(sets, pa.binary())],
+                                                 names=names)
     return run
 
 
-def _confirm_task(similarity: int):
-    def run(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                ok.append(100 * same >= similarity * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-    return run
+def _linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    """Do two full sets (sorted, distinct) reach the similarity?"""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < similarity * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return 100 * same >= similarity * (len(a) + len(b) - same)
 
 
-def _confirmed(pairs: DataFrame, named: DataFrame, size: int, similarity: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity, written."""
-    pairs = scratch.write(pairs)
-    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = scratch.write(named.join(ids, "doc", "left_semi").select("doc", "text")
-                         .mapInArrow(_set_task(size), "doc long, set binary").distinct())
-    x = sets.select(F.col("doc").alias("a"), F.col("set").alias("x"))
-    y = sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    out = scratch.write(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-                        .mapInArrow(_confirm_task(similarity), "a long, b long"))
-    scratch.drop(pairs), scratch.drop(sets)
-    return out
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
+def _edges(a: list, b: list) -> pa.Table:
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
+
+
+def _hub_task(similarity: int):
+    """Members of one hub (or a part of them) against it."""
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        hub, rep = key[0].as_py(), rows.column("rep").to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+        # A hub has more than one set where several texts carry its id.
+        own = [x for r, x in zip(rep, sets) if r == hub]
+        hit = [r for r, x in zip(rep, sets) if r != hub and any(_linked(x, o, similarity) for o in own)]
+        return _edges(hit, [hub] * len(hit))
+    return run
 
-def _tile_task(similarity: int, least: int, best: int | None):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+def _tile_task(similarity: int, least: int):
+    """Probes of a group against a tile of its members; links that connect components."""
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         probe = rows.column("probe").to_numpy(zero_copy_only=False)
         if probe.all() or not probe.any():
-            return schema.empty_table()
-        doc, comp, n = (rows.column(c).to_numpy() for c in ("rep", "component", "n"))
+            return _edges([], [])
+        doc, n = rows.column("rep").to_numpy(), rows.column("n").to_numpy()
         bands = np.array(rows.column("bands").to_pylist())
-        sk = np.array([np.frombuffer(s, np.uint16) for s in rows.column("sketch").to_pylist()])
-        band = key[0].as_py()
-        others = np.flatnonzero(~probe)
-        a, b = [], []
+        sketch = np.array([np.frombuffer(x, np.uint16) for x in rows.column("sketch").to_pylist()])
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+        part, band = rows.column("component").to_numpy().copy(), key[0].as_py()
+        others, a, b = np.flatnonzero(~probe), [], []
         for p in np.flatnonzero(probe):
-            ok = others[comp[others] != comp[p]]
-            small, large = np.minimum(n[ok], n[p]), np.maximum(n[ok], n[p])
-            ok = ok[100 * small >= similarity * large]
-            # A pair that shares several bands is taken in the first.
-            ok = ok[(bands[ok, :band] != bands[p, :band]).all(axis=1)]
-            agree = (sk[ok] == sk[p]).sum(axis=1)
-            ok, agree = ok[agree >= least], agree[agree >= least]
-            if best is not None and len(ok) > best:
-                ok = ok[np.argsort(-agree, kind="stable")[:best]]
-            a.append(np.full(len(ok), doc[p])), b.append(doc[ok])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], schema=schema)
+            ok = others[part[others] != part[p]]
+            ok = ok[100 * np.minimum(n[ok], n[p]) >= similarity * np.maximum(n[ok], n[p])]
+            if band > 0:  # a pair that shares several bands is taken in the first
+                ok = ok[(bands[ok, :band] != bands[p, :band]).all(axis=1)]
+            agree = (sketch[ok] == sketch[p]).sum(axis=1)
+            for o in ok[np.argsort(-agree, kind="stable")][:int((agree >= least).sum())]:
+                if part[o] != part[p] and _linked(sets[p], sets[o], similarity):
+                    a.append(int(doc[p])), b.append(int(doc[o]))
+                    part[part == part[p]] = part[o]
+        return _edges(a, b)
     return run
 
 
-def _rest_pairs(reps: DataFrame, members: DataFrame, parts: DataFrame, similarity: int, least: int,
-                best: int | None, tile: int, scratch: Scratch) -> DataFrame | None:
-    """Pairs of one band group in different components whose sketches agree enough.
+def _rest_links(cands: DataFrame, members: DataFrame, parts: DataFrame, similarity: int, least: int,
+                tile: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b), written, between candidates that hub links left in different components.
 
     In a group, the members outside its most common component are probes; each
-    meets all members, tile by tile. None when all groups are connected."""
-    labelled = members.join(parts, F.col("rep") == F.col("node"), "left") \
-        .select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    by_part = labelled.groupBy("key", "band", "component").count()
-    groups = scratch.write(by_part.groupBy("key", "band").agg(
-        F.sum("count").alias("size"), F.count(F.lit(1)).alias("parts"),
-        F.max(F.struct("count", "component"))["component"].alias("main"),
-        F.max("count").alias("most")).where("parts > 1"))
-    if groups.isEmpty():
-        scratch.drop(groups)
-        return None
-    n_probes = F.ceil((F.col("size") - F.col("most")) / tile)
-    n_tiles = F.ceil(F.col("size") / tile)
+    meets all members, tile by tile."""
+    info = scratch.write(cands.select("rep", "group").distinct().join(parts, F.col("rep") == F.col("node"), "left")
+                         .select("rep", "group", F.coalesce("component", "rep").alias("component")))
+    size = info.groupBy("group", "component").count().groupBy("group").agg(
+        F.sum("count").alias("size"), F.count(F.lit(1)).alias("n_parts")).where("n_parts > 1")
+    mixed = info.join(size.select("group", "size"), "group")
+    small = mixed.where(F.col("size") <= WHOLE_GROUP).select(
+        F.lit(-1).alias("band"), F.col("group").alias("key"), "rep", "component")
+    large = mixed.where(F.col("size") > WHOLE_GROUP).select("rep", "component") \
+        .join(members.select("band", "key", "rep"), "rep").select("band", "key", "rep", "component")
+    listed = scratch.write(small.union(large))
+    stats = listed.groupBy("band", "key", "component").count().groupBy("band", "key").agg(
+        F.sum("count").alias("size"), F.count(F.lit(1)).alias("n_parts"), F.max("count").alias("most"),
+        F.max(F.struct("count", "component"))["component"].alias("main")).where("n_parts > 1")
     spot = F.xxhash64("rep")
-    at = labelled.join(groups, ["key", "band"]).join(reps.select("rep", "n", "bands", "sketch"), "rep") \
-        .withColumn("p_tiles", n_probes).withColumn("o_tiles", n_tiles) \
-        .select("key", "band", "rep", "component", "n", "bands", "sketch", "main", "p_tiles", "o_tiles")
-    probes = at.where("component <> main").withColumn("probe", F.lit(True)) \
-        .withColumn("i", F.pmod(spot, F.col("p_tiles"))) \
-        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_tiles") - 1)))
-    others = at.withColumn("probe", F.lit(False)).withColumn("j", F.pmod(spot, F.col("o_tiles"))) \
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p_tiles") - 1)))
-    both = probes.unionByName(others)
-    pairs = both.groupBy("band", "key", "i", "j").applyInArrow(
-        _tile_task(similarity, least, best), "a long, b long").distinct()
-    out = scratch.write(pairs)
-    scratch.drop(groups)
+    at = listed.join(stats, ["band", "key"]) \
+        .withColumn("p_tiles", F.ceil((F.col("size") - F.col("most")) / tile)) \
+        .withColumn("o_tiles", F.ceil(F.col("size") / tile)) \
+        .withColumn("p", F.pmod(spot, "p_tiles")).withColumn("o", F.pmod(spot, "o_tiles"))
+    entry = lambda i, j, probe: F.struct(i.alias("i"), j.alias("j"), F.lit(probe).alias("probe"))
+    as_probe = F.transform(F.sequence(F.lit(0).cast("long"), F.col("o_tiles") - 1), lambda j: entry(F.col("p"), j, True))
+    as_other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("p_tiles") - 1), lambda i: entry(i, F.col("o"), False))
+    spots = at.select("band", "key", "rep", "component", F.explode(
+        F.when(F.col("component") != F.col("main"), F.concat(as_probe, as_other)).otherwise(as_other)).alias("e")) \
+        .select("band", "key", "rep", "component", "e.*")
+    links = spots.join(cands.select("rep", "n", "bands", "sketch", "set"), "rep") \
+        .groupBy("band", "key", "i", "j").applyInArrow(_tile_task(similarity, least), "a long, b long")
+    out = scratch.write(links)
+    scratch.drop(info), scratch.drop(listed)
     return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, doc_id: str = "doc_id",
-                    text: str = "text", bands: int = BANDS, rows: int = ROWS, hubs: int = HUBS,
-                    best: int = BEST, tile: int = TILE, carry: list[str] | None = None) -> DataFrame:
+                    text: str = "text", bands: int = BANDS, rows: int = ROWS, tile: int = TILE,
+                    carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with n_shingles, component_id and kept.
 
     Words are maximal runs without ASCII white space, A-Z lower-cased. Sets
@@ -229,28 +235,49 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         _sketch_task(shingle, bands, rows),
         "doc long, row long, n long, hi long, lo long, bands array<long>, sketch binary"))
     # Equal sets are one row, whatever their number; combined before the shuffle.
+    least_doc = F.min(F.struct("doc", "row"))
     reps = scratch.write(sketched.where("n > 0 AND doc IS NOT NULL").groupBy("hi", "lo").agg(
-        F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-        F.first("sketch").alias("sketch")))
+        least_doc["doc"].alias("rep"), least_doc["row"].alias("row"), F.first("n").alias("n"),
+        F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     exploded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     hubbed = exploded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")) \
         .where("hub < far").select("band", "key", "hub")
     members = scratch.write(exploded.join(hubbed, ["band", "key"]))
-    # First the hubs that a document shares the most bands with.
-    ranked = members.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("shared"))
-    first = ranked.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(
-        F.struct("shared", (-F.col("hub")).alias("hub"))), asc=False), 1, hubs).alias("top"))  # at most `bands` hubs
-    pairs = first.select(F.col("rep").alias("a"), F.explode("top").alias("t")).select("a", (-F.col("t.hub")).alias("b"))
-    links = _confirmed(pairs, named, shingle, similarity, scratch)
+    # The hub that a document shares the most bands with.
+    shared = scratch.write(members.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n")))
+    best = shared.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub")))["hub"].alias("hub")) \
+        .select("rep", (-F.col("hub")).alias("hub"))
+    hub_parts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).alias("hub_parts"))
+    groups = connected_components(shared.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
+    chosen = scratch.write(
+        groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
+        .join(best.select(F.col("rep").alias("doc"), "hub"), "doc", "left")
+        .join(hub_parts.select(F.col("hub").alias("doc"), F.col("hub_parts").alias("as_hub")), "doc", "left")
+        .join(hub_parts, "hub", "left"))
+    # Full sets of the candidates. A Bloom filter of fixed size picks the texts to move.
+    names = ["rep", "group", "hub", "hub_parts", "as_hub", "n", "bands", "sketch"]
+    info = chosen.join(reps.withColumnRenamed("rep", "doc"), "doc")
+    asked = bloom_probe(named, F.col("doc"), bloom_table(chosen, "doc"), "maybe").where("maybe").drop("maybe")
+    cands = scratch.write(asked.join(info, ["doc", "row"]).dropDuplicates(["doc", "row"]).select(
+        F.col("doc").alias("rep"), *names[1:], "text").mapInArrow(
+        _set_task(shingle, names + ["set"]),
+        "rep long, group long, hub long, hub_parts long, as_hub long, n long, bands array<long>, sketch binary, set binary"))
+    # Members to their hub; a hub with very many members meets them in parts.
+    as_member = F.when(F.col("hub").isNotNull(), F.array(F.struct(
+        F.col("hub").alias("to"), F.pmod(F.xxhash64("rep"), "hub_parts").alias("part"))))
+    as_hub = F.when(F.col("as_hub").isNotNull(), F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("as_hub") - 1), lambda k: F.struct(F.col("rep").alias("to"), k.alias("part"))))
+    none = F.array().cast("array<struct<to:long,part:long>>")
+    meet = cands.select("rep", "set", F.explode(F.concat(F.coalesce(as_member, none), F.coalesce(as_hub, none))).alias("e"))
+    links = scratch.write(meet.select("rep", "set", "e.to", "e.part").groupBy("to", "part")
+                          .applyInArrow(_hub_task(similarity), "a long, b long"))
     t, p = bands * rows, similarity / 100
     least = max(1, math.floor(t * p - TAIL * math.sqrt(t * p * (1 - p))))
     parts = scratch.write(connected_components(links, scratch))
-    for limit in (best, None):  # None: every pair that is left
-        more = _rest_pairs(reps, members, parts, similarity, least, limit, tile, scratch)
-        if more is None:
-            break
-        links = scratch.write(links.union(_confirmed(more, named, shingle, similarity, scratch)).distinct())
-        parts = scratch.write(connected_components(links, scratch))
+    rest = _rest_links(cands, members, parts, similarity, least, tile, scratch)
+    for used in (parts, members, shared, chosen, cands):
+        scratch.drop(used)
+    parts = connected_components(links.union(rest), scratch)
     component = reps.join(parts, F.col("rep") == F.col("node"), "left") \
         .select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     done = sketched.select("doc", "row", "n", "hi", "lo").join(component, ["hi", "lo"], "left") \
