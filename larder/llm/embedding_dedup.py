@@ -25,7 +25,7 @@ from larder.llm.common import Scratch
 from larder.llm.components import connected_components
 
 THRESHOLD = 0.98
-CELL_AXES = 3
+CELL_AXES = 2                    # each axis more halves the comparisons and doubles the rows that visit neighbours
 TILE = 1024                      # vectors in a tile
 STEPS = (8, 16, 32)              # leading dimensions after which pairs are tested
 SLACK = 1e-9                     # rounding of the rotated sums
@@ -185,7 +185,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     keep = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
-    emb = F.col(f"`{embedding}`").cast("array<double>")
+    # Floats travel as floats; all sums are in double precision.
+    kind = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
+    emb = F.col(f"`{embedding}`").cast(f"array<{kind}>")
     usable = F.coalesce(
         F.col(f"`{label}`").isNotNull() & F.col(f"`{vec_id}`").isNotNull() & (F.size(emb) > 0)
         & F.forall(emb, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -204,7 +206,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     width = float(np.sqrt(max(0.0, 2 - 2 * threshold))) * (1 + 1e-9) + 1e-7
     cells = distinct.select("vec", "label", "embedding", "dim", "copies").mapInArrow(
         _cell_task(axes_by_dim, width, cell_axes),
-        "vec long, label string, embedding array<double>, dim int, copies long, cell string, home boolean")
+        f"vec long, label string, embedding array<{kind}>, dim int, copies long, cell string, home boolean")
     where = ["label", "dim", "cell"]
     counts = cells.groupBy(*where).agg(F.sum(F.col("home").cast("long")).alias("n"),
                                        F.count(F.lit(1)).alias("all")).where("n > 0 AND all > 1")
