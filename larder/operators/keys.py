@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.sources.tables import materialize
+from larder.sources.tables import key_hits, materialize
 
 # Fixed formats from the source: UPCs are 12 characters of A-Z and 0-9,
 # receipt numbers 10 decimal digits.
@@ -37,26 +37,35 @@ def assign_text_keys(rows: DataFrame, key: str, kind: str, natural: list[str],
     Round r tries salt r for the rows still without a key. A key that is
     already taken, or drawn by two rows of the batch, is retried with the
     next salt (in-batch ties keep the key for the smallest natural key).
-    Each round is one anti join against the taken keys (only key columns
-    are shuffled) plus a window over equal keys (groups of one or two
-    rows); its winners are written once to the checkpoint folder, so the
-    emptiness test and every later reader see the same keys without
-    recomputing them (``rows`` must be deterministic: it is read again by
-    the test). With 36^12 or 10^10 keys the loop normally ends after round
-    0. Rows are never dropped: reaching ``max_rounds`` raises.
+    The taken keys are the streamed side of a semi join with the batch's
+    candidates, so a small batch is broadcast and the table of taken keys is not
+    shuffled; in-batch ties are a window over equal keys (groups of one or two
+    rows). The batch and each round's winners are written once to the
+    checkpoint folder, so all readers see the same keys. ``natural`` must
+    be unique in the batch.
+
+    Rows are never dropped. A batch that would fill more than nine tenths of the key
+    space is refused before any round (10-digit numbers: at most 9 * 10^9
+    rows in all); reaching ``max_rounds`` raises.
     """
-    pending = rows
+    pending = materialize(rows, f"{kind}-batch")
     taken = taken.select(F.col(taken.columns[0]).alias(key))
+    length, base = KINDS[kind]
+    need, space = pending.count() + taken.count(), base ** length
+    if 10 * need > 9 * space:
+        raise ValueError(f"{need} {kind} keys do not fit the {space} keys of {length} characters")
     done = None
     for salt in range(max_rounds):
-        cand = pending.withColumn(key, hashed_key(natural, kind, salt)).join(taken, key, "left_anti")
+        cand = pending.withColumn(key, hashed_key(natural, kind, salt))
+        hits = key_hits(taken, cand, [key])
         if done is not None:
-            cand = cand.join(done.select(key), key, "left_anti")
+            hits = hits.union(key_hits(done, cand, [key]))
         first = Window.partitionBy(key).orderBy(*[F.col(c) for c in natural])
-        won = materialize(cand.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).drop("_r"),
-                          f"{kind}-keys-{salt}")
+        won = materialize(cand.join(hits, key, "left_anti").withColumn("_r", F.row_number().over(first))
+                          .where(F.col("_r") == 1).drop("_r"), f"{kind}-keys-{salt}")
         done = won if done is None else done.unionByName(won)
-        pending = pending.join(won.select(*natural), natural, "left_anti")
+        same = [pending[c].eqNullSafe(F.col(f"_w_{c}")) for c in natural]
+        pending = pending.join(won.select(*[F.col(c).alias(f"_w_{c}") for c in natural]), same, "left_anti")
         if pending.isEmpty():
             return done
     raise RuntimeError(f"could not assign {kind} keys in {max_rounds} rounds")
@@ -67,20 +76,25 @@ def assign_serial(rows: DataFrame, key: str, existing: DataFrame, order: list[st
     """Serial keys: max(existing key) + position of the row in ``order``.
 
     No single-partition window: rows are range-partitioned and sorted on the
-    order columns, so ``monotonically_increasing_id`` (partition index in the
-    upper bits, row index below) increases in global order; the position is
-    the row index plus the row counts of the preceding partitions, taken
-    from a table with one row per partition (bounded by the partition count).
-    ``order`` should be unique so the numbering is the same on re-execution.
+    order columns and written once with their partition and row index; the
+    position is the row index plus the row counts of the preceding
+    partitions. The counts are taken from the written rows, so both come from
+    the same partitioning (two range shuffles may cut differently). The number
+    of partitions follows the session's shuffle partitions, coalesced by
+    size, unless given. Ties of ``order`` are ordered by a hash of the row.
     """
     start = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
-    n = partitions or rows.sparkSession.sparkContext.defaultParallelism
-    ranged = (rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_m", F.monotonically_increasing_id())
-              .withColumn("_p", F.shiftright("_m", 33))
-              .withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1))
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    tied = rows.withColumn("_t", F.xxhash64(*[F.col(c) for c in rows.columns]))
+    by = [*order, "_t"]
+    dealt = tied.repartitionByRange(partitions, *by) if partitions else tied.repartitionByRange(*by)
+    m = F.monotonically_increasing_id()   # partition in the upper 31 bits, row below
+    written = materialize(
+        dealt.sortWithinPartitions(*by).withColumn("_m", m)
+        .withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+        .drop("_m", "_t"), "serial")
+    counts = written.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition: bounded by the partition count.
     offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
-    keyed = ranged.join(F.broadcast(offsets), "_p").withColumn(key, F.col("_o") + F.col("_i") + start)
-    return keyed.drop("_m", "_p", "_i", "_o")
+    keyed = written.join(F.broadcast(offsets), "_p").withColumn(key, F.col("_o") + F.col("_i") + start)
+    return keyed.drop("_p", "_i", "_o")

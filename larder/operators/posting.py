@@ -8,10 +8,15 @@ reason name) rejects it:
 
 * ``bad_amount``          - an amount <= 0 (the source has no such test);
 * ``duplicate_upc``       - a UPC twice in one cart (breaks the sale key);
-* ``insufficient_stock``  - unknown UPC or stock below the line's amount;
+* ``insufficient_stock``  - missing or unknown UPC, or stock below the line's amount;
+* ``missing_seq``         - no place in the order of arrival;
 * ``unknown_card``        - a card number that does not exist;
 * ``unknown_cashier``     - a user without an employee.
 
+Lines without a cart id belong to no cart; they are rejected together, as
+one reject with a NULL cart id and the reason ``missing_cart``. So every
+cart of the input is in exactly one of receipts and rejects.
+
 The remaining carts consume stock in ``seq`` order: a per-UPC running sum
 of their amounts must stay within stock, otherwise the cart is rejected as
 ``insufficient_stock_batch``. Carts rejected by this rule still count in
@@ -39,7 +44,7 @@ from pyspark.sql import functions as F
 from larder.functions.exprs import dec, money, ts, vat
 from larder.operators.keys import assign_text_keys
 from larder.schemas import SCHEMAS
-from larder.sources.tables import Tables, materialize, replaced
+from larder.sources.tables import Tables, left_join_present, materialize, replaced
 
 # Fixed values from the source: VAT added to goods, discount in percent.
 GROSS_FACTOR = "1.2"
@@ -47,8 +52,9 @@ SEQ_BLOCK = 1 << 16
 # Reject reasons, in the order a cart reports them (its first by name).
 # Carried as codes 1..n so per-cart aggregation stays in a hash aggregate
 # (min/max over text would fall back to a sort-based one).
-REASONS = ("bad_amount", "duplicate_upc", "insufficient_stock", "unknown_card", "unknown_cashier",
+REASONS = ("bad_amount", "duplicate_upc", "insufficient_stock", "missing_seq", "unknown_card", "unknown_cashier",
            "insufficient_stock_batch")
+MISSING_CART = "missing_cart"
 
 
 def _code(name: str) -> int:
@@ -71,29 +77,29 @@ def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, block:
     """Inclusive running sum of ``value`` per ``by`` in ``order`` (ROWS frame),
     as a multi-level scan so that no window group grows with the data.
 
-    Level 1 groups rows into (``by``, order // block) cells and runs a window
-    inside each cell; the running sums of the cell totals (the offsets) are
-    computed the same way one level up, on a table ``block`` times smaller.
-    At the last level a plain per-``by`` window runs over at most
+    Rows are grouped into (``by``, order // block) cells. The cell totals (one
+    row per cell, combined before the shuffle) are written once; their own
+    running sums, computed the same way on that table, ``block`` times
+    smaller, are the offsets. Each cell then runs a window with its offset;
+    the join with the offsets and the window share one partitioning. At the
+    last level a plain per-``by`` window runs over at most
     order range / block^(levels-1) rows: with the defaults, 256 rows per
-    key for a range of 2^40 (a trillion carts). ``order`` must be integral
-    and unique within ``by`` up to ties of zero ``value``.
+    key for a range of 2^40 (a trillion carts). ``by`` and ``order`` must
+    not be NULL; ``order`` must be integral and unique within ``by`` up to
+    ties of zero ``value``.
     """
     if levels <= 1:
         w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
-    blk, tot, cum, off, inn = (f"_{x}{levels}" for x in ("blk", "tot", "cum", "off", "in"))
-    inside = Window.partitionBy(by, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    cells = df.withColumn(blk, F.floor(F.col(order) / F.lit(block))).withColumn(inn, F.sum(value).over(inside))
-    # Cell totals come from the windowed rows, which are already partitioned
-    # by cell: the input is shuffled once and read by both branches (the
-    # exchange is reused), instead of being computed twice.
-    totals = cells.groupBy(by, blk).agg(F.sum(value).alias(tot))
+    blk, tot, cum, off = (f"_{x}{levels}" for x in ("blk", "tot", "cum", "off"))
+    cells = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)))
+    totals = materialize(cells.groupBy(by, blk).agg(F.sum(value).alias(tot)), f"running-{levels}")
     upper = running_sum(totals, by, blk, tot, cum, block, levels - 1)
     offsets = upper.select(by, blk, (F.col(cum) - F.col(tot)).alias(off))
+    inside = Window.partitionBy(by, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (cells.join(offsets, [by, blk])
-            .withColumn(out, F.col(off) + F.col(inn))
-            .drop(blk, inn, off))
+            .withColumn(out, F.col(off) + F.sum(value).over(inside))
+            .drop(blk, off))
 
 
 def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
@@ -108,12 +114,14 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
     same = Window.partitionBy("cart_id", "upc")
     # An empty card number means a walk-in customer, like a missing one.
     lines = lines.withColumn("card_number", F.when(F.trim(F.col("card_number")) != "", F.col("card_number")))
-    a = (lines.join(cards, "card_number", "left").repartition("cart_id")
+    # Walk-ins (a large share of all lines) have no card to look up and go round the join.
+    a = (left_join_present(lines, cards, ["card_number"]).repartition("cart_id")
          .withColumn("_dup", F.count(F.lit(1)).over(same))
          .join(sp, "upc", "left").join(users, "user_id", "left"))
     bad = (F.when(F.col("amount").isNull() | (F.col("amount") <= 0), _code("bad_amount"))
            .when(F.col("products_number").isNull() | (F.col("products_number") < F.col("amount")),
                  _code("insufficient_stock"))
+           .when(F.col("seq").isNull(), _code("missing_seq"))
            .when(F.col("id_employee").isNull(), _code("unknown_cashier"))
            .when(F.col("card_number").isNotNull() & F.col("percent").isNull(), _code("unknown_card"))
            .when(F.col("_dup") > 1, _code("duplicate_upc")))
@@ -125,27 +133,34 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
     return a.withColumn("bad", bad).drop("_dup").withColumn("cart_bad", F.min("bad").over(cart))
 
 
-def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = SEQ_BLOCK) -> Posting:
-    """Post a batch of carts; see the module text for the rules.
+class Judged(NamedTuple):
+    lines: DataFrame         # lines of accepted carts, with price, stock, cashier and percent
+    rejects: DataFrame       # cart_id, reason
 
-    The judged lines, and the lines with their running sums, are each read
-    by several branches (the levels of the running sum; rejects, receipts,
-    stock use, sale lines), so both are written once to the session's
-    shared checkpoint folder: the lookups run once, and a lost executor
-    resumes from the written files instead of the whole lineage.
+
+def judge_carts(t: Mapping[str, DataFrame], lines: DataFrame, block: int = SEQ_BLOCK) -> Judged:
+    """Verdict on every cart of a batch; see the module text for the rules.
+
+    The judged lines, and the accepted ones with their running sums, are each
+    read by several branches, so both are written once to the session's shared
+    checkpoint folder: the lookups run once, and a lost executor resumes from
+    the written files instead of the whole lineage. Lines of carts that fail
+    a rule by themselves take no part in the running sum.
     """
-    r = materialize(judge_lines(t, lines), "posting-judged").withColumn(
-        "_take", F.when(F.col("cart_bad").isNull(), F.col("amount")).otherwise(F.lit(0)))
-    over = F.when(F.col("cart_bad").isNull() & (F.col("run") > F.col("products_number")), 1).otherwise(0)
-    r = materialize(running_sum(r, "upc", "seq", "_take", "run", block)
+    lost = lines.where(F.col("cart_id").isNull()).select("cart_id").distinct() \
+        .select("cart_id", F.lit(MISSING_CART).alias("reason"))
+    judged = materialize(judge_lines(t, lines.where(F.col("cart_id").isNotNull())), "posting-judged")
+    failed = judged.where(F.col("cart_bad").isNotNull()).select("cart_id", F.col("cart_bad").alias("code"))
+    over = (F.col("run") > F.col("products_number")).cast("int")
+    r = materialize(running_sum(judged.where(F.col("cart_bad").isNull()), "upc", "seq", "amount", "run", block)
                     .withColumn("cart_over", F.max(over).over(Window.partitionBy("cart_id"))), "posting-run")
-    # Every line carries its cart's verdict, so rejects and accepted lines
-    # are plain filters (no per-cart result is joined back).
-    code = F.coalesce(F.col("cart_bad"), F.when(F.col("cart_over") == 1, F.lit(_code("insufficient_stock_batch"))))
-    rejects = (r.where(code.isNotNull()).select("cart_id", code.alias("code")).distinct()
-               .select("cart_id", reason_name(F.col("code")).alias("reason")))
-    ok_lines = r.where(code.isNull())
+    oversold = r.where(F.col("cart_over") == 1).select("cart_id", F.lit(_code("insufficient_stock_batch")).alias("code"))
+    rejects = failed.unionByName(oversold).distinct().select("cart_id", reason_name(F.col("code")).alias("reason"))
+    return Judged(r.where(F.col("cart_over") == 0), rejects.unionByName(lost))
+
 
+def cart_receipts(ok_lines: DataFrame, now) -> DataFrame:
+    """One row per accepted cart: cart_id, seq and the receipt's columns, without its number."""
     # Cashier and card are the same on every line of a cart: grouping keys.
     carts = ok_lines.groupBy("cart_id", "id_employee", "card_number").agg(
         F.min("seq").alias("seq"),
@@ -153,21 +168,31 @@ def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = S
         F.sum(F.col("selling_price") * F.col("amount")).cast("decimal(18,4)").alias("goods"))
     total = money(F.col("goods") * dec(GROSS_FACTOR)
                   * (F.lit(100) - F.col("percent")).cast("decimal(3,0)") * dec("0.01"))
-    receipts = carts.select("cart_id", "seq", "id_employee", "card_number",
-                            ts(now).alias("print_date"), total.alias("sum_total"))
-    receipts = receipts.withColumn("vat", vat(F.col("sum_total")))
+    return carts.select("cart_id", "seq", "id_employee", "card_number",
+                        ts(now).alias("print_date"), total.alias("sum_total")).withColumn("vat", vat(F.col("sum_total")))
+
+
+def stock_after(t: Mapping[str, DataFrame], ok_lines: DataFrame) -> DataFrame:
+    """store_product with the units of the accepted lines taken off."""
+    used = ok_lines.groupBy("upc").agg(F.sum("amount").alias("_used"))
+    sp = t["store_product"].join(used, "upc", "left").withColumn(
+        "products_number", (F.col("products_number") - F.coalesce(F.col("_used"), F.lit(0))).cast("int"))
+    return sp.select(*SCHEMAS["store_product"].fieldNames())
+
+
+def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = SEQ_BLOCK) -> Posting:
+    """Post a batch of carts: verdicts, receipts with new numbers, sale lines, stock."""
+    ok_lines, rejects = judge_carts(t, lines, block)
+    receipts = cart_receipts(ok_lines, now)
     existing = t["check_table"].select("check_number")
     receipts = assign_text_keys(receipts, "check_number", "check", ["cart_id"], existing)
 
     # The captured price (J13) is the store price the lines were judged with.
     sold = ok_lines.join(receipts.select("cart_id", "check_number"), "cart_id").select(
         "upc", "check_number", F.col("amount").cast("int").alias("product_number"), "selling_price")
-    used = ok_lines.groupBy("upc").agg(F.sum("amount").alias("_used"))
-    sp = t["store_product"].join(used, "upc", "left").withColumn(
-        "products_number", (F.col("products_number") - F.coalesce(F.col("_used"), F.lit(0))).cast("int"))
     new = replaced(
         t,
-        store_product=sp.select(*SCHEMAS["store_product"].fieldNames()),
+        store_product=stock_after(t, ok_lines),
         check_table=t["check_table"].unionByName(receipts.select(*SCHEMAS["check_table"].fieldNames())),
         sale=t["sale"].unionByName(sold),
     )
