@@ -23,7 +23,7 @@ from larder.functions.exprs import vat
 from larder.operators.integrity import column_failures, key_text
 from larder.operators.keys import assign_serial
 from larder.schemas import FOREIGN_KEYS, RULES, SCHEMAS, SPECS, references_from, references_to
-from larder.sources.tables import Tables, conform, materialize, replaced
+from larder.sources.tables import Tables, conform, key_hits, left_join_present, materialize, replaced
 
 REJECT_COLUMNS = ("table_name", "key", "reason")
 
@@ -55,11 +55,33 @@ def _first_reason(reasons: list[Column]) -> Column:
 def _flag_keys(rows: DataFrame, other: DataFrame, cols: list[str], flag: str) -> DataFrame:
     """rows + boolean ``flag``: does the key appear in ``other``?
 
-    Only the distinct batch keys meet ``other`` (a semi join on the key
-    columns), so the big side is never deduplicated or widened.
+    The big table is semi-joined with the batch's keys (``key_hits``), never the
+    other way round; rows with a NULL key go round the join and are not flagged.
     """
-    hit = rows.select(*cols).distinct().join(other.select(*cols), cols, "left_semi").withColumn(flag, F.lit(True))
-    return rows.join(hit, cols, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    hit = key_hits(other, rows, cols).withColumn(flag, F.lit(True))
+    return left_join_present(rows, hit, cols).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+
+
+def _without(big: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows of ``big`` whose key is not among ``keys``; NULL keys stay and go round the join."""
+    present = F.lit(True)
+    for c in cols:
+        present = present & F.col(c).isNotNull()
+    nullable = any(big.schema[c].nullable for c in cols)
+    left = (big.where(present) if nullable else big).join(keys.select(*cols), cols, "left_anti").select(*big.columns)
+    return left.unionByName(big.where(~present)) if nullable else left
+
+
+def _flag_later_duplicates(rows: DataFrame, cols: list[str], order: list[str], flag: str) -> DataFrame:
+    """rows + boolean ``flag``: does an earlier row that passed so far have the same key?
+
+    Needs a unique ``_rid``. The first row of each key is found by an aggregation
+    (combined before the shuffle), so a key that very many rows share is no single group."""
+    ok = rows.where(F.col("_reason").isNull()).na.drop(subset=cols)
+    place = F.struct(*[F.col(c) for c in order], F.col("_rid"))
+    first = ok.groupBy(*cols).agg(F.min(place)["_rid"].alias("_first"))
+    return left_join_present(rows, first, cols).withColumn(
+        flag, F.col("_reason").isNull() & F.coalesce(F.col("_first") != F.col("_rid"), F.lit(False))).drop("_first")
 
 
 def _flag_batch_duplicates(rows: DataFrame, cols: list[str], flag: str) -> DataFrame:
@@ -79,8 +101,13 @@ def _rule_failures(table: str, today) -> list[Column]:
 
 
 def _validate(t: Tables, table: str, rows: DataFrame, existing: DataFrame | None,
-              today=None, check_fk: bool = True) -> DataFrame:
-    """rows + ``_reason`` (NULL when the row may be written)."""
+              today=None, check_fk: bool = True, order: list[str] | None = None) -> DataFrame:
+    """rows + ``_reason`` (NULL when the row may be written).
+
+    With ``order`` (and a unique column ``_rid``), rows of one key are taken as if
+    written one by one: the first that passes every other rule is accepted, later
+    ones are duplicates. Without, all rows of a repeated key are refused.
+    """
     spec = SPECS[table]
     reasons = []
     for col in spec.required:
@@ -92,8 +119,9 @@ def _validate(t: Tables, table: str, rows: DataFrame, existing: DataFrame | None
     reasons += _rule_failures(table, today)
     uniques = [list(spec.key)] + [list(u) for u in spec.unique]
     for i, u in enumerate(uniques):
-        rows = _flag_batch_duplicates(rows, u, f"_bd{i}")
-        reasons.append(F.when(F.col(f"_bd{i}"), F.lit(f"duplicate_in_batch:{','.join(u)}")))
+        if order is None:
+            rows = _flag_batch_duplicates(rows, u, f"_bd{i}")
+            reasons.append(F.when(F.col(f"_bd{i}"), F.lit(f"duplicate_in_batch:{','.join(u)}")))
         if existing is not None:
             rows = _flag_keys(rows, existing, u, f"_ex{i}")
             reasons.append(F.when(F.col(f"_ex{i}"), F.lit(f"duplicate_key:{','.join(u)}")))
@@ -108,7 +136,12 @@ def _validate(t: Tables, table: str, rows: DataFrame, existing: DataFrame | None
                 present = present & F.col(c).isNotNull()
             reasons.append(F.when(present & ~F.col(f"_fk{j}"), F.lit(f"fk:{fk.parent}")))
     flags = [c for c in rows.columns if c.startswith(("_bd", "_ex", "_fk"))]
-    return rows.withColumn("_reason", _first_reason(reasons)).drop(*flags)
+    judged = rows.withColumn("_reason", _first_reason(reasons)).drop(*flags)
+    if order is not None:
+        for u in uniques:
+            judged = _flag_later_duplicates(judged, u, order, "_later").withColumn("_reason", F.when(
+                F.col("_later"), F.lit(f"duplicate_in_batch:{','.join(u)}")).otherwise(F.col("_reason"))).drop("_later")
+    return judged
 
 
 def _ordered(df: DataFrame, table: str) -> DataFrame:
@@ -129,7 +162,8 @@ def apply_inserts(t: Tables, table: str, rows: DataFrame, today=None, order: lis
       no promotional link); run the promotion pass afterwards;
     * receipts get their generated VAT; sale lines capture the store price;
     * rows failing NOT NULL / empty-required, length, CHECK, key uniqueness
-      (against the table and inside the batch) or references are rejected;
+      against the table or references are rejected; of the rows that pass,
+      the first of each key (by ``order``, else by all columns) is accepted;
       date rules (an employee's age) need ``today`` and are skipped without.
     """
     existing = t[table]
@@ -145,8 +179,10 @@ def apply_inserts(t: Tables, table: str, rows: DataFrame, today=None, order: lis
     # The batch meets several key and reference lookups; the judged batch
     # is written once, so the accepted and rejected halves (and every later
     # reader) do not redo them.
-    checked = materialize(_validate(t, table, materialize(rows, f"insert-{table}"), existing, today),
-                          f"insert-{table}-checked")
+    # Rows are numbered as they are written, so that ties of the order are settled once.
+    batch = materialize(rows.withColumn("_rid", F.monotonically_increasing_id()), f"insert-{table}")
+    by = [c for c in (order or batch.columns) if c in batch.columns and c != "_rid"]
+    checked = materialize(_validate(t, table, batch, existing, today, order=by).drop("_rid"), f"insert-{table}-checked")
     good = checked.where(F.col("_reason").isNull()).drop("_reason")
     bad = checked.where(F.col("_reason").isNotNull())
     return Change(replaced(t, **{table: existing.unionByName(good)}), _rejects(table, bad))
@@ -180,9 +216,10 @@ def apply_updates(t: Tables, table: str, changes: DataFrame, today=None) -> Chan
     fields = [c for c in UPDATABLE[table] if c in changes.columns]
     ch = changes.select(*key, *[F.col(c).cast(SCHEMAS[table][c].dataType).alias(c) for c in fields])
     ch = materialize(_flag_batch_duplicates(ch, key, "_dupc"), f"update-{table}")
-    unknown = ch.join(existing.select(*key), key, "left_anti")
-    known = ch.join(existing.select(*key), key, "left_semi")
-    old = existing.alias("o")
+    hits = materialize(key_hits(existing, ch, key), f"update-{table}-keys")
+    unknown = ch.join(hits, key, "left_anti")
+    known = ch.join(hits, key, "left_semi")
+    old = existing.join(hits, key, "left_semi").alias("o")
     merged = known.alias("c").join(old, key).select(
         *[F.col(f"o.{c}") if c in key else
           (F.coalesce(F.col(f"c.{c}"), F.col(f"o.{c}")) if c in fields else F.col(f"o.{c}")).alias(c)
@@ -193,14 +230,14 @@ def apply_updates(t: Tables, table: str, changes: DataFrame, today=None) -> Chan
     if table == "sale":
         merged = capture_price(merged, t["store_product"]).join(merged.select(*key, "_dupc"), key)
     merged = materialize(merged, f"update-{table}-merged")
-    others = existing.join(merged.select(*key), key, "left_anti")
+    others = _without(existing, merged.select(*key).distinct(), key)
     checked = _validate(t, table, merged.drop("_dupc"), others, today)
     checked = checked.join(merged.select(*key, "_dupc").distinct(), key).withColumn(
         "_reason", F.when(F.col("_dupc"), F.lit("duplicate_in_batch")).otherwise(F.col("_reason"))).drop("_dupc")
     checked = materialize(checked, f"update-{table}-checked")
     good = checked.where(F.col("_reason").isNull()).drop("_reason")
     bad = checked.where(F.col("_reason").isNotNull())
-    kept_old = existing.join(good.select(*key), key, "left_anti")
+    kept_old = _without(existing, good.select(*key), key)
     new = kept_old.unionByName(good.select(*SCHEMAS[table].fieldNames()))
     rejects = _rejects(table, bad).unionByName(
         unknown.select(F.lit(table).alias("table_name"), key_text(key).alias("key"), F.lit("unknown_key").alias("reason")))
@@ -217,7 +254,8 @@ def apply_deletes(t: Tables, table: str, keys: DataFrame) -> Change:
     """
     key = list(SPECS[table].key)
     existing = t[table]
-    req = keys.select(*key).distinct().join(existing.select(*key), key, "left_semi")
+    asked = keys.select(*key).distinct()
+    req = materialize(key_hits(existing, asked, key), f"delete-{table}-keys")
     blocked = None
     for fk in references_to(table):
         if fk.on_delete != "NO ACTION":
@@ -227,30 +265,31 @@ def apply_deletes(t: Tables, table: str, keys: DataFrame) -> Change:
         if fk.child == table:   # rows deleted together do not block each other
             refs = child.join(req.select(*[F.col(k).alias(f"_d_{k}") for k in key]),
                               [F.col(k) == F.col(f"_d_{k}") for k in key], "left_anti").select(refs.columns)
-        b = req.join(refs, key, "left_semi").withColumn("reason", F.lit(f"referenced_by:{fk.child}"))
+        b = key_hits(refs, req, key).withColumn("reason", F.lit(f"referenced_by:{fk.child}"))
         blocked = b if blocked is None else blocked.unionByName(b)
     if blocked is not None:
         blocked = blocked.groupBy(*key).agg(F.min("reason").alias("reason"))
         gone = req.join(blocked.select(*key), key, "left_anti")
     else:
         gone = req
-    updates = {table: _ordered(existing.join(gone, key, "left_anti"), table)}
+    gone = materialize(gone, f"delete-{table}-gone")
+    updates = {table: _ordered(_without(existing, gone, key), table)}
     for fk in references_to(table):
         child_name = fk.child
         child = updates.get(child_name, t[child_name])
         dead = gone.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)])
         if fk.on_delete == "CASCADE":
-            updates[child_name] = _ordered(child.join(dead, list(fk.columns), "left_anti"), child_name)
+            updates[child_name] = _ordered(_without(child, dead, list(fk.columns)), child_name)
         elif fk.on_delete == "SET NULL":
             hit = dead.withColumn("_hit", F.lit(True))
-            j = child.join(hit, list(fk.columns), "left")
+            j = left_join_present(child, hit, list(fk.columns))
             updates[child_name] = j.select(*[
                 (F.when(F.col("_hit"), F.lit(None).cast(SCHEMAS[child_name][c].dataType)).otherwise(F.col(c)).alias(c)
                  if c in fk.columns else F.col(c)) for c in SCHEMAS[child_name].fieldNames()])
     rejects = (blocked.select(F.lit(table).alias("table_name"), key_text(key).alias("key"), "reason")
                if blocked is not None else
                keys.sparkSession.createDataFrame([], "table_name string, key string, reason string"))
-    missing = keys.select(*key).distinct().join(existing.select(*key), key, "left_anti").select(
+    missing = asked.join(req, key, "left_anti").select(
         F.lit(table).alias("table_name"), key_text(key).alias("key"), F.lit("unknown_key").alias("reason"))
     return Change(replaced(t, **updates), rejects.unionByName(missing))
 
@@ -259,28 +298,36 @@ def rekey(t: Tables, table: str, mapping: DataFrame) -> Change:
     """Change primary keys; every foreign key follows (ON UPDATE CASCADE).
 
     ``mapping`` has columns ``old_key``, ``new_key`` (single-column keys).
-    A mapping is rejected when its old key is unknown, its new key is taken
-    by a row that is not itself renamed away, or two mappings share a key.
+    A mapping is rejected when its old key is unknown, its new key is missing,
+    empty or too long, taken by a row that is not itself renamed away, or two
+    mappings share a key.
     """
     (key,) = SPECS[table].key
     existing = t[table]
-    m = mapping.select("old_key", "new_key")
+    m = materialize(mapping.select("old_key", "new_key"), f"rekey-{table}")
     m = _flag_batch_duplicates(m, ["old_key"], "_d1")
     m = _flag_batch_duplicates(m, ["new_key"], "_d2")
-    keys_after = existing.select(F.col(key).alias("new_key")).join(
-        m.select(F.col("old_key").alias("new_key")), "new_key", "left_anti")
-    m = _flag_keys(m, keys_after, ["new_key"], "_taken")
+    # Taken: the new key is in use by a row that is not renamed away itself.
+    used = key_hits(existing.select(F.col(key).alias("new_key")), m, ["new_key"])
+    taken = used.join(m.select(F.col("old_key").alias("new_key")), "new_key", "left_anti").withColumn("_taken", F.lit(True))
+    m = left_join_present(m, taken, ["new_key"]).withColumn("_taken", F.coalesce("_taken", F.lit(False)))
     m = _flag_keys(m, existing.select(F.col(key).alias("old_key")), ["old_key"], "_known")
+    new = F.col("new_key")
+    limit = SPECS[table].varchar.get(key)
+    text = isinstance(SCHEMAS[table][key].dataType, T.StringType)
+    missing = new.isNull() | (F.trim(new) == "") if text else new.isNull()
     reason = _first_reason([F.when(~F.col("_known"), F.lit("unknown_key")),
+                            F.when(missing, F.lit(f"missing:{key}")),
+                            F.when(F.length(new) > limit, F.lit(f"too_long:{key}")) if limit else F.lit(None).cast("string"),
                             F.when(F.col("_d1") | F.col("_d2"), F.lit("duplicate_in_batch")),
                             F.when(F.col("_taken"), F.lit("duplicate_key"))])
-    m = m.withColumn("_reason", reason)
+    m = materialize(m.withColumn("_reason", reason).drop("_d1", "_d2", "_taken", "_known"), f"rekey-{table}-judged")
     good = m.where(F.col("_reason").isNull()).select("old_key", "new_key")
     rejects = m.where(F.col("_reason").isNotNull()).select(
         F.lit(table).alias("table_name"), F.col("old_key").alias("key"), F.col("_reason").alias("reason"))
 
     def follow(df: DataFrame, col: str, name: str) -> DataFrame:
-        j = df.join(good.withColumnRenamed("old_key", col), col, "left")
+        j = left_join_present(df, good.withColumnRenamed("old_key", col), [col])
         return j.select(*[(F.coalesce(F.col("new_key"), F.col(c)).alias(c) if c == col else F.col(c))
                           for c in SCHEMAS[name].fieldNames()])
 

@@ -70,17 +70,15 @@ def check_fk(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
     return _report(orphans, fk.child, F.lit(f"fk:{fk.name}"))
 
 
-def check_rules(df: DataFrame, table: str, today) -> DataFrame:
-    """W1d: CHECK constraints that evaluate to false (NULL passes)."""
-    out = None
-    for r in RULES:
-        if r.table != table:
-            continue
-        expr = F.expr(r.expr.replace("{today}", "_today")) if r.needs_today else F.expr(r.expr)
-        src = df.withColumn("_today", date(today)) if r.needs_today else df
-        part = _report(src.where(expr == F.lit(False)), table, F.lit(f"check:{r.name}"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def check_rules(df: DataFrame, table: str, today) -> DataFrame | None:
+    """W1d: CHECK constraints that evaluate to false (NULL passes), all rules in one pass."""
+    rules = [r for r in RULES if r.table == table]
+    if not rules:
+        return None
+    src = df.withColumn("_today", date(today))
+    failed = [F.when(F.expr(r.expr.replace("{today}", "_today")) == F.lit(False), F.lit(f"check:{r.name}")) for r in rules]
+    bad = src.where(F.coalesce(*failed).isNotNull()).select("*", F.explode(F.array(*failed)).alias("_rule"))
+    return _report(bad.where(F.col("_rule").isNotNull()), table, F.col("_rule"))
 
 
 def violations(t: Tables, kinds=("columns", "unique", "fk", "rules"), today=None, tables=TABLES) -> DataFrame:
