@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import display_price, ordered, original_price, sort_key
+from larder.sources.tables import key_hits, lookup
 
 Tables = Mapping[str, DataFrame]
 
@@ -41,21 +42,21 @@ def product_by_name(t: Tables, name: str) -> DataFrame:
 
 def price_stock(t: Tables, upc: str) -> DataFrame:
     """Price and stock of one UPC."""
-    return t["store_product"].where(F.col("upc") == upc).select("selling_price", "products_number")
+    return lookup(t, "store_product", "upc", upc).select("selling_price", "products_number")
 
 
 def key_exists(candidates: DataFrame, key: str, table: DataFrame, columns: list[str]) -> DataFrame:
     """P17, bulk: for each distinct candidate key, is it used in any of ``columns``?
 
-    All used keys are stacked into one column and semi-joined, so each
-    candidate is probed once however many columns are checked.
+    All used keys are stacked into one column and semi-joined, with the
+    table as the streamed side, so a small set of candidates is broadcast.
     """
     used = None
     for c in columns:
         part = table.select(F.col(c).alias(key)).where(F.col(key).isNotNull())
         used = part if used is None else used.unionByName(part)
     cand = candidates.select(key).distinct()
-    taken = cand.join(used, key, "left_semi").withColumn("taken", F.lit(True))
+    taken = key_hits(used, cand, [key]).withColumn("taken", F.lit(True))
     return cand.join(taken, key, "left").select(key, F.coalesce("taken", F.lit(False)).alias("taken"))
 
 
@@ -153,6 +154,6 @@ def store_products(t: Tables, promo: bool | None = None, sort: str | None = None
 
 def store_product(t: Tables, upc: str) -> DataFrame:
     """Name, price, stock and characteristics for one UPC."""
-    return (t["store_product"].where(F.col("upc") == upc)
+    return (lookup(t, "store_product", "upc", upc)
             .join(t["product"].select("id_product", "product_name", "characteristics"), "id_product")
             .select("product_name", "selling_price", "products_number", "characteristics"))

@@ -8,12 +8,14 @@ second column), and the item dimensions after that.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import on_day, period_filter, period_start, vat
+from larder.sources.tables import lookup
 
 Tables = Mapping[str, DataFrame]
 
@@ -23,9 +25,11 @@ def with_vat(check: DataFrame) -> DataFrame:
     return check.withColumn("vat", vat(F.col("sum_total")))
 
 
-def checks_since(t: Tables, period: str, now, cashier: str | None = None) -> DataFrame:
-    """Receipts printed in the rolling period ending ``now``."""
+def checks_since(t: Tables, period: str, now=None, cashier: str | None = None) -> DataFrame:
+    """Receipts printed in the rolling period ending ``now`` (default: the current time)."""
     df = t["check_table"]
+    if now is None:
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     start = period_start(period, now)
     if start is not None:
         df = df.where(F.col("print_date") >= start)
@@ -43,9 +47,7 @@ def checks(t: Tables, check: str | None = None, cashier: str | None = None,
     (now optional). End only: date <= end, or with ``compat=True`` the
     source's end <= date <= now.
     """
-    df = t["check_table"]
-    if check is not None:
-        df = df.where(F.col("check_number") == check)
+    df = t["check_table"] if check is None else lookup(t, "check_table", "check_number", check)
     if cashier is not None:
         df = df.where(F.col("id_employee") == cashier)
     pd_ = F.col("print_date")
@@ -65,7 +67,7 @@ def checks_on_day(t: Tables, cashier: str, day) -> DataFrame:
 
 def check_lines_price_compare(t: Tables, check: str) -> DataFrame:
     """Lines of one receipt with the current and the captured price."""
-    s = t["sale"].where(F.col("check_number") == check)
+    s = lookup(t, "sale", "check_number", check)
     sp = t["store_product"].select("upc", "id_product", F.col("selling_price").alias("store_price"))
     return (s.join(sp, "upc").join(t["product"].select("id_product", "product_name"), "id_product")
             .select("upc", "id_product", "product_name", F.col("store_price").alias("selling_price"),
@@ -76,8 +78,8 @@ def check_lines(t: Tables, check: str) -> DataFrame:
     """Lines of one receipt: product id and name, UPC, price paid, units."""
     if check is None:
         raise ValueError("check lines need a check number")
-    c = t["check_table"].where(F.col("check_number") == check).select("check_number")
-    s = t["sale"].where(F.col("check_number") == check)
+    c = lookup(t, "check_table", "check_number", check).select("check_number")
+    s = lookup(t, "sale", "check_number", check)
     return (c.join(s, "check_number")
             .join(t["store_product"].select("upc", "id_product"), "upc")
             .join(t["product"].select("id_product", "product_name"), "id_product")
@@ -90,16 +92,12 @@ def check_report(t: Tables, check: str | None = None, cashier: str | None = None
 
     Period bounds are open (start < date < end), as in the requirement list.
     """
-    c = t["check_table"]
-    if check is not None:
-        c = c.where(F.col("check_number") == check)
+    c = t["check_table"] if check is None else lookup(t, "check_table", "check_number", check)
     if cashier is not None:
         c = c.where(F.col("id_employee") == cashier)
     if start is not None or end is not None:
         c = c.where(period_filter(F.col("print_date"), start, end, closed=False))
-    s = t["sale"]
-    if check is not None:
-        s = s.where(F.col("check_number") == check)
+    s = t["sale"] if check is None else lookup(t, "sale", "check_number", check)
     return (c.join(s, "check_number")
             .join(t["store_product"].select("upc", "id_product"), "upc")
             .join(t["product"].select("id_product", "product_name"), "id_product")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import ordered
+from larder.sources.tables import lookup
 
 Tables = Mapping[str, DataFrame]
 
@@ -32,7 +33,7 @@ def employee_contact(t: Tables, surname: str) -> DataFrame:
 
 def employee(t: Tables, id_employee: str) -> DataFrame:
     """One employee record."""
-    return t["employee"].where(F.col("id_employee") == id_employee)
+    return lookup(t, "employee", "id_employee", id_employee)
 
 
 def customers(t: Tables, percent: int | None = None, surname: str | None = None,

@@ -105,7 +105,7 @@ def _valid_lines(t: Tables, sale: DataFrame, trust_keys: bool) -> DataFrame:
 
 def units_sold(t: Tables, cashier: str | None = None, product: int | None = None,
                name: str | None = None, start=None, end=None, closed: bool = True,
-               coalesce: bool = True, trust_keys: bool = True) -> DataFrame:
+               coalesce: bool = True, trust_keys: bool = False) -> DataFrame:
     """Units sold, optionally by one cashier, one product id or name,
     in a period (inclusive by default, ``closed=False`` for open bounds).
 

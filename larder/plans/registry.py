@@ -23,7 +23,7 @@ from larder.operators import posting as post
 from larder.operators import promotion as promo
 from larder.operators import reports as rep
 from larder.plans import params as P
-from larder.sources.driver import upc_of
+from larder.sources.driver import padded, upc_of
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,7 @@ def _q(t):
 
 
 @register("key_exists", "P17", """
-WITH cand AS (SELECT DISTINCT lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS upc FROM lineitem),
+WITH cand AS (SELECT DISTINCT lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(12, length(CAST(l_partkey AS VARCHAR))) AS INTEGER), '0') AS upc FROM lineitem),
 used AS (SELECT upc FROM store_product UNION ALL SELECT upc_prom FROM store_product WHERE upc_prom IS NOT NULL)
 SELECT upc, upc IN (SELECT upc FROM used) AS taken FROM cand""")
 def _q(t):
@@ -634,14 +634,14 @@ def _new_cards(t):
         "*", key.alias("card_number"), (F.col("c_custkey") % 5 + 1).cast("int").alias("percent"))
     return fresh.unionByName(again).select(
         "card_number", F.col("c_name").alias("cust_surname"), F.lit("New").alias("cust_name"),
-        F.concat(F.lit("+380"), F.lpad(key, 9, "0")).alias("phone_number"),
+        F.concat(F.lit("+380"), padded(key, 9)).alias("phone_number"),
         F.col("n_name").alias("city"), "percent")
 
 
 _NEW_CARDS_SQL = f"""
 batch AS (
   SELECT b.card_number, c.c_name AS cust_surname, 'New' AS cust_name, CAST(NULL AS VARCHAR) AS cust_patronymic,
-         '+380' || lpad(CAST(c.c_custkey AS VARCHAR), 9, '0') AS phone_number, n.n_name AS city,
+         '+380' || lpad(CAST(c.c_custkey AS VARCHAR), CAST(greatest(9, length(CAST(c.c_custkey AS VARCHAR))) AS INTEGER), '0') AS phone_number, n.n_name AS city,
          CAST(NULL AS VARCHAR) AS street, CAST(NULL AS VARCHAR) AS zip_code, b.percent
   FROM (SELECT 'N' || CAST(c_custkey AS VARCHAR) AS card_number, c_custkey,
                CAST(CASE WHEN c_acctbal < 0 THEN 0 ELSE c_custkey % 5 + 1 END AS INTEGER) AS percent
@@ -789,6 +789,44 @@ def _q(t):
     return chg.rekey(t, "store_product", _rekey_map(t)).tables["sale"]
 
 
+# Key changes that must be refused, beside good ones: by the item's number,
+# no new key, an empty one, one that is too long, one that another item has, an
+# unknown old key, two items with one new key.
+
+def _bad_rekey_map(t):
+    k = F.col("p_partkey")
+    upc = upc_of(k)
+    new = (F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 7 == 1, F.lit(" "))
+           .when(k % 7 == 2, F.concat(upc, F.lit("-long"))).when(k % 7 == 3, upc_of(k + 1))
+           .when(k % 7 == 5, F.lit("SHARED")).otherwise(F.concat(F.lit("Y"), F.substring(upc, 2, 11))))
+    old = F.when(k % 14 == 6, F.concat(F.lit("?"), upc)).otherwise(upc)
+    return t["raw.part"].where((k % 7 != 4) & (F.col("p_size") > 40)).select(old.alias("old_key"), new.alias("new_key"))
+
+
+_UPC_SQL = "lpad(CAST({0} AS VARCHAR), CAST(greatest(12, length(CAST({0} AS VARCHAR))) AS INTEGER), '0')"
+
+
+@register("rekey_rejects", "W5", f"""
+WITH m AS (SELECT CASE WHEN p_partkey % 14 = 6 THEN '?' ELSE '' END || {_UPC_SQL.format('p_partkey')} AS old_key,
+  CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN {_UPC_SQL.format('p_partkey')} || '-long'
+    WHEN 3 THEN {_UPC_SQL.format('(p_partkey + 1)')} WHEN 5 THEN 'SHARED'
+    ELSE 'Y' || substr({_UPC_SQL.format('p_partkey')}, 2, 11) END AS new_key
+  FROM part WHERE p_partkey % 7 <> 4 AND p_size > 40),
+n AS (SELECT new_key, count(*) AS c FROM m WHERE new_key IS NOT NULL GROUP BY new_key)
+SELECT 'store_product' AS table_name, m.old_key AS key,
+  CASE WHEN m.old_key NOT IN (SELECT upc FROM store_product) THEN 'unknown_key'
+       WHEN m.new_key IS NULL OR trim(m.new_key) = '' THEN 'missing:upc'
+       WHEN length(m.new_key) > 12 THEN 'too_long:upc'
+       WHEN n.c > 1 THEN 'duplicate_in_batch'
+       ELSE 'duplicate_key' END AS reason
+FROM m LEFT JOIN n ON m.new_key = n.new_key
+WHERE m.old_key NOT IN (SELECT upc FROM store_product) OR m.new_key IS NULL OR trim(m.new_key) = ''
+   OR length(m.new_key) > 12 OR n.c > 1
+   OR (m.new_key IN (SELECT upc FROM store_product) AND m.new_key NOT IN (SELECT old_key FROM m))""")
+def _q(t):
+    return chg.rekey(t, "store_product", _bad_rekey_map(t)).rejects
+
+
 # --------------------------------------------------------- promotion
 
 _PROMO_SQL = f"""
@@ -827,9 +865,19 @@ def _q(t):
     return sp.select(F.coalesce("upc_prom", "upc").alias("item"), "promotional_product", "products_number")
 
 
-@register("promotion_keys", "W8", None)
+def _key_summary(rows, key, pattern, taken):
+    """Rows, distinct keys, keys of the right format, keys that were taken before."""
+    clash = rows.select(key).join(taken.select(F.col(taken.columns[0]).alias(key)), key, "left_semi")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"),
+                    F.count_if(F.col(key).rlike(pattern)).alias("n_format")).crossJoin(
+        clash.agg(F.count(F.lit(1)).alias("n_taken")))  # one row each
+
+
+@register("promotion_keys", "W8", "WITH" + _PROMO_SQL + """
+SELECT count(*) AS n_rows, count(*) AS n_keys, count(*) AS n_format, CAST(0 AS BIGINT) AS n_taken FROM cand""")
 def _q(t):
-    return promo.promotion_pass(t, P.TODAY).new_rows.select("upc_prom", "upc")
+    rows = promo.promotion_pass(t, P.TODAY).new_rows.select("upc_prom", "upc")
+    return _key_summary(rows, "upc", "^[0-9A-Z]{12}$", t["store_product"].select("upc"))
 
 
 # ------------------------------------------------------- sale posting
@@ -869,7 +917,7 @@ tot AS (SELECT cart_id, max(id_employee) AS id_employee, max(card_number) AS car
 SELECT cart_id, id_employee, card_number, sum_total,
        CAST(sum_total * CAST(0.2 AS DECIMAL(1,1)) AS DECIMAL(13,4)) AS vat FROM tot""")
 def _q(t):
-    return post.post_sales(t, t["cart_lines"], P.NOW).receipts.select(
+    return post.cart_receipts(post.judge_carts(t, t["cart_lines"]).lines, P.NOW).select(
         "cart_id", "id_employee", "card_number", "sum_total", "vat")
 
 
@@ -877,14 +925,46 @@ def _q(t):
 SELECT sp.upc, CAST(sp.products_number - coalesce(u.used, 0) AS INTEGER) AS products_number
 FROM store_product sp LEFT JOIN (SELECT upc, sum(amount) AS used FROM ok GROUP BY upc) u ON sp.upc = u.upc""")
 def _q(t):
-    return post.post_sales(t, t["cart_lines"], P.NOW).tables["store_product"].select("upc", "products_number")
+    return post.stock_after(t, post.judge_carts(t, t["cart_lines"]).lines).select("upc", "products_number")
 
 
 @register("post_sales_rejects", "W7", "WITH" + _POST_SQL + """
 SELECT cart_id, CASE WHEN cb IS NOT NULL THEN cb ELSE 'insufficient_stock_batch' END AS reason
 FROM f WHERE cb IS NOT NULL OR over_sold = 1""")
 def _q(t):
-    return post.post_sales(t, t["cart_lines"], P.NOW).rejects
+    return post.judge_carts(t, t["cart_lines"]).rejects
+
+
+# Carts with holes: every 29th cart loses its seq, every 31st the UPC of its
+# first line, every 37th its id. Each cart of the input must be accounted for.
+
+def _torn_lines(t):
+    k = F.col("seq")
+    return t["cart_lines"].select(
+        F.when(k % 29 == 0, F.lit(None).cast("long")).otherwise(k).alias("seq"),
+        F.when(k % 37 == 0, F.lit(None).cast("string")).otherwise(F.col("cart_id")).alias("cart_id"),
+        "user_id", "card_number",
+        F.when((k % 31 == 0) & (F.col("amount") % 2 == 0), F.lit(None).cast("string")).otherwise(F.col("upc")).alias("upc"),
+        "amount")
+
+
+_TORN_SQL = """
+torn AS (SELECT CASE WHEN seq % 29 = 0 THEN NULL ELSE seq END AS seq,
+                CASE WHEN seq % 37 = 0 THEN NULL ELSE cart_id END AS cart_id, user_id, card_number,
+                CASE WHEN seq % 31 = 0 AND amount % 2 = 0 THEN NULL ELSE upc END AS upc, amount FROM cart_lines),"""
+_TORN_POST_SQL = _TORN_SQL + _POST_SQL.replace("FROM cart_lines)", "FROM torn WHERE cart_id IS NOT NULL)").replace(
+    "WHEN id_employee IS NULL THEN", "WHEN seq IS NULL THEN 'missing_seq'\n    WHEN id_employee IS NULL THEN").replace(
+    "PARTITION BY upc ORDER BY seq ROWS", "PARTITION BY g.bad IS NULL, upc ORDER BY seq ROWS")
+
+
+@register("post_sales_accounting", "W7", "WITH" + _TORN_POST_SQL + """
+SELECT cart_id, CASE WHEN cb IS NOT NULL THEN cb WHEN over_sold = 1 THEN 'insufficient_stock_batch'
+                     ELSE 'posted' END AS outcome FROM f
+UNION ALL SELECT NULL, 'missing_cart' FROM (SELECT 1 FROM torn WHERE cart_id IS NULL LIMIT 1) x""")
+def _q(t):
+    ok, rejects = post.judge_carts(t, _torn_lines(t))
+    return rejects.select("cart_id", F.col("reason").alias("outcome")).unionByName(
+        post.cart_receipts(ok, P.NOW).select("cart_id", F.lit("posted").alias("outcome")))
 
 
 @register("post_sales_lines", "W7", "WITH" + _POST_SQL + """
@@ -951,9 +1031,9 @@ _PRICE_SQL = f"""
 up AS (SELECT sp.upc, CAST(sp.selling_price * CAST(1.1 AS DECIMAL(2,1)) AS DECIMAL(13,4)) AS new_price
        FROM store_product sp JOIN product p ON sp.id_product = p.id_product
        WHERE p.category_number = {P.PRICE_UP_CATEGORY}),
-zero AS (SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS upc, CAST(0 AS DECIMAL(13,4)) AS new_price
+zero AS (SELECT lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(12, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS upc, CAST(0 AS DECIMAL(13,4)) AS new_price
          FROM part WHERE p_size = {P.ZERO_PRICE_SIZE}
-           AND lpad(CAST(p_partkey AS VARCHAR), 12, '0') NOT IN (SELECT upc FROM up)),
+           AND lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(12, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') NOT IN (SELECT upc FROM up)),
 ch AS (SELECT * FROM up UNION ALL SELECT * FROM zero)"""
 
 
@@ -975,8 +1055,26 @@ def _q(t):
     return chg.apply_updates(t, "store_product", _price_changes(t)).rejects
 
 
-@register("assign_keys", "W8", None)
+@register("assign_keys", "W8", "WITH" + _POST_SQL + """
+SELECT count(DISTINCT cart_id) AS n_rows, count(DISTINCT cart_id) AS n_keys, count(DISTINCT cart_id) AS n_format,
+       CAST(0 AS BIGINT) AS n_taken FROM ok""")
+def _q(t):
+    # New receipt numbers of the posted carts: 10 digits, unique among all receipts.
+    rows = post.post_sales(t, t["cart_lines"], P.NOW).receipts.select("cart_id", "check_number")
+    return _key_summary(rows, "check_number", "^[0-9]{10}$", t["check_table"].select("check_number"))
+
+
+@register("insert_products_all", "W2/W8", f"""
+SELECT (SELECT max(id_product) FROM product) + row_number() OVER (ORDER BY p_partkey) AS id_product,
+       {P.NEW_PRODUCT_CATEGORY} AS category_number, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS product_name,
+       p_type AS characteristics, CAST(NULL AS VARCHAR) AS picture, p_partkey
+FROM part""")
 def _q(t):
-    # New receipt numbers of the posted carts: 10 digits, unique among all
-    # receipts (rows-only check; format and uniqueness are unit-tested).
-    return post.post_sales(t, t["cart_lines"], P.NOW).receipts.select("cart_id", "check_number")
+    # One new product per part, all columns; the part's number shows that keys follow the order.
+    from larder.operators.keys import assign_serial
+    rows = t["raw.part"].select(
+        F.lit(P.NEW_PRODUCT_CATEGORY).alias("category_number"),
+        F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("product_name"),
+        F.col("p_type").alias("characteristics"), F.lit(None).cast("string").alias("picture"), "p_partkey")
+    return assign_serial(rows, "id_product", t["product"], ["p_partkey"]).select(
+        "id_product", "category_number", "product_name", "characteristics", "picture", "p_partkey")

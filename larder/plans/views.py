@@ -14,27 +14,29 @@ VIEW_SQL: dict[str, str] = {
 FROM part""",
     "product": """SELECT p_partkey AS id_product, CAST(substr(p_brand, 7) AS INTEGER) AS category_number,
   p_name AS product_name, p_type AS characteristics, CAST(NULL AS VARCHAR) AS picture
-FROM part""",
-    "store_product": """SELECT lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS upc, CAST(NULL AS VARCHAR) AS upc_prom,
+FROM part UNION ALL
+SELECT -p_partkey, CAST(substr(p_brand, 7) AS INTEGER), p_name || ' (not stocked)', p_type, CAST(NULL AS VARCHAR)
+FROM part WHERE p_partkey % 100 = 7""",
+    "store_product": """SELECT lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(12, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS upc, CAST(NULL AS VARCHAR) AS upc_prom,
   p_partkey AS id_product, CAST(p_retailprice AS DECIMAL(13,4)) AS selling_price,
   CAST(5 * p_size - 5 AS INTEGER) AS products_number,
   CAST(DATE '2001-01-01' + CAST(p_partkey % 30 AS INTEGER) AS DATE) AS expire_date,
   p_type = 'PROMO' AS promotional_product
-FROM part WHERE p_partkey % 100 <> 7""",
+FROM part""",
     "employee": """SELECT CAST(s_suppkey AS VARCHAR) AS id_employee, s_name AS empl_surname,
   'Worker ' || CAST(s_suppkey AS VARCHAR) AS empl_name, CAST(NULL AS VARCHAR) AS empl_patronymic,
   CASE s_nationkey % 3 WHEN 0 THEN 'Cashier' WHEN 1 THEN 'Manager' ELSE 'Cleaner' END AS empl_role,
   CAST(abs(s_acctbal) + 1 AS DECIMAL(13,4)) AS salary,
   CAST(DATE '1970-01-01' + CAST(s_suppkey % 5000 AS INTEGER) AS DATE) AS date_of_birth,
   CAST(DATE '1970-01-01' + CAST(s_suppkey % 5000 AS INTEGER) + 7300 AS DATE) AS date_of_start,
-  '+380' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS phone_number, n_name AS city,
-  'Street ' || CAST(s_nationkey AS VARCHAR) AS street, lpad(CAST(s_nationkey AS VARCHAR), 5, '0') AS zip_code
+  '+380' || lpad(CAST(s_suppkey AS VARCHAR), CAST(greatest(9, length(CAST(s_suppkey AS VARCHAR))) AS INTEGER), '0') AS phone_number, n_name AS city,
+  'Street ' || CAST(s_nationkey AS VARCHAR) AS street, lpad(CAST(s_nationkey AS VARCHAR), CAST(greatest(5, length(CAST(s_nationkey AS VARCHAR))) AS INTEGER), '0') AS zip_code
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "user_table": """SELECT CAST(s_suppkey + 1 AS INTEGER) AS user_id, 'user' || CAST(s_suppkey AS VARCHAR) AS username,
   sha256('user' || CAST(s_suppkey AS VARCHAR)) AS user_password, CAST(s_suppkey AS VARCHAR) AS id_employee
 FROM supplier""",
     "customer_card": """SELECT CAST(c_custkey AS VARCHAR) AS card_number, c_name AS cust_surname, c_mktsegment AS cust_name,
-  CAST(NULL AS VARCHAR) AS cust_patronymic, '+380' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS phone_number,
+  CAST(NULL AS VARCHAR) AS cust_patronymic, '+380' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(9, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') AS phone_number,
   n_name AS city, CAST(NULL AS VARCHAR) AS street, CAST(NULL AS VARCHAR) AS zip_code,
   CAST(1 + c_custkey % 5 AS INTEGER) AS percent
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
@@ -43,14 +45,14 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey""",
   CAST(o_orderdate AS TIMESTAMP) AS print_date, CAST(o_totalprice AS DECIMAL(13,4)) AS sum_total,
   CAST(CAST(o_totalprice AS DECIMAL(13,4)) * CAST(0.2 AS DECIMAL(2,1)) AS DECIMAL(13,4)) AS vat
 FROM orders""",
-    "sale": """SELECT lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS upc, CAST(l_orderkey AS VARCHAR) AS check_number,
+    "sale": """SELECT lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(12, length(CAST(l_partkey AS VARCHAR))) AS INTEGER), '0') AS upc, CAST(l_orderkey AS VARCHAR) AS check_number,
   CAST(sum(l_quantity) AS INTEGER) AS product_number, max(CAST(l_extendedprice AS DECIMAL(13,4))) AS selling_price
-FROM lineitem WHERE l_partkey % 100 <> 7 GROUP BY l_partkey, l_orderkey""",
+FROM lineitem GROUP BY l_partkey, l_orderkey""",
     "cart_lines": """SELECT l_orderkey AS seq, CAST(l_orderkey AS VARCHAR) AS cart_id,
   CAST(CASE WHEN l_orderkey % 23 = 0 THEN -1 ELSE l_orderkey % 10 + 1 END AS INTEGER) AS user_id,
   CASE WHEN l_orderkey % 4 = 0 THEN NULL WHEN l_orderkey % 17 = 0 THEN 'nocard'
        ELSE CAST(l_orderkey % 150 AS VARCHAR) END AS card_number,
-  lpad(CAST(l_partkey AS VARCHAR), 12, '0') AS upc, CAST(l_quantity AS INTEGER) AS amount
+  lpad(CAST(l_partkey AS VARCHAR), CAST(greatest(12, length(CAST(l_partkey AS VARCHAR))) AS INTEGER), '0') AS upc, CAST(l_quantity AS INTEGER) AS amount
 FROM lineitem WHERE l_linestatus = 'O'""",
 }
 

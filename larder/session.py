@@ -70,7 +70,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return checkpoint_dir(spark)
-    if sc.master.startswith("local"):
+    if sc.master == "local" or sc.master.startswith("local["):
         import tempfile
         return checkpoint_dir(spark, os.path.join(tempfile.gettempdir(), "larder-checkpoints"))
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store)")
@@ -94,6 +94,3 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
-
-def bench_cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))

@@ -20,9 +20,13 @@ class Tables(Mapping):
     (how change operators publish new versions without mutating inputs).
     """
 
-    def __init__(self, builders: Mapping[str, Callable[[], DataFrame] | DataFrame]):
+    def __init__(self, builders: Mapping[str, Callable[[], DataFrame] | DataFrame],
+                 lookups: Mapping[tuple[str, str], Callable[[str], DataFrame]] | None = None):
         self._builders = dict(builders)
         self._cache: dict[str, DataFrame] = {}
+        # (table, column) -> rows with a given text value, for mappings that can
+        # turn the text into a filter the reader understands.
+        self.lookups = dict(lookups or {})
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
@@ -42,6 +46,39 @@ class Tables(Mapping):
         return Tables(merged)
 
 
+def lookup(t: Mapping[str, DataFrame], table: str, column: str, value: str) -> DataFrame:
+    """Rows of ``table`` whose key ``column`` equals ``value``; the filter reaches the
+    reader where the table set knows how (else a plain filter)."""
+    found = getattr(t, "lookups", {}).get((table, column))
+    return found(value) if found else t[table].where(F.col(column) == value)
+
+
+def key_hits(big: DataFrame, batch: DataFrame, cols: list[str]) -> DataFrame:
+    """The distinct keys of ``batch`` that occur in ``big``.
+
+    The big table is the streamed side of a semi join with the batch's keys, so
+    a small batch is broadcast and only matching keys of the big table are
+    shuffled, instead of all of it.
+    """
+    keys = batch.select(*cols).na.drop(subset=cols).distinct()
+    return big.select(*cols).join(keys, cols, "left_semi").distinct()
+
+
+def left_join_present(df: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
+    """Left join in which rows with a NULL key go round the join.
+
+    A NULL key matches nothing, but hashed with the others all such rows would
+    meet in one task. ``right`` must be unique on ``cols``.
+    """
+    present = F.lit(True)
+    for c in cols:
+        present = present & F.col(c).isNotNull()
+    added = [f for f in right.schema.fields if f.name not in cols]
+    hit = df.where(present).join(right, cols, "left")
+    rest = df.where(~present).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
+    return hit.unionByName(rest)
+
+
 def replaced(t: Mapping[str, DataFrame], **new: DataFrame) -> Tables:
     """A table set equal to ``t`` with some tables replaced (``t`` is unchanged)."""
     merged: dict = {k: (lambda k=k: t[k]) for k in t}
@@ -98,11 +135,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     from larder.session import ensure_checkpoint_dir
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "larder", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(root, "larder", spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete everything ``materialize`` wrote for this application.
+
+    Results built from such tables must have been written or collected before:
+    call it when a change is published, or at the end of the application.
+    """
+    from larder.session import ensure_checkpoint_dir
+    root = os.path.join(ensure_checkpoint_dir(spark), "larder", spark.sparkContext.applicationId)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # Storage layout for published versions: the two fact tables are bucketed on
 # the receipt number, the key of every receipt <-> line join (unit counts,
 # receipt reports, the division, receipt deletes), so those joins read
