@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 from collections.abc import Callable, Iterator, Mapping
@@ -136,20 +137,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = os.path.join(root, "larder", spark.sparkContext.applicationId, f"{label}-{uuid.uuid4().hex}")
+    if _OPEN_SCOPES:
+        _OPEN_SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete everything ``materialize`` wrote for this application.
+# Paths written inside open ``temporary_tables`` blocks, innermost last.
+_OPEN_SCOPES: list[list[str]] = []
 
-    Results built from such tables must have been written or collected before:
-    call it when a change is published, or at the end of the application.
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes on exit what ``materialize`` wrote inside the block.
+
+    Operators return lazy results that still read those tables: write or
+    collect them before the block ends.
     """
+    _OPEN_SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN_SCOPES.pop():
+            _delete(spark, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes everything ``materialize`` wrote for this application, at its end."""
     from larder.session import ensure_checkpoint_dir
-    root = os.path.join(ensure_checkpoint_dir(spark), "larder", spark.sparkContext.applicationId)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, os.path.join(ensure_checkpoint_dir(spark), "larder", spark.sparkContext.applicationId))
 
 
 # Storage layout for published versions: the two fact tables are bucketed on

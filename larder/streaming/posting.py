@@ -11,9 +11,13 @@ Outputs go to ``out_root`` as append-only folders, one partition per
 epoch (receipts, sale lines, stock used, rejects). A retried epoch
 overwrites exactly its own partition and reads only earlier epochs, so a
 micro-batch is applied once even after a failure (the query's own
-checkpoint records which epochs committed). ``compact`` folds committed
-epochs into a new base version so a micro-batch never reads an unbounded
-history of epoch folders.
+checkpoint records which epochs committed).
+
+What a micro-batch has to know of earlier ones is their units sold and their
+receipt numbers. Every ``FOLD_EVERY`` epochs these are folded into one state
+folder (``_state/<epoch>``), so a micro-batch reads one state and fewer than
+``FOLD_EVERY`` epoch folders however long the stream has run; a restart goes
+on from the newest finished state. ``compact`` makes a new base version.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from larder.operators.posting import post_sales
 from larder.schemas import SCHEMAS
-from larder.sources.tables import Tables, replaced
+from larder.sources.tables import Tables, conform, materialize, replaced, temporary_tables
 
 CART_SCHEMA = ("cart_id string, seq long, user_id int, card_number string, "
                "lines array<struct<upc: string, amount: int>>, arrived_at timestamp")
 OUTPUTS = ("receipts", "sale", "stock_used", "rejects")
+FOLD_EVERY = 16
 
 
 def cart_lines_of(carts: DataFrame) -> DataFrame:
@@ -52,31 +57,76 @@ def carts_of(lines: DataFrame, arrived_at) -> DataFrame:
         "arrived_at", F.lit(arrived_at).cast("timestamp"))
 
 
+def _fs(spark, path: str):
+    """The path's file system and the path, as Hadoop sees them (any store Spark can read)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def _children(spark, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 class PostingBatch:
     """``foreachBatch`` function posting each micro-batch of carts."""
 
-    def __init__(self, base: Mapping[str, DataFrame], out_root: str, since_epoch: int = -1):
+    def __init__(self, base: Mapping[str, DataFrame], out_root: str, since_epoch: int = -1,
+                 fold_every: int = FOLD_EVERY):
         self.base = base
         self.out_root = out_root
         self.since_epoch = since_epoch      # epochs up to this one are folded into ``base``
-
-    def _earlier(self, spark, name: str, schema: str, epoch: int) -> DataFrame:
-        return epochs(spark, self.out_root, name, schema, self.since_epoch, epoch)
+        self.fold_every = fold_every
+
+    def _state(self, spark, epoch: int) -> tuple[int, str | None]:
+        """The newest finished state before ``epoch``, newer than the base."""
+        root = os.path.join(self.out_root, "_state")
+        done = [int(n) for n in _children(spark, root) if n.isdigit() and self.since_epoch < int(n) < epoch
+                and all(_exists(spark, os.path.join(root, n, part, "_SUCCESS")) for part in ("used", "numbers"))]
+        return (max(done), os.path.join(root, str(max(done)))) if done else (self.since_epoch, None)
+
+    def _known(self, spark, epoch: int, after: int, state: str | None) -> tuple[DataFrame, DataFrame]:
+        """Units sold (upc, used) and receipt numbers of the epochs that are not in the base."""
+        used = epochs(spark, self.out_root, "stock_used", "upc string, used long", after, epoch)
+        numbers = epochs(spark, self.out_root, "receipts", "check_number string", after, epoch)
+        if state:
+            used = used.unionByName(spark.read.schema("upc string, used long").parquet(os.path.join(state, "used")))
+            numbers = numbers.unionByName(spark.read.schema("check_number string").parquet(os.path.join(state, "numbers")))
+        return used.groupBy("upc").agg(F.sum("used").alias("used")), numbers
+
+    def _fold(self, spark, epoch: int) -> None:
+        """Write the state of all epochs before ``epoch`` when the last one is old enough."""
+        after, state = self._state(spark, epoch)
+        if epoch - 1 - after < self.fold_every:
+            return
+        used, numbers = self._known(spark, epoch, after, state)
+        path = os.path.join(self.out_root, "_state", str(epoch - 1))
+        used.write.mode("overwrite").parquet(os.path.join(path, "used"))
+        numbers.write.mode("overwrite").parquet(os.path.join(path, "numbers"))
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
+        with temporary_tables(batch.sparkSession):  # all outputs are written inside
+            self._post(batch, epoch)
+
+    def _post(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        empty = batch.where(F.size("lines") == 0).select("cart_id", F.lit("empty_cart").alias("reason"))
+        # Written once: the deduplication state would otherwise run again for every use.
+        batch = materialize(batch, f"stream-{epoch}")
+        self._fold(spark, epoch)
+        empty = batch.where(F.coalesce(F.size("lines"), F.lit(0)) <= 0).select("cart_id", F.lit("empty_cart").alias("reason"))
         lines = cart_lines_of(batch)
         now = batch.agg(F.max("arrived_at")).scalar()
-        used = (self._earlier(spark, "stock_used", "upc string, used long", epoch)
-                .groupBy("upc").agg(F.sum("used").alias("_u")))
-        sp = (self.base["store_product"].join(used, "upc", "left")
+        used, numbers = self._known(spark, epoch, *self._state(spark, epoch))
+        sp = (self.base["store_product"].join(used.withColumnRenamed("used", "_u"), "upc", "left")
               .withColumn("products_number", (F.col("products_number") - F.coalesce("_u", F.lit(0))).cast("int"))
               .select(*SCHEMAS["store_product"].fieldNames()))
-        posted = self._earlier(spark, "receipts", ", ".join(
-            f"{f.name} {f.dataType.simpleString()}" for f in SCHEMAS["check_table"].fields), epoch)
         t = replaced(self.base, store_product=sp,
-                     check_table=self.base["check_table"].unionByName(posted.select(*SCHEMAS["check_table"].fieldNames())))
+                     check_table=conform(self.base["check_table"].select("check_number").unionByName(numbers), "check_table"))
         res = post_sales(t, lines, now)
         out = {
             "receipts": res.receipts.select(*SCHEMAS["check_table"].fieldNames(), "cart_id"),
@@ -91,14 +141,15 @@ class PostingBatch:
 
 
 def epochs(spark, out_root: str, name: str, schema: str, after: int, before: int) -> DataFrame:
-    """Rows of output ``name`` written by epochs ``after < epoch < before``
-    (partition pruning on the epoch folders)."""
-    path = os.path.join(out_root, name)
-    try:
-        df = spark.read.schema(schema + ", epoch long").parquet(path)
-    except Exception:  # nothing written yet
+    """Rows of output ``name`` written by epochs ``after < epoch < before``.
+
+    Only those epochs' folders are opened. An output that does not exist yet is
+    empty; any other failure to read is an error and stops the stream."""
+    root = os.path.join(out_root, name)
+    found = [n for n in _children(spark, root) if n.startswith("epoch=") and after < int(n[6:]) < before]
+    if not found:
         return spark.createDataFrame([], schema)
-    return df.where((F.col("epoch") > after) & (F.col("epoch") < before)).drop("epoch")
+    return spark.read.schema(schema).parquet(*[os.path.join(root, n) for n in sorted(found)])
 
 
 def compact(base: Mapping[str, DataFrame], out_root: str, upto_epoch: int, root: str,
