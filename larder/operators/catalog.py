@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import display_price, ordered, original_price, sort_key
+from larder.operators.keys import assign_serial
 from larder.sources.tables import key_hits, lookup
 
 Tables = Mapping[str, DataFrame]
@@ -106,9 +107,12 @@ def with_presentation_prices(df: DataFrame) -> DataFrame:
 
 def catalog(t: Tables, search: str | None = None, promo: bool | None = None,
             min_price=None, max_price=None, categories: list[int] | None = None,
-            in_stock: bool = False, sort: str | None = "products-asc", collation: str | None = None) -> DataFrame:
+            in_stock: bool = False, sort: str | None = "products-asc", collation: str | None = None,
+            position: str | None = None) -> DataFrame:
     """The shop catalog with optional filters; in-stock rows first.
 
+    ``position`` names a column for the row's place (1, 2, ...) in the order.
+
     J5a search: if any product (stocked or not) has a name containing the
     text, filter by LIKE '%text%' (case-sensitive; % and _ in the text stay
     wildcards), otherwise by exact UPC. The probe is a scalar subquery in
@@ -133,7 +137,13 @@ def catalog(t: Tables, search: str | None = None, promo: bool | None = None,
     cols = ["upc", "upc_prom", "id_product", "selling_price", "products_number", "expire_date",
             "promotional_product", "product_name", "category_name", "picture"]
     df = with_presentation_prices(df.select(*cols))
-    return df.orderBy((F.col("products_number") == 0).asc(), *sort_key(sort, collation=collation), F.col("upc").asc())
+    return _in_order(df, [(F.col("products_number") == 0).asc(), *sort_key(sort, collation=collation), F.col("upc").asc()],
+                     position)
+
+
+def _in_order(df: DataFrame, order: list, position: str | None) -> DataFrame:
+    """Sorted rows; with a position column, numbered without gathering them in one task."""
+    return assign_serial(df, position, None, order) if position else df.orderBy(*order)
 
 
 def store_products_raw(t: Tables) -> DataFrame:
@@ -142,14 +152,15 @@ def store_products_raw(t: Tables) -> DataFrame:
 
 
 def store_products(t: Tables, promo: bool | None = None, sort: str | None = None,
-                   collation: str | None = None) -> DataFrame:
-    """Stocked items with product and category names."""
+                   collation: str | None = None, position: str | None = None) -> DataFrame:
+    """Stocked items with product and category names (``position`` as in ``catalog``)."""
     df = _store_join(t)
     if promo is not None:
         df = df.where(F.col("promotional_product") == F.lit(bool(promo)))
     cols = ["upc", "upc_prom", "id_product", "selling_price", "products_number", "expire_date",
             "promotional_product", "product_name", "category_name"]
-    return with_presentation_prices(df.select(*cols)).orderBy(*sort_key(sort, collation=collation), F.col("upc").asc())
+    return _in_order(with_presentation_prices(df.select(*cols)),
+                     [*sort_key(sort, collation=collation), F.col("upc").asc()], position)
 
 
 def store_product(t: Tables, upc: str) -> DataFrame:

@@ -71,9 +71,9 @@ def assign_text_keys(rows: DataFrame, key: str, kind: str, natural: list[str],
     raise RuntimeError(f"could not assign {kind} keys in {max_rounds} rounds")
 
 
-def assign_serial(rows: DataFrame, key: str, existing: DataFrame, order: list[str],
+def assign_serial(rows: DataFrame, key: str, existing: DataFrame | None, order: list[str | Column],
                   partitions: int | None = None) -> DataFrame:
-    """Serial keys: max(existing key) + position of the row in ``order``.
+    """Serial keys: max(existing key, or 0) + position of the row in ``order``.
 
     No single-partition window: rows are range-partitioned and sorted on the
     order columns and written once with their partition and row index; the
@@ -83,7 +83,7 @@ def assign_serial(rows: DataFrame, key: str, existing: DataFrame, order: list[st
     of partitions follows the session's shuffle partitions, coalesced by
     size, unless given. Ties of ``order`` are ordered by a hash of the row.
     """
-    start = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
+    start = F.lit(0) if existing is None else existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
     tied = rows.withColumn("_t", F.xxhash64(*[F.col(c) for c in rows.columns]))
     by = [*order, "_t"]
     dealt = tied.repartitionByRange(partitions, *by) if partitions else tied.repartitionByRange(*by)

@@ -223,14 +223,15 @@ FROM store_product sp JOIN product p ON sp.id_product = p.id_product
 JOIN category c ON p.category_number = c.category_number"""
 
 
-@register("catalog_filtered", "J5", _CATALOG_SELECT + f"""
+@register("catalog_filtered", "J5", "SELECT *, row_number() OVER (ORDER BY products_number = 0, selling_price DESC, upc) AS pos FROM ("
+          + _CATALOG_SELECT + f"""
 WHERE (CASE WHEN (SELECT count(*) FROM product WHERE product_name LIKE '%{P.SEARCH}%') > 0
             THEN p.product_name LIKE '%{P.SEARCH}%' ELSE sp.upc = '{P.SEARCH}' END)
   AND sp.selling_price >= {P.MIN_PRICE} AND sp.selling_price <= {P.MAX_PRICE}
-  AND c.category_number IN ({', '.join(str(x) for x in P.CATEGORIES)})""")
+  AND c.category_number IN ({', '.join(str(x) for x in P.CATEGORIES)})) x""")
 def _q(t):
     return cat.catalog(t, search=P.SEARCH, min_price=P.MIN_PRICE, max_price=P.MAX_PRICE,
-                       categories=P.CATEGORIES, sort="price-desc")
+                       categories=P.CATEGORIES, sort="price-desc", position="pos")
 
 
 @register("catalog_search_name", "J5a", _CATALOG_SELECT + f"""
@@ -262,9 +263,10 @@ FROM store_product sp JOIN product p ON sp.id_product = p.id_product
 JOIN category c ON p.category_number = c.category_number"""
 
 
-@register("store_products_promo", "J6", _STORE_SELECT + " WHERE sp.promotional_product = TRUE")
+@register("store_products_promo", "J6", "SELECT *, row_number() OVER (ORDER BY products_number, upc) AS pos FROM ("
+          + _STORE_SELECT + " WHERE sp.promotional_product = TRUE) x")
 def _q(t):
-    return cat.store_products(t, promo=True, sort="numbers-asc")
+    return cat.store_products(t, promo=True, sort="numbers-asc", position="pos")
 
 
 @register("store_products_regular", "J6", _STORE_SELECT + " WHERE sp.promotional_product = FALSE")
@@ -532,63 +534,86 @@ customer_card_p AS (SELECT * FROM customer_card UNION ALL
   SELECT '12345678901234', 'Planted', 'Row', NULL, '+380000000000', NULL, NULL, NULL, 0)"""
 
 
-def _src(table: str) -> str:
-    return {"product": "product_p", "customer_card": "customer_card_p"}.get(table, table)
-
-
-def _key_sql(cols) -> str:
-    return "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
+# The oracle texts are written out (not built from ``larder.schemas``), so that a
+# wrong limit, rule or reference there shows. Fixed values of the source DDL:
+# per table: source, key text, NOT NULL columns, text limits.
+_DDL_COLUMNS = {
+    "category": ("category", "CAST(category_number AS VARCHAR)", "category_number category_name", "category_name:50"),
+    "product": ("product_p", "CAST(id_product AS VARCHAR)", "id_product category_number product_name characteristics",
+                "product_name:50 characteristics:100 picture:100"),
+    "store_product": ("store_product", "upc", "upc id_product selling_price products_number expire_date promotional_product",
+                      "upc:12 upc_prom:12"),
+    "employee": ("employee", "id_employee", "id_employee empl_surname empl_name empl_role salary date_of_birth date_of_start "
+                 "phone_number city street zip_code", "id_employee:10 empl_surname:50 empl_name:50 empl_patronymic:50 "
+                 "empl_role:10 phone_number:13 city:50 street:50 zip_code:9"),
+    "user_table": ("user_table", "CAST(user_id AS VARCHAR)", "user_id username user_password id_employee",
+                   "username:100 user_password:255 id_employee:10"),
+    "customer_card": ("customer_card_p", "card_number", "card_number cust_surname cust_name phone_number percent",
+                      "card_number:13 cust_surname:50 cust_name:50 cust_patronymic:50 phone_number:13 city:50 street:50 zip_code:9"),
+    "check_table": ("check_table", "check_number", "check_number id_employee print_date sum_total",
+                    "check_number:10 id_employee:10 card_number:13"),
+    "sale": ("sale", "upc || '|' || check_number", "upc check_number product_number", "upc:12 check_number:10"),
+}
 
 
 def _not_null_sql() -> str:
-    from larder.schemas import SPECS, TABLES
     parts = []
-    for tname in TABLES:
-        spec = SPECS[tname]
-        k = _key_sql(spec.key)
-        for c in spec.required:
-            parts.append(f"SELECT '{tname}' AS table_name, {k} AS key, 'not_null:{c}' AS rule "
-                         f"FROM {_src(tname)} WHERE {c} IS NULL")
-        for c, n in spec.varchar.items():
-            parts.append(f"SELECT '{tname}' AS table_name, {k} AS key, 'too_long:{c}' AS rule "
-                         f"FROM {_src(tname)} WHERE length({c}) > {n}")
+    for name, (src, key, required, limits) in _DDL_COLUMNS.items():
+        parts += [f"SELECT '{name}' AS table_name, {key} AS key, 'not_null:{c}' AS rule FROM {src} WHERE {c} IS NULL"
+                  for c in required.split()]
+        parts += [f"SELECT '{name}', {key}, 'too_long:{c}' FROM {src} WHERE length({c}) > {n}"
+                  for c, n in (x.split(":") for x in limits.split())]
     return "WITH " + _PLANTED_VIEWS + "\n" + "\nUNION ALL ".join(parts)
 
 
-def _unique_sql() -> str:
-    from larder.schemas import SPECS, TABLES
-    parts = []
-    for tname in TABLES:
-        spec = SPECS[tname]
-        src = "sale_p" if tname == "sale" else tname
-        for cols in [spec.key, *spec.unique]:
-            g = ", ".join(cols)
-            parts.append(f"SELECT '{tname}' AS table_name, {_key_sql(cols)} AS key, "
-                         f"'duplicate:{','.join(cols)}' AS rule, count(*) AS dup_count "
-                         f"FROM {src} GROUP BY {g} HAVING count(*) > 1")
-    return (f"WITH sale_p AS (SELECT * FROM sale UNION ALL SELECT * FROM sale WHERE check_number = '{P.DUP_CHECK}')\n"
-            + "\nUNION ALL ".join(parts))
-
-
-def _fk_sql() -> str:
-    from larder.schemas import FOREIGN_KEYS, SPECS
-    parts = []
-    for fk in FOREIGN_KEYS:
-        (c,), (pc,) = fk.columns, fk.parent_columns
-        parts.append(f"SELECT '{fk.child}' AS table_name, {_key_sql(SPECS[fk.child].key)} AS key, "
-                     f"'fk:{fk.name}' AS rule FROM {_src(fk.child)} x WHERE {c} IS NOT NULL "
-                     f"AND NOT EXISTS (SELECT 1 FROM {_src(fk.parent)} y WHERE y.{pc} = x.{c})")
-    return "WITH " + _PLANTED_VIEWS + "\n" + "\nUNION ALL ".join(parts)
-
-
-def _rules_sql() -> str:
-    from larder.schemas import RULES, SPECS
-    parts = []
-    for r in RULES:
-        cond = r.expr.replace("add_months({today}, -216)", f"(DATE '{P.AGE_TODAY}' - INTERVAL 18 YEAR)")
-        parts.append(f"SELECT '{r.table}' AS table_name, {_key_sql(SPECS[r.table].key)} AS key, "
-                     f"'check:{r.name}' AS rule FROM {_src(r.table)} WHERE NOT ({cond})")
-    return "WITH " + _PLANTED_VIEWS + "\n" + "\nUNION ALL ".join(parts)
+_UNIQUE_SQL = f"""
+WITH sale_p AS (SELECT * FROM sale UNION ALL SELECT * FROM sale WHERE check_number = '{P.DUP_CHECK}')
+SELECT 'category' AS table_name, CAST(category_number AS VARCHAR) AS key, 'duplicate:category_number' AS rule,
+       count(*) AS dup_count FROM category GROUP BY category_number HAVING count(*) > 1
+UNION ALL SELECT 'product', CAST(id_product AS VARCHAR), 'duplicate:id_product', count(*) FROM product
+  GROUP BY id_product HAVING count(*) > 1
+UNION ALL SELECT 'store_product', upc, 'duplicate:upc', count(*) FROM store_product GROUP BY upc HAVING count(*) > 1
+UNION ALL SELECT 'store_product', CAST(id_product AS VARCHAR) || '|' || CAST(promotional_product AS VARCHAR),
+  'duplicate:id_product,promotional_product', count(*) FROM store_product
+  GROUP BY id_product, promotional_product HAVING count(*) > 1
+UNION ALL SELECT 'employee', id_employee, 'duplicate:id_employee', count(*) FROM employee
+  GROUP BY id_employee HAVING count(*) > 1
+UNION ALL SELECT 'user_table', CAST(user_id AS VARCHAR), 'duplicate:user_id', count(*) FROM user_table
+  GROUP BY user_id HAVING count(*) > 1
+UNION ALL SELECT 'user_table', username, 'duplicate:username', count(*) FROM user_table GROUP BY username HAVING count(*) > 1
+UNION ALL SELECT 'customer_card', card_number, 'duplicate:card_number', count(*) FROM customer_card
+  GROUP BY card_number HAVING count(*) > 1
+UNION ALL SELECT 'check_table', check_number, 'duplicate:check_number', count(*) FROM check_table
+  GROUP BY check_number HAVING count(*) > 1
+UNION ALL SELECT 'sale', upc || '|' || check_number, 'duplicate:upc,check_number', count(*) FROM sale_p
+  GROUP BY upc, check_number HAVING count(*) > 1"""
+
+_FK_SQL = "WITH " + _PLANTED_VIEWS + """
+SELECT 'product' AS table_name, CAST(id_product AS VARCHAR) AS key, 'fk:product(category_number)->category' AS rule
+  FROM product_p x WHERE NOT EXISTS (SELECT 1 FROM category y WHERE y.category_number = x.category_number)
+UNION ALL SELECT 'store_product', upc, 'fk:store_product(upc_prom)->store_product' FROM store_product x
+  WHERE upc_prom IS NOT NULL AND NOT EXISTS (SELECT 1 FROM store_product y WHERE y.upc = x.upc_prom)
+UNION ALL SELECT 'store_product', upc, 'fk:store_product(id_product)->product' FROM store_product x
+  WHERE NOT EXISTS (SELECT 1 FROM product_p y WHERE y.id_product = x.id_product)
+UNION ALL SELECT 'user_table', CAST(user_id AS VARCHAR), 'fk:user_table(id_employee)->employee' FROM user_table x
+  WHERE NOT EXISTS (SELECT 1 FROM employee y WHERE y.id_employee = x.id_employee)
+UNION ALL SELECT 'check_table', check_number, 'fk:check_table(id_employee)->employee' FROM check_table x
+  WHERE NOT EXISTS (SELECT 1 FROM employee y WHERE y.id_employee = x.id_employee)
+UNION ALL SELECT 'check_table', check_number, 'fk:check_table(card_number)->customer_card' FROM check_table x
+  WHERE card_number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer_card_p y WHERE y.card_number = x.card_number)
+UNION ALL SELECT 'sale', upc || '|' || check_number, 'fk:sale(upc)->store_product' FROM sale x
+  WHERE NOT EXISTS (SELECT 1 FROM store_product y WHERE y.upc = x.upc)
+UNION ALL SELECT 'sale', upc || '|' || check_number, 'fk:sale(check_number)->check_table' FROM sale x
+  WHERE NOT EXISTS (SELECT 1 FROM check_table y WHERE y.check_number = x.check_number)"""
+
+_RULES_SQL = "WITH " + _PLANTED_VIEWS + f"""
+SELECT 'store_product' AS table_name, upc AS key, 'check:positive_selling_price' AS rule FROM store_product WHERE selling_price <= 0
+UNION ALL SELECT 'store_product', upc, 'check:not_negative_products_number' FROM store_product WHERE products_number <= -1
+UNION ALL SELECT 'employee', id_employee, 'check:positive_salary' FROM employee WHERE salary <= 0
+UNION ALL SELECT 'employee', id_employee, 'check:adult_employee' FROM employee
+  WHERE date_of_birth > DATE '{P.AGE_TODAY}' - INTERVAL 18 YEAR
+UNION ALL SELECT 'customer_card', card_number, 'check:positive_percent' FROM customer_card_p WHERE percent <= 0
+UNION ALL SELECT 'sale', upc || '|' || check_number, 'check:positive_selling_price' FROM sale WHERE selling_price <= 0"""
 
 
 @register("violations_not_null", "W1a", _not_null_sql())
@@ -596,7 +621,7 @@ def _q(t):
     return integ.violations(_planted(t), kinds=("columns",))
 
 
-@register("violations_unique", "W1b", _unique_sql())
+@register("violations_unique", "W1b", _UNIQUE_SQL)
 def _q(t):
     from larder.schemas import SPECS, TABLES
     sale = t["sale"].unionByName(t["sale"].where(F.col("check_number") == P.DUP_CHECK))
@@ -609,12 +634,12 @@ def _q(t):
     return out
 
 
-@register("violations_fk", "W1c", _fk_sql())
+@register("violations_fk", "W1c", _FK_SQL)
 def _q(t):
     return integ.violations(_planted(t), kinds=("fk",))
 
 
-@register("violations_check", "W1d", _rules_sql())
+@register("violations_check", "W1d", _RULES_SQL)
 def _q(t):
     return integ.violations(_planted(t), kinds=("rules",), today=P.AGE_TODAY)
 

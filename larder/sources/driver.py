@@ -1,13 +1,13 @@
 """The driver's TPC-H-style tables seen through the retail schema.
 
 One rule per retail table (the same rules exist as SQL text in
-``larder.plans.oracle`` for the independent check):
+``larder.plans.views`` for the independent check):
 
 * category      - one per part brand ('Brand#17' -> 17)
-* product       - one per part
-* store_product - stocked parts: every part except those with key ending in
-                  07 (so some products are not stocked); stock 5*size-5, so
-                  size 1 is out of stock; PROMO parts are promotional rows
+* product       - one per part, and for parts with key ending in 07 a
+                  second one that is in the catalogue only (negative id)
+* store_product - one item per part; stock 5*size-5, so size 1 is out of
+                  stock; PROMO parts are promotional rows
 * employee      - one per supplier, role from its nation
 * user_table    - one login per supplier
 * customer_card - one per customer

@@ -44,7 +44,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partitions: int = 8,
     ``bounds`` (lower, upper) are required for range-sliced tables; they
     only shape the slices (rows outside them land in the first/last slice).
     """
-    props = {"driver": "org.postgresql.Driver", "fetchsize": "10000", **(properties or {})}
+    props = {"driver": "org.postgresql.Driver", "fetchsize": "10000", "preferTimestampNTZ": "true", **(properties or {})}
     kind, column = SPLITS[table]
     if kind == "range":
         if bounds is None:
