@@ -52,24 +52,21 @@ def _first_reason(reasons: list[Column]) -> Column:
     return F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
 
 
-def _flag_keys(rows: DataFrame, other: DataFrame, cols: list[str], flag: str) -> DataFrame:
+def _flag_keys(rows: DataFrame, other: DataFrame, cols: list[str], flag: str, batch: DataFrame | None = None) -> DataFrame:
     """rows + boolean ``flag``: does the key appear in ``other``?
 
     The big table is semi-joined with the batch's keys (``key_hits``), never the
-    other way round; rows with a NULL key go round the join and are not flagged.
+    other way round; rows with a NULL key are not flagged.
+    ``batch``: the written rows that ``rows`` adds flags to, so that a chain of
+    flags reads that table for its keys instead of repeating the chain.
     """
-    hit = key_hits(other, rows, cols).withColumn(flag, F.lit(True))
-    return left_join_present(rows, hit, cols).withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    hit = key_hits(other, rows if batch is None else batch, cols).withColumn(flag, F.lit(True))
+    return left_join_present(rows, hit, cols).select(*rows.columns, F.coalesce(F.col(flag), F.lit(False)).alias(flag))
 
 
 def _without(big: DataFrame, keys: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows of ``big`` whose key is not among ``keys``; NULL keys stay and go round the join."""
-    present = F.lit(True)
-    for c in cols:
-        present = present & F.col(c).isNotNull()
-    nullable = any(big.schema[c].nullable for c in cols)
-    left = (big.where(present) if nullable else big).join(keys.select(*cols), cols, "left_anti").select(*big.columns)
-    return left.unionByName(big.where(~present)) if nullable else left
+    """Rows of ``big`` whose key is not among ``keys``; rows with a NULL key stay."""
+    return left_join_present(big, keys.select(*cols).na.drop(), cols, "left_anti").select(*big.columns)
 
 
 def _flag_later_duplicates(rows: DataFrame, cols: list[str], order: list[str], flag: str) -> DataFrame:
@@ -84,8 +81,8 @@ def _flag_later_duplicates(rows: DataFrame, cols: list[str], order: list[str], f
         flag, F.col("_reason").isNull() & F.coalesce(F.col("_first") != F.col("_rid"), F.lit(False))).drop("_first")
 
 
-def _flag_batch_duplicates(rows: DataFrame, cols: list[str], flag: str) -> DataFrame:
-    dup = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(
+def _flag_batch_duplicates(rows: DataFrame, cols: list[str], flag: str, batch: DataFrame | None = None) -> DataFrame:
+    dup = (rows if batch is None else batch).groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(
         *cols, F.lit(True).alias(flag))
     return rows.join(dup, cols, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
@@ -109,7 +106,7 @@ def _validate(t: Tables, table: str, rows: DataFrame, existing: DataFrame | None
     ones are duplicates. Without, all rows of a repeated key are refused.
     """
     spec = SPECS[table]
-    reasons = []
+    reasons, batch = [], rows
     for col in spec.required:
         c = F.col(col)
         is_text = isinstance(SCHEMAS[table][col].dataType, T.StringType)
@@ -120,17 +117,17 @@ def _validate(t: Tables, table: str, rows: DataFrame, existing: DataFrame | None
     uniques = [list(spec.key)] + [list(u) for u in spec.unique]
     for i, u in enumerate(uniques):
         if order is None:
-            rows = _flag_batch_duplicates(rows, u, f"_bd{i}")
+            rows = _flag_batch_duplicates(rows, u, f"_bd{i}", batch)
             reasons.append(F.when(F.col(f"_bd{i}"), F.lit(f"duplicate_in_batch:{','.join(u)}")))
         if existing is not None:
-            rows = _flag_keys(rows, existing, u, f"_ex{i}")
+            rows = _flag_keys(rows, existing, u, f"_ex{i}", batch)
             reasons.append(F.when(F.col(f"_ex{i}"), F.lit(f"duplicate_key:{','.join(u)}")))
     if check_fk:
         for j, fk in enumerate(references_from(table)):
             parent = t[fk.parent].select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)])
             if fk.parent == table:       # self reference: new rows may point at each other
-                parent = parent.unionByName(rows.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)]))
-            rows = _flag_keys(rows, parent, list(fk.columns), f"_fk{j}")
+                parent = parent.unionByName(batch.select(*[F.col(p).alias(c) for c, p in zip(fk.columns, fk.parent_columns)]))
+            rows = _flag_keys(rows, parent, list(fk.columns), f"_fk{j}", batch)
             present = F.lit(True)
             for c in fk.columns:
                 present = present & F.col(c).isNotNull()
@@ -327,7 +324,7 @@ def rekey(t: Tables, table: str, mapping: DataFrame) -> Change:
         F.lit(table).alias("table_name"), F.col("old_key").alias("key"), F.col("_reason").alias("reason"))
 
     def follow(df: DataFrame, col: str, name: str) -> DataFrame:
-        j = left_join_present(df, good.withColumnRenamed("old_key", col), [col])
+        j = left_join_present(df, good.withColumnRenamed("old_key", col).na.drop(subset=[col]), [col])
         return j.select(*[(F.coalesce(F.col("new_key"), F.col(c)).alias(c) if c == col else F.col(c))
                           for c in SCHEMAS[name].fieldNames()])
 

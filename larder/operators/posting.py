@@ -114,7 +114,7 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
     same = Window.partitionBy("cart_id", "upc")
     # An empty card number means a walk-in customer, like a missing one.
     lines = lines.withColumn("card_number", F.when(F.trim(F.col("card_number")) != "", F.col("card_number")))
-    # Walk-ins (a large share of all lines) have no card to look up and go round the join.
+    # Walk-ins (a large share of all lines) have no card to look up and stay spread out.
     a = (left_join_present(lines, cards, ["card_number"]).repartition("cart_id")
          .withColumn("_dup", F.count(F.lit(1)).over(same))
          .join(sp, "upc", "left").join(users, "user_id", "left"))

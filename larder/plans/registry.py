@@ -1103,3 +1103,6 @@ def _q(t):
         F.col("p_type").alias("characteristics"), F.lit(None).cast("string").alias("picture"), "p_partkey")
     return assign_serial(rows, "id_product", t["product"], ["p_partkey"]).select(
         "id_product", "category_number", "product_name", "characteristics", "picture", "p_partkey")
+
+
+from larder.plans import change_routes  # noqa: E402, F401  (registers the other change routes)

@@ -65,19 +65,28 @@ def key_hits(big: DataFrame, batch: DataFrame, cols: list[str]) -> DataFrame:
     return big.select(*cols).join(keys, cols, "left_semi").distinct()
 
 
-def left_join_present(df: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
-    """Left join in which rows with a NULL key go round the join.
+def _null_salt(df: DataFrame, cols: list[str]):
+    """0 for rows with a whole key; rows with a NULL in it get a hash of the row.
 
-    A NULL key matches nothing, but hashed with the others all such rows would
-    meet in one task. ``right`` must be unique on ``cols``.
+    Joined on as well, it spreads rows that match nothing over all tasks (hashed
+    by the key alone they would meet in one). Written so that it is no constant,
+    which the optimizer would take out of the join keys.
     """
     present = F.lit(True)
     for c in cols:
         present = present & F.col(c).isNotNull()
-    added = [f for f in right.schema.fields if f.name not in cols]
-    hit = df.where(present).join(right, cols, "left")
-    rest = df.where(~present).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added])
-    return hit.unionByName(rest)
+    return F.when(present, F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(1))).otherwise(
+        F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1 << 20)))
+
+
+def left_join_present(df: DataFrame, right: DataFrame, cols: list[str], how: str = "left") -> DataFrame:
+    """Left (or left anti) join in which rows with a NULL key stay spread out.
+
+    ``right`` must be unique on ``cols`` and without NULL keys.
+    """
+    salted = df.withColumn("_null_salt", _null_salt(df, cols))
+    return salted.join(right.withColumn("_null_salt", _null_salt(right, cols)), [*cols, "_null_salt"], how) \
+        .drop("_null_salt")
 
 
 def replaced(t: Mapping[str, DataFrame], **new: DataFrame) -> Tables:

@@ -105,11 +105,23 @@ def test_small_batch_is_broadcast_against_a_big_table(spark):
     assert "LeftSemi" in plan and "Exchange hashpartitioning" not in big_side
 
 
-def test_null_keys_go_round_the_join(spark):
+def test_null_keys_are_spread_out(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "i int, k string")
     right = spark.createDataFrame([("a", 10)], "k string, v int")
     got = tables.left_join_present(df, right, ["k"])
     assert sorted((r["i"], r["k"], r["v"]) for r in got.collect()) == [(1, None, None), (2, "a", 10), (3, "b", None)]
+    anti = tables.left_join_present(df, right.select("k"), ["k"], "left_anti")
+    assert sorted(r["i"] for r in anti.collect()) == [1, 3]
+    many = spark.range(4000).select("id", F.lit(None).cast("string").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = tables.left_join_present(many, right, ["k"])
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 1500
 
 
 @pytest.mark.parametrize("name,build,number", [

@@ -24,8 +24,8 @@ def test_driver_row_counts(spark):
     t = driver_tables(spark, SF)
     counts = {n: t[n].count() for n in ("category", "product", "store_product", "employee", "user_table",
                                           "customer_card", "check_table", "sale")}
-    assert counts == {"category": 25, "product": 200, "store_product": 198, "employee": 10, "user_table": 10,
-                      "customer_card": 150, "check_table": 1500, "sale": 5879}
+    assert counts == {"category": 25, "product": 202, "store_product": 200, "employee": 10, "user_table": 10,
+                      "customer_card": 150, "check_table": 1500, "sale": 5942}
 
 
 def test_export_report(spark, seed):
