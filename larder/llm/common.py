@@ -34,7 +34,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/larder-llm/{uuid.uuid4().hex}"
+        # Beside what `materialize` writes, so that `release_all` deletes the rest at the end.
+        self.root = (f"{ensure_checkpoint_dir(spark).rstrip('/')}/larder/{spark.sparkContext.applicationId}"
+                     f"/llm-{uuid.uuid4().hex}")
         self._n = 0
 
     def write(self, df: DataFrame) -> DataFrame:

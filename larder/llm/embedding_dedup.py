@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import Scratch
 from larder.llm.components import connected_components
+from larder.sources.tables import left_join_present
 
 THRESHOLD = 0.98
 CELL_AXES = 2                    # each axis more halves the comparisons and doubles the rows that visit neighbours
@@ -232,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
         .select(F.col("h").alias("__h"), F.col("g").alias("__g"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                 F.coalesce("component", "vec").alias("component_id"))
-    keyed = rows.join(known, ["__h", "__g"], "left")
+    keyed = left_join_present(rows, known, ["__h", "__g"])  # unusable vectors have no key, and stay spread out
     own_id = F.col(f"`{vec_id}`").cast("long")
     return keyed.select(*[F.col(f"`{c}`") for c in keep],
                         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import Scratch, WordHash, bloom_probe, bloom_table, mix, slices, texts
 from larder.llm.components import connected_components
+from larder.sources.tables import left_join_present
 
 SHINGLE = 5
 SIMILARITY = 80                  # per cent
@@ -249,11 +250,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         .select("rep", (-F.col("hub")).alias("hub"))
     hub_parts = best.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / tile).alias("hub_parts"))
     groups = connected_components(shared.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
-    chosen = scratch.write(
+    chosen = scratch.write(left_join_present(
         groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
         .join(best.select(F.col("rep").alias("doc"), "hub"), "doc", "left")
-        .join(hub_parts.select(F.col("hub").alias("doc"), F.col("hub_parts").alias("as_hub")), "doc", "left")
-        .join(hub_parts, "hub", "left"))
+        .join(hub_parts.select(F.col("hub").alias("doc"), F.col("hub_parts").alias("as_hub")), "doc", "left"),
+        hub_parts, ["hub"]))
     # Full sets of the candidates. A Bloom filter of fixed size picks the texts to move.
     names = ["rep", "group", "hub", "hub_parts", "as_hub", "n", "bands", "sketch"]
     info = chosen.join(reps.withColumnRenamed("rep", "doc"), "doc")
@@ -280,7 +281,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     parts = connected_components(links.union(rest), scratch)
     component = reps.join(parts, F.col("rep") == F.col("node"), "left") \
         .select("hi", "lo", F.coalesce("component", "rep").alias("component"))
-    done = sketched.select("doc", "row", "n", "hi", "lo").join(component, ["hi", "lo"], "left") \
+    # Documents without words have no set to join on, and stay spread out.
+    done = left_join_present(sketched.select("doc", "row", "n", "hi", "lo"), component, ["hi", "lo"]) \
         .select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "n",
                 F.coalesce("component", "doc").alias("component"))
     if set(keep) == {doc_id}:  # nothing else to carry
