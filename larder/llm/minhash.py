@@ -240,6 +240,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     reps = scratch.write(sketched.where("n > 0 AND doc IS NOT NULL").groupBy("hi", "lo").agg(
         least_doc["doc"].alias("rep"), least_doc["row"].alias("row"), F.first("n").alias("n"),
         F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    every = scratch.write(sketched.select("doc", "row", "n", "hi", "lo"))  # sketches are needed of one document a set only
+    scratch.drop(sketched)
     exploded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
     hubbed = exploded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")) \
         .where("hub < far").select("band", "key", "hub")
@@ -282,7 +284,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     component = reps.join(parts, F.col("rep") == F.col("node"), "left") \
         .select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     # Documents without words have no set to join on, and stay spread out.
-    done = left_join_present(sketched.select("doc", "row", "n", "hi", "lo"), component, ["hi", "lo"]) \
+    done = left_join_present(every, component, ["hi", "lo"]) \
         .select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "n",
                 F.coalesce("component", "doc").alias("component"))
     if set(keep) == {doc_id}:  # nothing else to carry
