@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from larder.session import ensure_checkpoint_dir
 
 # A task works on this much text at a time, however many rows Spark puts in a batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Word caches in tasks are emptied at this size; they only save time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
