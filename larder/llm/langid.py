@@ -48,9 +48,27 @@ def presence(block: list[bytes]) -> np.ndarray:
     x = np.zeros((len(block), DIM), np.float32)
     for row, text in zip(x, block):
         row[ngrams(text)] = 1.0
+    return scaled(x)
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
 
 
+def _bits_task():
+    """The presence of each text, a bit for each place."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                bits = []
+                for text in texts(part, 1):
+                    row = np.zeros(DIM, np.uint8)
+                    row[ngrams(text)] = 1
+                    bits.append(np.packbits(row).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.binary())], names=["id", "bits"])
+    return run
+
+
 class Model:
     """Landmark rows (transposed), weights by language, languages in order."""
 
@@ -108,9 +126,14 @@ def train(rows: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) ->
     picked = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)) \
         .where(F.col("rank") <= landmarks).orderBy("rank", "lang").limit(landmarks).select("id")
     ids = [r["id"] for r in picked.collect()]  # at most `landmarks`
-    chosen = rows.where(F.col("id").isin(ids)).select("text").collect()
-    block = sorted({r["text"] for r in chosen})[:landmarks]
-    marks = presence([t.encode() for t in block])
+    # A landmark travels as the bits of its presence (DIM / 8 bytes), one row for an id, however
+    # long its text is and however many rows have the id.
+    chosen = rows.where(F.col("id").isin(ids)).select("id", "text").mapInArrow(
+        _bits_task(), f"id {rows.schema['id'].dataType.simpleString()}, bits binary") \
+        .groupBy("id").agg(F.min("bits").alias("bits")).collect()
+    block = sorted({bytes(r["bits"]) for r in chosen})
+    marks = scaled(np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for b in block],
+                            np.float32).reshape(-1, DIM))
     model = Model(np.ascontiguousarray(marks.T), None, langs)
     sent = spark.sparkContext.broadcast(model)  # DIM x landmarks floats, whatever the data
     sums = rows.select("text", "lang").mapInArrow(_sums_task(sent), "i int, row array<double>") \
