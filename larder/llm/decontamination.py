@@ -153,13 +153,13 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, te
     """``docs`` with ``matches`` (maximal verbatim matches with items) and ``n_words``.
 
     Null or wordless texts and items match nothing. Items with equal words
-    each count; a null item id is written as the empty string. Repeated rows
+    each count, repeated rows of one item count once; a null item id is written as the empty string. Repeated rows
     and null ids each get their row, as nothing is joined. Extra columns pass
     through; those named like a result are replaced.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"),
-                             F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
+                             F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
     keep = [c for c in docs.columns if c not in ("matches", "n_words")]
