@@ -4,8 +4,9 @@ Vectors are scaled to length one and rotated onto the principal axes of the
 data, leading axis first. Two vectors with cosine >= t are at most
 ``sqrt(2 - 2t)`` apart on every axis, so the leading axes cut each label into
 cells of that width, and only neighbouring cells can hold a link. Cells are
-cut into tiles of bounded size; a task compares two tiles at a time. The dot
-products are summed over leading dimensions first; the rest is bounded by the
+cut into tiles of bounded size; a task compares two tiles at a time, both in
+order of the first axis that cells do not use, so that a block of one meets only
+the stretch of the other within that width. The dot products are summed over leading dimensions first; the rest is bounded by the
 product of the suffix norms, and pairs that can no longer reach the threshold
 are left. Survivors are confirmed on the unrotated vectors in double precision.
 
@@ -27,13 +28,13 @@ from larder.sources.tables import left_join_present
 
 THRESHOLD = 0.98
 CELL_AXES = 2                    # each axis more halves the comparisons and doubles the rows that visit neighbours
-TILE = 1024                      # vectors in a tile
+TILE = 8192                      # vectors in a tile; each vector of a cell travels once for each of the cell's tiles
+BLOCK, REACH = 512, 4096         # vectors that are multiplied at a time
 STEPS = (8, 16, 32)              # leading dimensions after which pairs are tested
 SLACK = 1e-9                     # rounding of the rotated sums
 MAX_DIM = 4096                   # a covariance of MAX_DIM**2 sums is the most that is brought to the driver
 
 
-
 def _scatter_task(dim: int):
     """Sums of x_i * x_j over a task's unit vectors, one row for each i."""
     def run(batches):
@@ -124,8 +125,8 @@ def _links(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, thresho
     return i[exact >= threshold], j[exact >= threshold]
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Smallest id connected with each of n vectors through the links."""
+def _roots(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Smallest id connected with each vector through the links."""
     label = ids.copy()
     while True:
         before = label.copy()
@@ -135,7 +136,20 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
             return label
 
 
-def _tile_task(axes_by_dim: dict[int, np.ndarray], threshold: float):
+def _blocks(left: np.ndarray, right: np.ndarray, at: np.ndarray, width: float, same: bool):
+    """Pieces (rows of left, rows of right) that hold all pairs within ``width`` of each other
+    on ``at``; both sides are in order of it. ``same``: the sides are equal, and no piece
+    begins before its own rows."""
+    where = at[right]
+    for a in range(0, len(left), BLOCK):
+        rows = left[a:a + BLOCK]
+        lo = a if same else int(np.searchsorted(where, at[rows[0]] - width, "left"))
+        hi = int(np.searchsorted(where, at[rows[-1]] + width, "right"))
+        for b in range(lo, hi, REACH):
+            yield rows, right[b:min(hi, b + REACH)]
+
+
+def _tile_task(axes_by_dim: dict[int, np.ndarray], threshold: float, width: float, cell_axes: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -148,22 +162,30 @@ def _tile_task(axes_by_dim: dict[int, np.ndarray], threshold: float):
         x = _matrix(rows.column("embedding"), dim)
         basis = axes_by_dim.get(dim)
         r = x @ basis if basis is not None else x
-        left = np.flatnonzero(home & (tile == first))
-        # Within a home tile each pair counts once; visitors meet every home vector.
-        right = np.flatnonzero(tile == second)
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        i, j = _links(x[left], x[right], r[left], r[right], threshold)
-        i, j = left[i], right[j]
-        ok = ~home[j] | (first != second) | (i < j)
-        # Two home tiles meet in (first, second) with first <= second only.
-        i, j = i[ok], j[ok]
-        if not len(i):
+        at = r[:, min(cell_axes, dim - 1)]
+        order = np.argsort(at, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        left, right = order[(home & (tile == first))[order]], order[(tile == second)[order]]
+        # Home tiles meet in (first, second) with first <= second only; within one, a pair counts once.
+        n, near, root = np.zeros(len(ids), np.int64), [], []
+        for x_rows, y_rows in _blocks(left, right, at, width, first == second):
+            i, j = _links(x[x_rows], x[y_rows], r[x_rows], r[y_rows], threshold)
+            i, j = x_rows[i], y_rows[j]
+            if first == second:
+                once = place[i] < place[j]
+                i, j = i[once], j[once]
+            if len(i):
+                np.add.at(n, i, copies[j])
+                np.add.at(n, j, copies[i])
+                # Of a block's links only one to the least vector it connects is kept.
+                block = np.unique(np.r_[i, j])
+                least = _roots(np.searchsorted(block, i), np.searchsorted(block, j), ids[block])
+                at_least = {v: k for k, v in zip(block.tolist(), ids[block].tolist())}
+                near.append(block), root.append(np.array([at_least[v] for v in least.tolist()]))
+        if not near:
             return schema.empty_table()
-        n = np.zeros(len(ids), np.int64)
-        np.add.at(n, i, copies[j])
-        np.add.at(n, j, copies[i])
-        root = _roots(len(ids), i, j, ids)
+        root = _roots(np.concatenate(near), np.concatenate(root), ids)
         some = np.flatnonzero(n)
         return pa.table([pa.array(ids[some]), pa.array(root[some]), pa.array(n[some])], schema=schema)
     return run
@@ -225,7 +247,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
         .select("vec", "label", "embedding", "dim", "copies", "home", "tile", "cell",
                 F.col("pair.p").alias("p"), F.col("pair.q").alias("q"))
     links = scratch.write(pairs.groupBy(*where, "p", "q").applyInArrow(
-        _tile_task(axes_by_dim, threshold), "a long, b long, links long"))
+        _tile_task(axes_by_dim, threshold, width, cell_axes), "a long, b long, links long"))
     parts = connected_components(links.select("a", "b"), scratch)
     degree = links.groupBy("a").agg(F.sum("links").alias("links"))
     known = distinct.select("vec", "copies", "h", "g").join(degree, F.col("vec") == F.col("a"), "left") \

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,7 @@ def test_longest_matches_and_empty_tables(spark, docs):
     m = decontamination.find_matches(d, bench).first()["matches"]
     assert sorted((x["item_start"], x["doc_start"], x["length"]) for x in m) == [(0, 23, 11), (5, 2, 20)]
     assert decontamination.find_matches(d, bench.limit(0)).first()["matches"] == []
+    assert decontamination.find_matches(d, bench.union(bench)).first()["matches"] == m
     assert decontamination.find_matches(docs.limit(0), bench).count() == 0
 
 
@@ -302,6 +304,9 @@ def test_language_id_on_held_out_rows(spark):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
         elif r["doc_id"] is not None and r["doc_id"] % 3 == 0:
             assert r["lang_pred"] == r["lang"]
+    # Rows of one id are one landmark; nothing but bits of its presence comes to the driver.
+    one = langid.train(langid.training_rows(df.where("doc_id = 0").crossJoin(spark.range(5)).drop("id")))
+    assert one.landmarks.shape == (langid.DIM, 1)
     empty = langid.train(langid.training_rows(df.limit(0)))
     assert {r["lang_pred"] for r in langid.predict(df, empty).collect()} == {"und"}
 
@@ -484,6 +489,33 @@ def test_embeddings_equal_brute_force(spark, tile):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("first, second", [(0, 0), (0, 1)])
+def test_blocks_of_two_tiles_hold_every_link(monkeypatch, first, second):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    monkeypatch.setattr(embedding_dedup, "REACH", 11)
+    rng, n, dim = np.random.default_rng(3), 120, 12
+    x = rng.normal(size=(9, dim))[np.arange(n) % 9] + rng.normal(size=(n, dim)) * rng.choice([0.02, 0.1, 0.5], (n, 1))
+    tile, home = (np.zeros(n, int), np.ones(n, bool)) if first == second else (np.arange(n) % 2, np.arange(n) % 2 == 0)
+    copies = rng.integers(1, 4, n)
+    ids = rng.permutation(n)
+    rows = pa.table({"vec": ids, "dim": np.full(n, dim), "copies": copies, "home": home, "tile": tile,
+                     "embedding": pa.array(list(x), pa.list_(pa.float64()))})
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    run = embedding_dedup._tile_task({dim: axes}, 0.98, math.sqrt(0.04) + 1e-7, 2)
+    got = run((pa.scalar(first), pa.scalar(second)), rows).to_pylist()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links, near = {}, {int(i): {int(i)} for i in ids}
+    for a, b in itertools.combinations(range(n), 2):
+        if unit[a] @ unit[b] >= 0.98 and (first == second or tile[a] != tile[b]):
+            links[int(ids[a])] = links.get(int(ids[a]), 0) + int(copies[b])
+            links[int(ids[b])] = links.get(int(ids[b]), 0) + int(copies[a])
+            both = near[int(ids[a])] | near[int(ids[b])]
+            for i in both:
+                near[i] = both
+    assert {r["a"]: r["links"] for r in got} == links and len(links) > 20
+    assert {r["a"]: r["b"] for r in got} == {i: min(near[i]) for i in links}
+
+
 # ---------------------------------------------------------- 10 substrings
 
 def brute_cut(rows, window):
