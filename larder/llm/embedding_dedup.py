@@ -29,6 +29,8 @@ from larder.sources.tables import left_join_present
 THRESHOLD = 0.98
 CELL_AXES = 2                    # each axis more halves the comparisons and doubles the rows that visit neighbours
 TILE = 8192                      # vectors in a tile; each vector of a cell travels once for each of the cell's tiles
+TILE_NUMBERS = 1 << 21           # components in a tile: vectors of more than 256 make smaller tiles
+PIECE_NUMBERS = 1 << 20          # components that are turned into unit vectors at a time
 BLOCK, REACH = 512, 4096         # vectors that are multiplied at a time
 STEPS = (8, 16, 32)              # leading dimensions after which pairs are tested
 SLACK = 1e-9                     # rounding of the rotated sums
@@ -40,8 +42,7 @@ def _scatter_task(dim: int):
     def run(batches):
         total = np.zeros((dim, dim))
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(0), dim)
+            for _, x in _unit_rows(batch.column(0), np.full(batch.num_rows, dim)):
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(dim), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
@@ -55,6 +56,14 @@ def _matrix(column, dim: int) -> np.ndarray:
     return x / _norm(x)
 
 
+def _unit_rows(column: pa.Array, dims: np.ndarray):
+    """(row numbers, unit vectors) of a batch, each piece of one dimension and of bounded size."""
+    for dim in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == dim)
+        for piece in np.array_split(rows, -(-len(rows) * dim // PIECE_NUMBERS)):
+            yield piece, _matrix(column.take(pa.array(piece)), dim)
+
+
 def _norm(x: np.ndarray) -> np.ndarray:
     """Row lengths, scaled first so that squares of huge or tiny components stay finite."""
     big = np.abs(x).max(axis=1, keepdims=True)
@@ -75,27 +84,30 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
 def _cell_task(axes_by_dim: dict[int, np.ndarray], width: float, axes: int):
     """Home cell of each vector, and the lower neighbouring cells within reach."""
     def run(batches):
-        neighbours = [d for d in np.ndindex(*(3,) * axes) if d < (1,) * axes]
+        steps = [np.array(d) - 1 for d in np.ndindex(*(3,) * axes) if d < (1,) * axes]
         for batch in batches:
-            ids, cells, home = [], [], []
-            for i, (vec, dim) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
-                x = np.asarray(vec.values, dtype=np.float64)
-                x = x / _norm(x[None])[0]
-                basis = axes_by_dim.get(dim)
-                y = (x @ basis[:, :axes]) if basis is not None else x[:axes]
-                y = np.r_[y, np.zeros(axes - len(y))]
-                cell = np.floor(y / width).astype(int)
-                ids.append(i), cells.append(",".join(map(str, cell))), home.append(True)
+            take, cells, home = [], [], []
+            for rows, x in _unit_rows(batch.column(2), batch.column(3).to_numpy()):
+                basis = axes_by_dim.get(x.shape[1])
+                y = np.zeros((len(x), axes))
+                y[:, :x.shape[1]] = x @ basis[:, :axes] if basis is not None else x[:, :axes]
+                cell = np.floor(y / width).astype(np.int64)
                 down, up = y - cell * width, (cell + 1) * width - y
-                for d in neighbours:
-                    step = np.array(d) - 1
+                take.append(rows), cells.append(cell), home.append(np.ones(len(rows), bool))
+                for step in steps:
                     away = np.where(step < 0, down, np.where(step > 0, up, 0.0))
-                    if (away ** 2).sum() <= width * width:
-                        ids.append(i), cells.append(",".join(map(str, cell + step))), home.append(False)
-            take = pa.array(ids, pa.int64())
+                    near = (away ** 2).sum(axis=1) <= width * width
+                    take.append(rows[near]), cells.append(cell[near] + step), home.append(np.zeros(near.sum(), bool))
+            if not take:
+                continue
+            distinct, which = np.unique(np.concatenate(cells), axis=0, return_inverse=True)
+            names = pa.array([",".join(map(str, c)) for c in distinct.tolist()], pa.string())
+            # The rows of a vector stay together, so that they compress well.
+            order = np.argsort(np.concatenate(take), kind="stable")
+            picked = pa.array(np.concatenate(take)[order])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(k).take(take) for k in range(5)]
-                + [pa.array(cells, pa.string()), pa.array(home, pa.bool_())],
+                [batch.column(k).take(picked) for k in range(5)]
+                + [names.take(pa.array(which.ravel()[order])), pa.array(np.concatenate(home)[order])],
                 names=["vec", "label", "embedding", "dim", "copies", "cell", "home"])
     return run
 
@@ -233,9 +245,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     where = ["label", "dim", "cell"]
     counts = cells.groupBy(*where).agg(F.sum(F.col("home").cast("long")).alias("n"),
                                        F.count(F.lit(1)).alias("all")).where("n > 0 AND all > 1")
+    in_tile = F.least(F.lit(tile), F.ceil(F.lit(TILE_NUMBERS) / F.col("dim")))
     dealt = cells.join(counts, where) \
-        .withColumn("tiles", F.ceil(F.col("n") / tile)) \
-        .withColumn("guests", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("n")) / tile))) \
+        .withColumn("tiles", F.ceil(F.col("n") / in_tile)) \
+        .withColumn("guests", F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("n")) / in_tile))) \
         .withColumn("tile", F.when(F.col("home"), F.pmod(F.xxhash64("vec"), F.col("tiles")))
                     .otherwise(F.col("tiles") + F.pmod(F.xxhash64("vec"), F.col("guests"))))
     # A home tile meets itself, later home tiles and all guest tiles; a guest tile meets every home tile.
