@@ -1,9 +1,11 @@
 """Language ID (operator 7): blended-spectrum string kernel with Nystroem
 landmarks and one-versus-rest kernel ridge regression.
 
-A text is the set of its byte n-grams of length 1 to 4 (hashed to ``DIM``
-places). The kernel of two texts is the number of common n-grams over the
-geometric mean of their numbers. Texts are described by their kernel values with a
+A text is cut into pieces of equal size, ``PIECE`` bytes at most; a piece is the
+set of its byte n-grams of length 1 to 4 (hashed to ``DIM`` places, which a piece
+cannot fill). The kernel of two pieces is the number of common n-grams over the
+geometric mean of their numbers, that of two texts the mean over all pairs of their
+pieces, so it does not depend on how long a text is. Texts are described by their kernel values with a
 bounded set of landmark texts; ridge regression on these, one output a
 language, is solved from sums over all training rows. Scoring a block of texts
 is two matrix products: presence by landmarks, kernel values by weights.
@@ -21,6 +23,7 @@ from larder.llm.common import slices, texts
 
 DIM = 1 << 14
 LENGTHS = (1, 2, 3, 4)
+PIECE = 4096                     # at most so many n-grams of each length share the places of a piece
 LANDMARKS = 128
 RIDGE = 1e-3
 BLOCK = 128                      # texts multiplied at a time
@@ -31,9 +34,14 @@ _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x
 _LETTER = regex.compile(r"\p{L}")
 
 
-def ngrams(text: bytes) -> np.ndarray:
-    """Places of the n-grams of a text, with repeats; white space runs count as one space."""
-    b = np.frombuffer(b" " + b" ".join(text.translate(_FOLD).split()) + b" ", np.uint8).astype(np.uint64)
+def folded(text: bytes) -> np.ndarray:
+    """Bytes of a text between two spaces; white space runs count as one space."""
+    return np.frombuffer(b" " + b" ".join(text.translate(_FOLD).split()) + b" ", np.uint8)
+
+
+def places(b: np.ndarray) -> np.ndarray:
+    """Places of the n-grams of some bytes, with repeats."""
+    b = b.astype(np.uint64)
     code, out = np.zeros(len(b), np.uint64), []
     for n in LENGTHS:
         if len(b) < n:
@@ -43,29 +51,41 @@ def ngrams(text: bytes) -> np.ndarray:
     return np.concatenate(out).astype(np.intp)
 
 
-def presence(block: list[bytes]) -> np.ndarray:
-    """Rows of presence, scaled to length one."""
-    x = np.zeros((len(block), DIM), np.float32)
-    for row, text in zip(x, block):
-        row[ngrams(text)] = 1.0
-    return scaled(x)
+def ngrams(text: bytes) -> np.ndarray:
+    """Places of the n-grams of a whole text, with repeats."""
+    return places(folded(text))
 
 
-def scaled(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
+def pieces(text: bytes) -> list[np.ndarray]:
+    """The folded bytes in pieces of equal size; each goes on into the next by what an n-gram
+    needs, so every n-gram of the text lies in some piece."""
+    b = folded(text)
+    n = -(-len(b) // PIECE)
+    cuts = [len(b) * i // n for i in range(n + 1)]
+    return [b[a:z + LENGTHS[-1] - 1] for a, z in zip(cuts, cuts[1:])]
 
 
-def _bits_task():
-    """The presence of each text, a bit for each place."""
+def presence(block: list[bytes]) -> np.ndarray:
+    """For each text the mean of its pieces' rows of presence, each scaled to length one."""
+    x = np.zeros((len(block), DIM), np.float32)
+    for row, text in zip(x, block):
+        parts = pieces(text)
+        total = np.zeros(DIM)
+        for part in parts:
+            there = np.zeros(DIM, bool)
+            there[places(part)] = True
+            total += there / np.sqrt(there.sum())
+        row[:] = total / len(parts)
+    return x
+
+
+def _rows_task():
+    """The row of each text, as bytes of DIM floats."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                bits = []
-                for text in texts(part, 1):
-                    row = np.zeros(DIM, np.uint8)
-                    row[ngrams(text)] = 1
-                    bits.append(np.packbits(row).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bits, pa.binary())], names=["id", "bits"])
+                rows = [presence([text])[0].tobytes() for text in texts(part, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["id", "row"])
     return run
 
 
@@ -126,14 +146,13 @@ def train(rows: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) ->
     picked = rows.select("id", "lang").withColumn("rank", F.row_number().over(order)) \
         .where(F.col("rank") <= landmarks).orderBy("rank", "lang").limit(landmarks).select("id")
     ids = [r["id"] for r in picked.collect()]  # at most `landmarks`
-    # A landmark travels as the bits of its presence (DIM / 8 bytes), one row for an id, however
-    # long its text is and however many rows have the id.
+    # A landmark travels as its row (DIM floats), one for an id, however long its text is and
+    # however many rows have the id.
     chosen = rows.where(F.col("id").isin(ids)).select("id", "text").mapInArrow(
-        _bits_task(), f"id {rows.schema['id'].dataType.simpleString()}, bits binary") \
-        .groupBy("id").agg(F.min("bits").alias("bits")).collect()
-    block = sorted({bytes(r["bits"]) for r in chosen})
-    marks = scaled(np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for b in block],
-                            np.float32).reshape(-1, DIM))
+        _rows_task(), f"id {rows.schema['id'].dataType.simpleString()}, row binary") \
+        .groupBy("id").agg(F.min("row").alias("row")).collect()
+    block = sorted({bytes(r["row"]) for r in chosen})
+    marks = np.array([np.frombuffer(b, np.float32) for b in block], np.float32).reshape(-1, DIM)
     model = Model(np.ascontiguousarray(marks.T), None, langs)
     sent = spark.sparkContext.broadcast(model)  # DIM x landmarks floats, whatever the data
     sums = rows.select("text", "lang").mapInArrow(_sums_task(sent), "i int, row array<double>") \

@@ -311,6 +311,33 @@ def test_language_id_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in langid.predict(df, empty).collect()} == {"und"}
 
 
+def test_language_of_texts_of_several_megabytes(spark):
+    rng = random.Random(11)
+    rows = language_rows()
+    model = langid.train(langid.training_rows(spark.createDataFrame(
+        rows, "doc_id long, text string, lang string")))
+    words = {}
+    for _, text, lang in rows:
+        words.setdefault(lang, []).extend(text.split())
+    # Letters beside the language's own words, so that a long text meets nearly all n-grams.
+    odd = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    text = lambda lang, k: " ".join(odd() if rng.random() < 0.1 else rng.choice(words[lang]) for _ in range(k))
+    for lang in words:
+        short = [model.predict([text(lang, 2000).encode()[:langid.PIECE - 8].decode("utf-8", "ignore").encode()])[1][0] for _ in range(20)]
+        long = text(lang, 500_000).encode()
+        assert len(long) > 2_500_000
+        got = spark.createDataFrame([(1, long.decode())], "doc_id long, text string")
+        r = langid.predict(got, model).first()
+        assert r["lang_pred"] == lang and abs(r["score"] - np.mean(short)) < 0.03 and r["score"] > 0.5
+
+
+def test_pieces_hold_every_ngram():
+    text = " ".join(f"wört{i}" for i in range(3000)).encode()
+    parts = langid.pieces(text)
+    assert len(parts) > 4 and max(map(len, parts)) <= langid.PIECE + 3
+    assert set(np.concatenate([langid.places(p) for p in parts]).tolist()) == set(langid.ngrams(text).tolist())
+
+
 def test_presence_kernel_equals_set_kernel():
     a, b = b"Der Hund, 12 laeuft", "l'été où".encode()
     x = langid.presence([a, b])
