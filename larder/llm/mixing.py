@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 # A source table of up to so many rows (a name and a short array each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_SOURCES = 20_000
-# Above this mean, copies = whole + Poisson(rest): exp(-mean) stays a normal number.
-LARGEST_MEAN = 500.0
+# ... and while the distribution tables of all sources hold up to so many numbers.
+BROADCAST_PLACES = 16_000_000
+# Up to this mean a distribution table starts at exp(-mean), a normal number; above it at a
+# tail below 1e-31, far under the hash's resolution, and is scaled to sum 1.
+LARGEST_START = 700.0
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -28,16 +31,24 @@ def unit_hash(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def poisson_start(mean: Column) -> Column:
+    """First number of copies in the table of a mean: 0, or one that fewer copies have no chance to matter."""
+    return F.when(mean > LARGEST_START, F.floor(mean - 12 * F.sqrt(mean))).otherwise(F.lit(0)).cast("int")
+
+
 def poisson_table(mean: Column) -> Column:
-    """Distribution function P(X <= k) for k = 0, 1, ..., until the rest is below the hash's resolution."""
-    top = F.least(F.lit(LARGEST_MEAN), mean)
-    size = F.ceil(top + 12 * F.sqrt(top) + 24).cast("int")
-    start = F.struct(F.exp(-top).alias("p"), F.array(F.exp(-top)).alias("cdf"))
+    """Distribution function P(X <= k) for k = start, start + 1, ..., until the rest is below the hash's resolution."""
+    low = poisson_start(mean)
+    size = F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int") - low
+    first = F.when(mean > LARGEST_START, F.lit(1.0)).otherwise(F.exp(-mean))
+    start = F.struct(first.alias("p"), F.array(first).alias("cdf"))
     return F.aggregate(
         F.sequence(F.lit(1), size), start,
-        lambda acc, k: F.struct((acc["p"] * top / k).alias("p"),
-                                F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + acc["p"] * top / k)).alias("cdf")),
-        lambda acc: acc["cdf"])
+        lambda acc, k: F.struct((acc["p"] * mean / (low + k)).alias("p"),
+                                F.concat(acc["cdf"], F.array(
+                                    F.element_at(acc["cdf"], -1) + acc["p"] * mean / (low + k))).alias("cdf")),
+        lambda acc: F.when(mean > LARGEST_START, F.transform(
+            acc["cdf"], lambda c: c / F.element_at(acc["cdf"], -1))).otherwise(acc["cdf"]))
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, total: float | None, source: str,
@@ -84,17 +95,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     rates = source_rates(docs, weights, total, source, size)
     spark = docs.sparkSession
     listed = rates.limit(BROADCAST_SOURCES + 1).collect()
-    small = len(listed) <= BROADCAST_SOURCES
+    small = len(listed) <= BROADCAST_SOURCES and \
+        sum(24 * math.sqrt(r["rate"]) + 25 for r in listed) <= BROADCAST_PLACES
     if small:  # the bounded table just collected, so that nothing is computed twice
         rates = spark.createDataFrame([(r["source"], r["rate"]) for r in listed], "source string, rate double")
-    whole = F.when(F.col("rate") > LARGEST_MEAN, F.floor(F.col("rate") - LARGEST_MEAN / 2)).otherwise(F.lit(0))
-    table = rates.select(F.col("source").alias("__source"), whole.cast("int").alias("__whole"),
-                         poisson_table(F.col("rate") - whole).alias("__cdf"))
+    table = rates.select(F.col("source").alias("__source"), poisson_start(F.col("rate")).alias("__start"),
+                         poisson_table(F.col("rate")).alias("__cdf"))
     joined = docs.join(F.broadcast(table) if small else table,
                        F.col(f"`{source}`").cast("string").eqNullSafe(F.col("__source")))
     joined = joined.withColumn("__md5", F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     u = unit_hash(F.lit(seed), F.col(f"`{doc_id}`"), F.col("__md5"))
-    copies = F.col("__whole") + F.size(F.filter("__cdf", lambda c: c < F.col("__u")))
+    copies = F.col("__start") + F.size(F.filter("__cdf", lambda c: c < F.col("__u")))
     many = joined.withColumn("__u", u).withColumn("__n", copies).where("__n > 0") \
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     key = unit_hash(F.lit(seed + 1), F.col(f"`{doc_id}`"), F.col("__md5"), F.col("copy"))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small fixtures, with
 nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import bisect
 import hashlib
 import itertools
 import math
@@ -279,6 +280,23 @@ def test_mixing_reaches_weights(spark):
     assert abs(huge.count() - 10_000) < 600
 
 
+@pytest.mark.parametrize("rate", [650.0, 1500.0, 20_000.0])
+def test_mixing_draws_of_a_large_rate(spark, rate):
+    """Counts of each document against a plain inversion in logarithms, and their spread."""
+    n = 200
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("12345").alias("text"), F.lit("one").alias("source"))
+    got = {r["doc_id"]: r["count"] for r in mixing.mix_sources(df, total=n * 5 * rate).groupBy("doc_id").count().collect()}
+    m = hashlib.md5(b"12345").hexdigest()
+    top = int(rate + 12 * math.sqrt(rate) + 24)
+    cdf = list(itertools.accumulate(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(top)))
+    for d in range(n):
+        u = (int(hashlib.md5(f"17|{d}|{m}".encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
+        assert got[d] == bisect.bisect_left(cdf, u)
+        assert rate > 700 or got[d] == mixing.poisson_copies(u, rate)
+    values = np.array(list(got.values()))
+    assert abs(values.mean() / rate - 1) < 4 / math.sqrt(rate * n) and 0.7 < values.var() / rate < 1.4
+
+
 # ------------------------------------------------------------- 7 language ID
 
 def language_rows(n=240):
