@@ -33,7 +33,8 @@ from larder.sources.tables import left_join_present
 
 SHINGLE = 5
 SIMILARITY = 80                  # per cent
-BANDS, ROWS = 28, 5              # similarity 0.85: a pair is missed with probability 7e-8, 0.8: 1e-5
+BANDS, ROWS = 28, 5              # bands at least; more where a pair would be missed more often than MISS
+MISS = 1e-6                      # similarity 0.85: 28 bands miss a pair with probability 7e-8; 0.8: 35 bands, 9e-7
 TILE = 2048                      # documents in a tile
 # Candidates connected through bands form one group up to so many documents;
 # larger ones are compared band by band, so that a chain of groups is not one.
@@ -54,6 +55,12 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(mix(h + np.uint64(size)))
 
 
+def bands_for(similarity: int, rows: int = ROWS) -> int:
+    """Bands that miss a pair at the wanted similarity (per cent) with a probability below MISS."""
+    hit = (similarity / 100) ** rows
+    return max(BANDS, math.ceil(math.log(MISS) / math.log1p(-hit))) if 0 < hit < 1 else BANDS
+
+
 class Sketcher:
     def __init__(self, coordinates: int):
         self.t = coordinates
@@ -215,7 +222,7 @@ def _rest_links(cands: DataFrame, members: DataFrame, parts: DataFrame, similari
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, doc_id: str = "doc_id",
-                    text: str = "text", bands: int = BANDS, rows: int = ROWS, tile: int = TILE,
+                    text: str = "text", bands: int | None = None, rows: int = ROWS, tile: int = TILE,
                     carry: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``carry``) with n_shingles, component_id and kept.
 
@@ -227,6 +234,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     columns pass through; those named like a result are replaced.
     """
     scratch = Scratch(docs.sparkSession)
+    bands = bands_for(similarity, rows) if bands is None else bands
     keep = [c for c in (carry or docs.columns) if c not in ("n_shingles", "component_id", "kept")]
     ident, content = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
     # Tells rows with one id and different texts apart.

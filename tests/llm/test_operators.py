@@ -139,6 +139,7 @@ def test_redactions():
     assert text == "mail <MAIL> or <IP>, card <NUMBER> and <SECRET>"
 
 
+
 # ------------------------------------------------------------ 2 decontamination
 
 def brute_hits(text, items, window):
@@ -237,6 +238,17 @@ def test_near_copies_of_one_text_in_small_tiles(spark, monkeypatch):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_bands_miss_few_pairs(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(minhash, "_sketch_task", lambda size, bands, rows, real=minhash._sketch_task: (
+        used.append((bands, rows)), real(size, bands, rows))[1])
+    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    for similarity in (80, 85):
+        minhash.near_duplicates(df, similarity=similarity).count()
+        bands, rows = used[-1]
+        assert (1 - (similarity / 100) ** rows) ** bands < 1e-6
+
+
 def test_sketch_fills_and_estimates():
     s = minhash.Sketcher(140)
     rng = np.random.default_rng(2)
