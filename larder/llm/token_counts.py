@@ -226,10 +226,13 @@ def _count_task(ranks, edits_of: Callable[[str], list] | None, text_at: int, edi
 _PRIVATE = regex.compile(r"(?P<MAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<IP>\b\d{1,3}(?:\.\d{1,3}){3}\b)"
                          r"|(?P<SECRET>\b[0-9a-fA-F]{32,}\b)|(?P<NUMBER>\b\d{12,19}\b)")
 
+# A secret may hold letters only; the other kinds need an @ or a digit.
+_HEX = regex.compile(r"[0-9a-fA-F]{32}")
+
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """Edits that replace personal data by its kind, last first, so earlier positions hold."""
-    if not ("@" in text or any(c.isdigit() for c in text)):
+    if not ("@" in text or any(c.isdigit() for c in text) or _HEX.search(text)):
         return []
     return [(m.start(), m.end(), f"<{m.lastgroup}>") for m in _PRIVATE.finditer(text)][::-1]
 

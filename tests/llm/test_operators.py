@@ -139,6 +139,11 @@ def test_redactions():
     assert text == "mail <MAIL> or <IP>, card <NUMBER> and <SECRET>"
 
 
+def test_redactions_of_letters_only():
+    secret = "abcdefAB" * 4
+    assert token_counts.redactions(f"key {secret} end") == [(4, 36, "<SECRET>")]
+    assert token_counts.redactions(f"key {secret[1:]} end") == []
+
 
 # ------------------------------------------------------------ 2 decontamination
 
