@@ -5,8 +5,8 @@ form counts as well as vocabulary, triples of word shapes (case, digits, trailin
 marks, "same as the word before"). Each indicator is scaled by the log ratio
 of its smoothed shares in the two classes, counted over all training rows. A
 linear model with hinge loss is fitted by dual coordinate descent in shards
-of a bounded sample, whose weights are averaged. A calibration part of the
-training rows, used for neither, turns margins into probabilities.
+of a bounded sample, whose weights are averaged. Margins are turned into probabilities
+by a model made alike from three quarters of the training rows, on the last quarter.
 """
 
 from __future__ import annotations
@@ -185,30 +185,39 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def joined(chosen: DataFrame, bounded: bool = False) -> DataFrame:
         return words.join(F.broadcast(chosen) if small or bounded else chosen, "id")
 
-    counts = joined(known.where("part > 0")).select("text", "label") \
-        .mapInArrow(_count_task(), "feature int, good long, bad long") \
-        .groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # DIM rows
-    place = np.asarray(counts.column("feature"))
-    n = np.zeros((2, DIM + 1))
-    n[1, place], n[0, place] = np.asarray(counts.column("good")), np.asarray(counts.column("bad"))
-    n = n[:, :DIM] + SMOOTHING                  # place -1 holds the numbers of rows
-    ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-    sent = spark.sparkContext.broadcast(ratio)
-    sample = known.where("part > 0").orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(fit_rows)
-    size = sample.count()
-    shards = max(1, -(-size // SHARD_ROWS))
-    sample = sample.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(shards)).cast("int"))
-    fitted = joined(sample, bounded=True).select("text", "label", "id", "shard") \
-        .mapInArrow(_feature_task(), "x binary, label int, id long, shard int") \
-        .groupBy("shard").applyInArrow(_fit_task(sent), "w binary, n long").collect()  # a row for each shard
-    weights, rows = np.zeros(DIM + 1), 0
-    for r in fitted:
-        weights += np.frombuffer(r["w"], np.float64) * r["n"]
-        rows += r["n"]
-    weights /= max(1, rows)
-    model = Model(ratio, weights, 1.0, 0.0)
+    def counted(chosen: DataFrame) -> np.ndarray:
+        counts = joined(chosen).select("text", "label") \
+            .mapInArrow(_count_task(), "feature int, good long, bad long") \
+            .groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # DIM rows
+        place = np.asarray(counts.column("feature"))
+        n = np.zeros((2, DIM + 1))
+        n[1, place], n[0, place] = np.asarray(counts.column("good")), np.asarray(counts.column("bad"))
+        return n[:, :DIM]                       # place -1 holds the numbers of rows
+
+    def fitted(n: np.ndarray, chosen: DataFrame) -> Model:
+        n = n + SMOOTHING
+        ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
+        sent = spark.sparkContext.broadcast(ratio)
+        sample = chosen.orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(fit_rows)
+        size = sample.count()
+        shards = max(1, -(-size // SHARD_ROWS))
+        sample = sample.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(shards)).cast("int"))
+        parts = joined(sample, bounded=True).select("text", "label", "id", "shard") \
+            .mapInArrow(_feature_task(), "x binary, label int, id long, shard int") \
+            .groupBy("shard").applyInArrow(_fit_task(sent), "w binary, n long").collect()  # a row for each shard
+        weights, rows = np.zeros(DIM + 1), 0
+        for r in parts:
+            weights += np.frombuffer(r["w"], np.float64) * r["n"]
+            rows += r["n"]
+        return Model(ratio, weights / max(1, rows), 1.0, 0.0)
+
+    # Calibrated on rows that a first model has not seen; the model that is kept is fitted alike
+    # with ratios of all rows.
+    most = counted(known.where("part > 0"))
+    first = fitted(most, known.where("part > 0"))
+    model = fitted(most + counted(known.where("part = 0")), known)
     margins = joined(known.where("part = 0")).select("text", "label").mapInArrow(
-        _margin_task(spark.sparkContext.broadcast(model)), "margin double, label int")
+        _margin_task(spark.sparkContext.broadcast(first)), "margin double, label int")
     bins = margins.groupBy(F.round(F.col("margin") * 40).alias("bin"), "label").count() \
         .groupBy("bin").pivot("label", [0, 1]).sum("count").na.fill(0) \
         .orderBy(F.desc(F.col("0") + F.col("1"))).collect()  # margins are bounded by the weights' length

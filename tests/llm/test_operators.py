@@ -382,6 +382,16 @@ def test_presence_kernel_equals_set_kernel():
 
 # ------------------------------------------------------------- 3 quality
 
+def test_quality_ratios_count_all_training_rows(spark):
+    rows = [(i, f"own{i} both here", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+    n = np.full((2, quality.DIM), quality.SMOOTHING)
+    for _, text, label in rows:
+        n[label, quality.features(text.encode(), quality.Words())] += 1
+    assert np.allclose(model.ratio, np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum()))
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
