@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import (decontamination, embedding_dedup, langid, lm_scoring, minhash, mixing, quality,
-                        substring_dedup, token_counts, url_filter)
-from larder.llm.common import id_crc, table
+from larder.llm import (decontamination, divergence, embedding_dedup, langid, lm_scoring, minhash, mixing, quality,
+                        substring_dedup, token_counts, url_filter, warc, whitening)
+from larder.llm.common import Scratch, id_crc, table
 from larder.llm.sql import SQL
 
 # The rules of the URL filter, and the sites whose pages are listed.
@@ -91,9 +91,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its most telling terms."""
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates of every vector along the eight leading components, at variance one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors).select("vec_id", "component", "n", "deviation", "whitened", "explained",
+                                            "identity_error")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's payload after writing all pages to web archives and reading them back."""
+    scratch = Scratch(spark)
+    pages = table(spark, sf_dir, "pages")
+    found = warc.read_archives(spark, warc.write_archives(pages, f"{scratch.root}/archives"))
+    number = pages.schema["page_id"].dataType
+    return warc.resolve_revisits(found, scratch).select(
+        F.col("page_id").cast(number).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast(number).alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_counts, op2_decontamination, op3_quality, op4_lm_scoring, op5_near_dedup, op6_mixing,
-        op7_language_id, op8_url_filter, op9_embedding_dedup, op10_substring_dedup)}
+        op7_language_id, op8_url_filter, op9_embedding_dedup, op10_substring_dedup, op11_divergence, op12_whitening,
+        op13_warc)}
 
 ORACLE_SQL: dict[str, str] = SQL

@@ -115,5 +115,44 @@ SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed,
        sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11 = f"""
+WITH d AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         {_WORDS.format(pattern=_LETTERS)} AS w FROM documents),
+kept AS MATERIALIZED (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL
+         HAVING count(*) >= 10),
+occ AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kc AS MATERIALIZED (SELECT occ.* FROM occ JOIN kept USING (lang, term)),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d)
+         LEFT JOIN kc USING (lang, source) GROUP BY ALL),
+prof AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 2)) // (total + 2 * v) AS p
+         FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN kc USING (lang, source, term)),
+lang_prof AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS q
+         FROM (SELECT lang, term, sum(n) AS n FROM kc GROUP BY ALL) JOIN v USING (lang)
+         JOIN (SELECT lang, sum(total) AS total FROM g GROUP BY lang) USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+         FROM prof a JOIN prof b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT
+      FROM prof JOIN lang_prof USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM r)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+OP13 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS h FROM pages),
+top AS (SELECT h, max(page_id) AS holder FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN page_id < holder THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < holder THEN holder END AS refers_to
+FROM p LEFT JOIN top ON p.h = top.h AND n >= 1000
+"""
+
 SQL = {"op2_decontamination": OP2, "op5_near_dedup": OP5, "op6_mixing": OP6, "op8_url_filter": OP8,
-       "op9_embedding_dedup": OP9, "op10_substring_dedup": OP10}
+       "op9_embedding_dedup": OP9, "op10_substring_dedup": OP10, "op11_divergence": OP11, "op13_warc": OP13}
