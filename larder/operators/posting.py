@@ -17,16 +17,27 @@ Lines without a cart id belong to no cart; they are rejected together, as
 one reject with a NULL cart id and the reason ``missing_cart``. So every
 cart of the input is in exactly one of receipts and rejects.
 
-The remaining carts consume stock in ``seq`` order: a per-UPC running sum
-of their amounts must stay within stock, otherwise the cart is rejected as
-``insufficient_stock_batch``. Carts rejected by this rule still count in
-the running sum, so stock never goes negative (it may reject a cart that
-strictly sequential posting would take; for one cart it is exact).
+The remaining carts consume stock in the order of arrival (``seq``, then cart id), each
+against what the accepted carts before it left: a cart that finds too little of
+any item is rejected as ``insufficient_stock_batch`` and takes nothing. That is a
+sequential rule; here it is found by rounds that close in on it from both sides
+(``settle``). With what is known of earlier carts, a cart
+
+* is accepted if its lines fit even though all undecided earlier carts were accepted;
+* is rejected if a line does not fit even though all of them were rejected;
+* stays undecided otherwise.
+
+The first undecided cart of every item is decided in each round, so the rounds
+end, with exactly the sequential result. Each round works on the undecided carts'
+lines of items that are still contested. Once few lines are left (``FINISH_LINES``),
+they are settled one after the other in a single task, which saves rounds
+and changes no verdict. ``rule="reserve"`` names a quicker, stricter rule: one running
+sum in which rejected carts go on counting, so that stock stays reserved for them.
 
 Totals: goods = sum(price x amount); total = goods x 1.2 x (100 - percent)
 / 100, cast once to (13,4); vat = total x 0.2 (the generated column).
 
-Scale: the running sum is a multi-level scan. Lines are grouped into
+Scale: the running sums are multi-level scans. Lines are grouped into
 (UPC, seq block) cells; cell totals get their running sum the same way
 one level up (a table ``block`` times smaller), and each cell then runs
 its own window with that offset. A UPC that appears in a third of all
@@ -35,10 +46,10 @@ carts is spread over many cells instead of one task, at every level.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.exprs import dec, money, ts, vat
@@ -49,6 +60,9 @@ from larder.sources.tables import Tables, left_join_present, materialize, replac
 # Fixed values from the source: VAT added to goods, discount in percent.
 GROSS_FACTOR = "1.2"
 SEQ_BLOCK = 1 << 16
+# So many undecided lines (four small columns each) are settled in one task.
+FINISH_LINES = 100_000
+IN_ORDER, RESERVE = "in_order", "reserve"
 # Reject reasons, in the order a cart reports them (its first by name).
 # Carried as codes 1..n so per-cart aggregation stays in a hash aggregate
 # (min/max over text would fall back to a sort-based one).
@@ -70,12 +84,21 @@ class Posting(NamedTuple):
     receipts: DataFrame      # accepted carts: cart_id, seq + check_table columns
     lines: DataFrame         # their sale lines (sale columns)
     rejects: DataFrame       # cart_id, reason
+    rounds: int              # rounds that settled the order of arrival
 
 
-def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, block: int = SEQ_BLOCK,
-                levels: int = 3) -> DataFrame:
-    """Inclusive running sum of ``value`` per ``by`` in ``order`` (ROWS frame),
-    as a multi-level scan so that no window group grows with the data.
+def levels_for(first: int | None, last: int | None, block: int = SEQ_BLOCK) -> int:
+    """Levels that a running sum needs so that no window holds more than ``block`` places of the order."""
+    span, levels = (last or 0) - (first or 0) + 1, 1
+    while span > block:
+        span, levels = -(-span // block) + 1, levels + 1
+    return levels
+
+
+def running_sums(df: DataFrame, by: str, order: str, sums: Mapping[str, Column], block: int = SEQ_BLOCK,
+                 levels: int = 3, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Inclusive running sums per ``by`` in ``order`` (ROWS frame): one column for each of ``sums``
+    (name -> whole number to add up), as a multi-level scan so that no window group grows with the data.
 
     Rows are grouped into (``by``, order // block) cells. The cell totals (one
     row per cell, combined before the shuffle) are written once; their own
@@ -83,23 +106,31 @@ def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, block:
     smaller, are the offsets. Each cell then runs a window with its offset;
     the join with the offsets and the window share one partitioning. At the
     last level a plain per-``by`` window runs over at most
-    order range / block^(levels-1) rows: with the defaults, 256 rows per
-    key for a range of 2^40 (a trillion carts). ``by`` and ``order`` must
-    not be NULL; ``order`` must be integral and unique within ``by`` up to
-    ties of zero ``value``.
+    order range / block^(levels-1) rows: ``levels_for`` gives the levels that a range
+    needs. ``by`` and ``order`` must not be NULL; ``order`` must be integral;
+    rows that share it are taken in the order of ``tie``.
     """
+    names = list(sums)
+    own = df.withColumns({f"_v_{n}": c for n, c in sums.items()})
     if levels <= 1:
-        w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(out, F.sum(value).over(w))
-    blk, tot, cum, off = (f"_{x}{levels}" for x in ("blk", "tot", "cum", "off"))
-    cells = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)))
-    totals = materialize(cells.groupBy(by, blk).agg(F.sum(value).alias(tot)), f"running-{levels}")
-    upper = running_sum(totals, by, blk, tot, cum, block, levels - 1)
-    offsets = upper.select(by, blk, (F.col(cum) - F.col(tot)).alias(off))
-    inside = Window.partitionBy(by, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        w = Window.partitionBy(by).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+        return own.withColumns({n: F.sum(f"_v_{n}").over(w) for n in names}).drop(*[f"_v_{n}" for n in names])
+    blk = f"_blk{levels}"
+    cells = own.withColumn(blk, F.floor(F.col(order) / F.lit(block)))
+    totals = materialize(cells.groupBy(by, blk).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names]),
+                         f"running-{levels}")
+    upper = running_sums(totals, by, blk, {f"_c_{n}": F.col(f"_t_{n}") for n in names}, block, levels - 1)
+    offsets = upper.select(by, blk, *[(F.col(f"_c_{n}") - F.col(f"_t_{n}")).alias(f"_o_{n}") for n in names])
+    inside = Window.partitionBy(by, blk).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     return (cells.join(offsets, [by, blk])
-            .withColumn(out, F.col(off) + F.sum(value).over(inside))
-            .drop(blk, off))
+            .withColumns({n: F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(inside) for n in names})
+            .drop(blk, *[f"{p}{n}" for n in names for p in ("_v_", "_o_")]))
+
+
+def running_sum(df: DataFrame, by: str, order: str, value: str, out: str, block: int = SEQ_BLOCK,
+                levels: int = 3) -> DataFrame:
+    """``running_sums`` of one column."""
+    return running_sums(df, by, order, {out: F.col(value)}, block, levels)
 
 
 def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
@@ -136,40 +167,136 @@ def judge_lines(t: Mapping[str, DataFrame], lines: DataFrame) -> DataFrame:
 class Judged(NamedTuple):
     lines: DataFrame         # lines of accepted carts, with price, stock, cashier and percent
     rejects: DataFrame       # cart_id, reason
+    rounds: int              # rounds that settled the order of arrival
+
+
+class Settled(NamedTuple):
+    lines: DataFrame         # lines of accepted carts
+    over: DataFrame          # cart_id of the carts that found too little
+    rounds: int
+
 
+def _round(work: DataFrame, block: int, levels: int) -> DataFrame:
+    """Undecided lines with ``free`` (what surely accepted earlier carts leave) and ``wanted`` (what
+    undecided earlier carts and the line itself ask for)."""
+    undecided = F.col("fate").isNull()
+    sums = {"_taken": F.when(undecided, 0).otherwise(F.col("amount")), "wanted": F.when(undecided, F.col("amount")).otherwise(0)}
+    run = running_sums(work, "upc", "seq", sums, block, levels, tie=("cart_id",)).where(undecided)
+    return run.withColumn("free", F.col("free") - F.col("_taken")).drop("_taken")
 
-def judge_carts(t: Mapping[str, DataFrame], lines: DataFrame, block: int = SEQ_BLOCK) -> Judged:
+
+def _verdicts(run: DataFrame) -> DataFrame:
+    """``fits`` per line; ``fate`` per cart: 1 accepted, 0 rejected, NULL undecided."""
+    cart = Window.partitionBy("cart_id")
+    run = run.withColumn("fits", F.col("wanted") <= F.col("free"))
+    fate = F.when(F.min(F.col("fits").cast("int")).over(cart) == 1, 1) \
+        .when(F.max((F.col("amount") > F.col("free")).cast("int")).over(cart) == 1, 0)
+    return run.withColumn("fate", fate).drop("wanted")
+
+
+def _one_after_the_other(lines):
+    """The lines' carts in order of arrival, each against what the carts before it left: the accepted ones (pandas)."""
+    import pandas as pd
+    taken: dict = {}
+    out = []
+    for (_, cart), own in lines.groupby(["seq", "cart_id"], sort=True):
+        rows = list(zip(own["upc"], own["amount"], own["free"]))
+        if all(taken.get(upc, 0) + amount <= free for upc, amount, free in rows):
+            for upc, amount, _ in rows:
+                taken[upc] = taken.get(upc, 0) + amount
+            out.append(cart)
+    return pd.DataFrame({"cart_id": pd.Series(out, dtype=object)})
+
+
+def settle(good: DataFrame, block: int = SEQ_BLOCK, finish: int = FINISH_LINES) -> Settled:
+    """Which carts get their goods, in the order of arrival; ``good``: lines of carts that pass all other rules.
+
+    Every round's verdicts are written once. Accepted lines stay in the next round's work,
+    where they come off what later carts find; then their effect is in ``free`` and they leave.
+    """
+    first, last = good.agg(F.min("seq"), F.max("seq")).first()
+    levels = levels_for(first, last, block)
+    work = good.withColumns({"free": F.col("products_number").cast("long"), "fate": F.lit(None).cast("int")})
+    start = now = materialize(_verdicts(_round(work, block, levels)), "posting-round-1")
+    rounds, late = 1, []
+    while True:
+        undecided = now.where("fate is null")
+        left = undecided.count()
+        if left == 0:
+            break
+        # Items whose undecided lines all fit constrain nobody any more.
+        contested = undecided.where(~F.col("fits")).select("upc").distinct()
+        work = now.where("fate is null or fate = 1").select("cart_id", "seq", "upc", "amount", "free", "fate") \
+            .join(contested, "upc", "left_semi")
+        rounds += 1
+        run = _round(work, block, levels)
+        if left <= finish:
+            rest = run.select("cart_id", "seq", "upc", "amount", "free")
+            late.append(materialize(rest.groupBy(F.lit(0).alias("all")).applyInPandas(
+                _one_after_the_other, rest.select("cart_id").schema), f"posting-round-{rounds}"))
+            break
+        now = materialize(_verdicts(run), f"posting-round-{rounds}")
+        late.append(now.where("fate = 1").select("cart_id").distinct())
+    lines, over = start.where("fate = 1"), start.where("fate = 0").select("cart_id").distinct()
+    if late:
+        found = late[0]
+        for more in late[1:]:
+            found = found.unionByName(more)
+        open_lines = start.where("fate is null")
+        lines = lines.unionByName(open_lines.join(found, "cart_id", "left_semi"))
+        over = over.unionByName(open_lines.select("cart_id").distinct().join(found, "cart_id", "left_anti"))
+    return Settled(lines.drop("free", "fits", "fate"), over, rounds)
+
+
+def _reserve(good: DataFrame, block: int) -> Settled:
+    """The named shortcut: one running sum over all carts, rejected ones included."""
+    first, last = good.agg(F.min("seq"), F.max("seq")).first()
+    over = (F.col("run") > F.col("products_number")).cast("int")
+    run = running_sums(good, "upc", "seq", {"run": F.col("amount")}, block, levels_for(first, last, block), tie=("cart_id",))
+    r = materialize(run.withColumn("cart_over", F.max(over).over(Window.partitionBy("cart_id"))), "posting-run")
+    return Settled(r.where(F.col("cart_over") == 0).drop("run", "cart_over"),
+                   r.where(F.col("cart_over") == 1).select("cart_id").distinct(), 1)
+
+
+def judge_carts(t: Mapping[str, DataFrame], lines: DataFrame, block: int = SEQ_BLOCK, rule: str = IN_ORDER,
+                finish: int = FINISH_LINES) -> Judged:
     """Verdict on every cart of a batch; see the module text for the rules.
 
-    The judged lines, and the accepted ones with their running sums, are each
-    read by several branches, so both are written once to the session's shared
-    checkpoint folder: the lookups run once, and a lost executor resumes from
-    the written files instead of the whole lineage. Lines of carts that fail
-    a rule by themselves take no part in the running sum.
+    The judged lines and each round's verdicts are read by several branches, so
+    they are written once to the session's shared checkpoint folder: the
+    lookups run once, and a lost executor resumes from the written files instead
+    of the whole lineage. Lines of carts that fail a rule by themselves take no
+    part in the order of arrival.
     """
+    if rule not in (IN_ORDER, RESERVE):
+        raise ValueError(f"unknown rule {rule}")
     lost = lines.where(F.col("cart_id").isNull()).select("cart_id").distinct() \
         .select("cart_id", F.lit(MISSING_CART).alias("reason"))
     judged = materialize(judge_lines(t, lines.where(F.col("cart_id").isNotNull())), "posting-judged")
-    failed = judged.where(F.col("cart_bad").isNotNull()).select("cart_id", F.col("cart_bad").alias("code"))
-    over = (F.col("run") > F.col("products_number")).cast("int")
-    r = materialize(running_sum(judged.where(F.col("cart_bad").isNull()), "upc", "seq", "amount", "run", block)
-                    .withColumn("cart_over", F.max(over).over(Window.partitionBy("cart_id"))), "posting-run")
-    oversold = r.where(F.col("cart_over") == 1).select("cart_id", F.lit(_code("insufficient_stock_batch")).alias("code"))
-    rejects = failed.unionByName(oversold).distinct().select("cart_id", reason_name(F.col("code")).alias("reason"))
-    return Judged(r.where(F.col("cart_over") == 0), rejects.unionByName(lost))
+    failed = judged.where(F.col("cart_bad").isNotNull()).select("cart_id", F.col("cart_bad").alias("code")).distinct()
+    good = judged.where(F.col("cart_bad").isNull())
+    settled = settle(good, block, finish) if rule == IN_ORDER else _reserve(good, block)
+    oversold = settled.over.select("cart_id", F.lit(_code("insufficient_stock_batch")).alias("code"))
+    rejects = failed.unionByName(oversold).select("cart_id", reason_name(F.col("code")).alias("reason"))
+    return Judged(settled.lines, rejects.unionByName(lost), settled.rounds)
 
 
 def cart_receipts(ok_lines: DataFrame, now) -> DataFrame:
-    """One row per accepted cart: cart_id, seq and the receipt's columns, without its number."""
+    """One row per accepted cart: cart_id, seq and the receipt's columns, without its number.
+
+    ``now``: the time of all receipts; None: each cart's own ``arrived_at``.
+    """
     # Cashier and card are the same on every line of a cart: grouping keys.
+    own_time = [F.min("arrived_at").cast("timestamp_ntz").alias("print_date")] if now is None else []
     carts = ok_lines.groupBy("cart_id", "id_employee", "card_number").agg(
         F.min("seq").alias("seq"),
         F.coalesce(F.max("percent"), F.lit(0)).alias("percent"),
-        F.sum(F.col("selling_price") * F.col("amount")).cast("decimal(18,4)").alias("goods"))
+        F.sum(F.col("selling_price") * F.col("amount")).cast("decimal(18,4)").alias("goods"), *own_time)
     total = money(F.col("goods") * dec(GROSS_FACTOR)
                   * (F.lit(100) - F.col("percent")).cast("decimal(3,0)") * dec("0.01"))
+    time = F.col("print_date") if now is None else ts(now).alias("print_date")
     return carts.select("cart_id", "seq", "id_employee", "card_number",
-                        ts(now).alias("print_date"), total.alias("sum_total")).withColumn("vat", vat(F.col("sum_total")))
+                        time, total.alias("sum_total")).withColumn("vat", vat(F.col("sum_total")))
 
 
 def stock_after(t: Mapping[str, DataFrame], ok_lines: DataFrame) -> DataFrame:
@@ -180,12 +307,21 @@ def stock_after(t: Mapping[str, DataFrame], ok_lines: DataFrame) -> DataFrame:
     return sp.select(*SCHEMAS["store_product"].fieldNames())
 
 
-def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = SEQ_BLOCK) -> Posting:
-    """Post a batch of carts: verdicts, receipts with new numbers, sale lines, stock."""
-    ok_lines, rejects = judge_carts(t, lines, block)
+def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = SEQ_BLOCK, rule: str = IN_ORDER,
+               numbers: Callable[[DataFrame], DataFrame] | None = None) -> Posting:
+    """Post a batch of carts: verdicts, receipts with new numbers, sale lines, stock.
+
+    ``now``: the receipts' time, or None for each cart's own ``arrived_at`` (a column of the lines).
+    ``numbers`` gives the receipts their ``check_number`` (unique on ``cart_id``); left out, numbers
+    are drawn against those of ``check_table``.
+    """
+    judged = judge_carts(t, lines, block, rule)
+    ok_lines = judged.lines
     receipts = cart_receipts(ok_lines, now)
-    existing = t["check_table"].select("check_number")
-    receipts = assign_text_keys(receipts, "check_number", "check", ["cart_id"], existing)
+    if numbers is None:
+        receipts = assign_text_keys(receipts, "check_number", "check", ["cart_id"], t["check_table"].select("check_number"))
+    else:
+        receipts = numbers(receipts)
 
     # The captured price (J13) is the store price the lines were judged with.
     sold = ok_lines.join(receipts.select("cart_id", "check_number"), "cart_id").select(
@@ -196,4 +332,4 @@ def post_sales(t: Mapping[str, DataFrame], lines: DataFrame, now, block: int = S
         check_table=t["check_table"].unionByName(receipts.select(*SCHEMAS["check_table"].fieldNames())),
         sale=t["sale"].unionByName(sold),
     )
-    return Posting(new, receipts, sold, rejects)
+    return Posting(new, receipts, sold, judged.rejects, judged.rounds)

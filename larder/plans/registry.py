@@ -923,14 +923,25 @@ b AS (SELECT *, CASE
     WHEN card_number IS NOT NULL AND percent IS NULL THEN 'unknown_card'
     WHEN dup > 1 THEN 'duplicate_upc' END AS bad FROM a),
 g AS (SELECT cart_id, min(bad) AS bad FROM b GROUP BY cart_id),
-r AS (SELECT b.*, g.bad AS cart_bad,
-        sum(CASE WHEN g.bad IS NULL THEN amount ELSE 0 END)
-          OVER (PARTITION BY upc ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run
-      FROM b JOIN g ON b.cart_id = g.cart_id),
-f AS (SELECT cart_id, max(cart_bad) AS cb,
-        max(CASE WHEN cart_bad IS NULL AND run > products_number THEN 1 ELSE 0 END) AS over_sold
-      FROM r GROUP BY cart_id),
-ok AS (SELECT r.* FROM r JOIN f ON r.cart_id = f.cart_id WHERE f.cb IS NULL AND f.over_sold = 0)"""
+line AS MATERIALIZED (SELECT b.* FROM b JOIN g ON b.cart_id = g.cart_id WHERE g.bad IS NULL),
+shelf AS MATERIALIZED (SELECT upc, products_number AS units, row_number() OVER (ORDER BY upc) AS place
+  FROM (SELECT DISTINCT upc, products_number FROM line)),
+arrival AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq, cart_id) AS k, cart_id, list(place) AS places,
+    list(amount) AS amounts FROM line JOIN shelf ON line.upc = shelf.upc GROUP BY seq, cart_id),
+replay AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS cart_id, FALSE AS taken,
+         (SELECT list(units ORDER BY place) FROM shelf) AS units
+  UNION ALL
+  SELECT k, cart_id, fits, CASE WHEN fits THEN
+           list_transform(units, lambda x, i: x - coalesce(amounts[list_position(places, i)], 0)) ELSE units END
+  FROM (SELECT arrival.*, replay.units,
+               len(list_filter(amounts, lambda x, i: x > replay.units[places[i]])) = 0 AS fits
+        FROM replay JOIN arrival ON arrival.k = replay.k + 1)),
+f AS (SELECT g.cart_id, g.bad AS cb, CASE WHEN g.bad IS NULL AND NOT p.taken THEN 1 ELSE 0 END AS over_sold
+      FROM g LEFT JOIN replay p ON p.k > 0 AND p.cart_id = g.cart_id),
+ok AS (SELECT line.* FROM line JOIN f ON line.cart_id = f.cart_id WHERE f.over_sold = 0)"""
+# The carts arrive one by one: `replay` takes each against the units that the carts before it left.
+_POST_SQL = " RECURSIVE" + _POST_SQL
 
 
 @register("post_sales_totals", "W7", "WITH" + _POST_SQL + """,
@@ -977,9 +988,9 @@ _TORN_SQL = """
 torn AS (SELECT CASE WHEN seq % 29 = 0 THEN NULL ELSE seq END AS seq,
                 CASE WHEN seq % 37 = 0 THEN NULL ELSE cart_id END AS cart_id, user_id, card_number,
                 CASE WHEN seq % 31 = 0 AND amount % 2 = 0 THEN NULL ELSE upc END AS upc, amount FROM cart_lines),"""
-_TORN_POST_SQL = _TORN_SQL + _POST_SQL.replace("FROM cart_lines)", "FROM torn WHERE cart_id IS NOT NULL)").replace(
-    "WHEN id_employee IS NULL THEN", "WHEN seq IS NULL THEN 'missing_seq'\n    WHEN id_employee IS NULL THEN").replace(
-    "PARTITION BY upc ORDER BY seq ROWS", "PARTITION BY g.bad IS NULL, upc ORDER BY seq ROWS")
+_TORN_POST_SQL = _POST_SQL.replace("RECURSIVE", "RECURSIVE" + _TORN_SQL, 1).replace(
+    "FROM cart_lines),\na AS", "FROM torn WHERE cart_id IS NOT NULL),\na AS").replace(
+    "WHEN id_employee IS NULL THEN", "WHEN seq IS NULL THEN 'missing_seq'\n    WHEN id_employee IS NULL THEN")
 
 
 @register("post_sales_accounting", "W7", "WITH" + _TORN_POST_SQL + """
@@ -987,7 +998,7 @@ SELECT cart_id, CASE WHEN cb IS NOT NULL THEN cb WHEN over_sold = 1 THEN 'insuff
                      ELSE 'posted' END AS outcome FROM f
 UNION ALL SELECT NULL, 'missing_cart' FROM (SELECT 1 FROM torn WHERE cart_id IS NULL LIMIT 1) x""")
 def _q(t):
-    ok, rejects = post.judge_carts(t, _torn_lines(t))
+    ok, rejects, _ = post.judge_carts(t, _torn_lines(t))
     return rejects.select("cart_id", F.col("reason").alias("outcome")).unionByName(
         post.cart_receipts(ok, P.NOW).select("cart_id", F.lit("posted").alias("outcome")))
 

@@ -68,9 +68,10 @@ def with_views(body: str) -> str:
     ctes = [f"{n} AS (\n{VIEW_SQL[n]}\n)" for n in used]
     if body[:4].upper() == "WITH":
         rest = body[4:].lstrip()
+        keyword = "WITH "
         if rest[:9].upper() == "RECURSIVE":
-            raise ValueError("recursive oracle queries are not supported")
-        return "WITH " + ",\n".join(ctes + [rest]) if ctes else body
+            keyword, rest = "WITH RECURSIVE ", rest[9:].lstrip()
+        return keyword + ",\n".join(ctes + [rest]) if ctes else body
     if not ctes:
         return body
     return "WITH " + ",\n".join(ctes) + "\n" + body

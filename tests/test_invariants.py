@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -46,12 +47,14 @@ def test_delete_leaves_no_dangling_reference(spark):
     assert integ.violations(res.tables, kinds=("fk",), tables=("sale",)).count() == 0
 
 
-def _model(carts, stock, price, users, cards):
-    """The posting rules as a plain sequential program (the specification)."""
+def _model(carts, stock, price, users, cards, reserve=False):
+    """The posting rules as a plain sequential program (the specification).
+
+    ``reserve``: the named shortcut, in which carts that find too little go on counting.
+    """
     codes = ["bad_amount", "duplicate_upc", "insufficient_stock", "unknown_card", "unknown_cashier"]
     verdict, run, totals = {}, defaultdict(int), {}
-    judged = []
-    for cid, seq, user, card, lines in sorted(carts, key=lambda c: c[1]):
+    for cid, seq, user, card, lines in sorted(carts, key=lambda c: (c[1], c[0])):
         seen, bad = defaultdict(int), []
         for upc, _ in lines:
             seen[upc] += 1
@@ -66,15 +69,13 @@ def _model(carts, stock, price, users, cards):
                 bad.append("unknown_card")
             elif seen[upc] > 1:
                 bad.append("duplicate_upc")
-        judged.append((cid, lines, min(bad, key=codes.index) if bad else None, user, card))
-    for cid, lines, bad, user, card in judged:
         if bad:
-            verdict[cid] = bad
+            verdict[cid] = min(bad, key=codes.index)
             continue
-        over = False
-        for upc, amount in lines:
-            run[upc] += amount
-            over |= run[upc] > stock[upc]
+        over = any(run[upc] + amount > stock[upc] for upc, amount in lines)
+        if not over or reserve:
+            for upc, amount in lines:
+                run[upc] += amount
         if over:
             verdict[cid] = "insufficient_stock_batch"
         else:
@@ -84,23 +85,61 @@ def _model(carts, stock, price, users, cards):
     return verdict, totals
 
 
-def test_posting_matches_sequential_model(spark, seed):
-    rnd = random.Random(7)
+def _random_carts(seed, n, rnd, same_seq=1):
     upcs = [r["upc"] for r in seed["store_product"].collect()] + ["000000000000"]
-    stock = {r["upc"]: r["products_number"] for r in seed["store_product"].collect()}
-    price = {r["upc"]: r["selling_price"] for r in seed["store_product"].collect()}
-    cards = {r["card_number"]: r["percent"] for r in seed["customer_card"].collect()}
-    users = {1, 2, 3}
     carts = []
-    for i in range(120):
-        lines = [(rnd.choice(upcs), rnd.choice([0, 1, 2, 3, 5, 8, 20])) for _ in range(rnd.randint(1, 4))]
+    for i in range(n):
+        lines = [(rnd.choice(upcs), rnd.choice([0, 1, 1, 2, 3, 5, 8, 20])) for _ in range(rnd.randint(1, 4))]
         card = rnd.choice([None, "101", "105", "404"])
-        carts.append((f"c{i:03d}", i, rnd.choice([1, 2, 3, 9]), card, lines))
-    df = spark.createDataFrame(
+        carts.append((f"c{rnd.randrange(10 ** 6):06d}-{i}", i // same_seq, rnd.choice([1, 2, 3, 3, 2, 9]), card, lines))
+    return carts
+
+
+def _lines(spark, carts):
+    return spark.createDataFrame(
         [(seq, cid, user, card, upc, amount) for cid, seq, user, card, lines in carts for upc, amount in lines],
         "seq long, cart_id string, user_id int, card_number string, upc string, amount int")
-    res = post.post_sales(seed, df, "2024-06-20 10:00:00", block=16)
-    verdict, totals = _model(carts, stock, price, users, cards)
-    assert dict(rows(res.rejects, "cart_id", "reason")) == verdict
-    assert dict(rows(res.receipts, "cart_id", "sum_total")) == totals
-    assert len(totals) > 5 and len(verdict) > 5
+
+
+def _facts(seed):
+    sp = seed["store_product"].collect()
+    return ({r["upc"]: r["products_number"] for r in sp}, {r["upc"]: r["selling_price"] for r in sp}, {1, 2, 3},
+            {r["card_number"]: r["percent"] for r in seed["customer_card"].collect()})
+
+
+# Sizes of cells and of the last step: one window or several levels; all rounds, or the last ones in one task.
+@pytest.mark.parametrize("block,finish,same_seq", [(1 << 16, 100_000, 1), (16, 0, 1), (4, 0, 3), (16, 40, 1)])
+def test_posting_matches_sequential_model(spark, seed, block, finish, same_seq):
+    carts = _random_carts(seed, 160, random.Random(block + finish), same_seq)
+    verdict, totals = _model(carts, *_facts(seed))
+    judged = post.judge_carts(seed, _lines(spark, carts), block=block, finish=finish)
+    assert dict(rows(judged.rejects, "cart_id", "reason")) == verdict
+    assert dict(rows(post.cart_receipts(judged.lines, "2024-06-20 10:00:00"), "cart_id", "sum_total")) == totals
+    assert len(totals) > 5 and "insufficient_stock_batch" in verdict.values()
+    assert judged.rounds > (1 if finish else 2)
+
+
+def test_posting_takes_carts_after_a_rejected_one(spark, seed):
+    """A cart that finds too little leaves its other items, and what it asked for, to later carts."""
+    upc, other = "901234567890", sorted(_facts(seed)[0])[0]
+    stock = _facts(seed)[0][upc]
+    carts = [("a", 1, 1, None, [(upc, stock - 1)]), ("b", 2, 1, None, [(upc, 2), (other, 1)]), ("c", 3, 1, None, [(upc, 1)]),
+             ("d", 4, 1, None, [(upc, 1)])]
+    res = post.post_sales(seed, _lines(spark, carts), "2024-06-20 10:00:00")
+    assert rows(res.receipts, "cart_id") == [("a",), ("c",)]
+    assert rows(res.rejects, "cart_id") == [("b",), ("d",)]
+    assert dict(rows(res.tables["store_product"], "upc", "products_number"))[other] == _facts(seed)[0][other]
+
+
+def test_reserve_rule_counts_rejected_carts(spark, seed):
+    carts = _random_carts(seed, 120, random.Random(3))
+    verdict, totals = _model(carts, *_facts(seed), reserve=True)
+    judged = post.judge_carts(seed, _lines(spark, carts), block=16, rule=post.RESERVE)
+    assert dict(rows(judged.rejects, "cart_id", "reason")) == verdict and judged.rounds == 1
+    assert len(totals) <= len(_model(carts, *_facts(seed))[1])
+    with pytest.raises(ValueError):
+        post.judge_carts(seed, _lines(spark, carts), rule="other")
+
+
+def test_levels_follow_the_range():
+    assert [post.levels_for(*r) for r in ((None, None), (5, 5), (1, 1 << 16), (0, 1 << 16), (0, 1 << 40))] == [1, 1, 1, 2, 3]
