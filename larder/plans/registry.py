@@ -1011,24 +1011,50 @@ def _q(t):
         "upc", "cart_id", "product_number", "selling_price")
 
 
-@register("post_sales_stream_totals", "W7-stream", QUERIES["post_sales_totals"].sql)
-def _q(t):
-    # The open line items as a folder of carts, posted by the streaming
-    # query (availableNow: the folder is one micro-batch, so the result is
-    # the batch posting's).
+def _posted_by_stream(t, runs=4):
+    """The open line items as carts that arrive a second apart, posted by the streaming query.
+
+    Files come in ``runs`` portions in the order of arrival; each start of the query (availableNow) goes on
+    where the last one stopped and posts one portion as one micro-batch.
+    """
     import os
     import uuid
 
     from larder.session import ensure_checkpoint_dir
+    from larder.sources.tables import materialize
     from larder.streaming.posting import CART_SCHEMA, carts_of, post_sales_stream, read_output
     spark = t["store_product"].sparkSession
     root = os.path.join(ensure_checkpoint_dir(spark), "larder", f"stream-{uuid.uuid4().hex}")
-    carts_of(t["cart_lines"], P.NOW).write.parquet(os.path.join(root, "in"))
-    stream = spark.readStream.schema(CART_SCHEMA).parquet(os.path.join(root, "in"))
-    q = post_sales_stream(stream, t, os.path.join(root, "out"), os.path.join(root, "state"))
-    q.awaitTermination()
-    return read_output(spark, os.path.join(root, "out"), "receipts").select(
-        "cart_id", "id_employee", "card_number", "sum_total", "vat")
+    carts = materialize(carts_of(t["cart_lines"], F.lit(P.NOW).cast("timestamp") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), F.col("seq").cast("decimal(18,6)"))), "stream-carts")
+    first, last = carts.agg(F.min("seq"), F.max("seq")).first()
+    width = ((last or 0) - (first or 0)) // runs + 1
+    for k in range(runs):
+        low = (first or 0) + k * width
+        carts.where(F.col("seq").between(low, low + width - 1)).write.parquet(os.path.join(root, "in", f"portion={k}"))
+        stream = spark.readStream.schema(CART_SCHEMA).parquet(os.path.join(root, "in", "*"))
+        post_sales_stream(stream, t, os.path.join(root, "out"), os.path.join(root, "state")).awaitTermination()
+    return lambda name: read_output(spark, os.path.join(root, "out"), name)
+
+
+# Posted in the order of arrival, four micro-batches end with the receipts of one batch.
+@register("post_sales_stream_totals", "W7-stream", QUERIES["post_sales_totals"].sql)
+def _q(t):
+    return _posted_by_stream(t)("receipts").select("cart_id", "id_employee", "card_number", "sum_total", "vat")
+
+
+@register("post_sales_stream_receipts", "W7-stream/W8", "WITH" + _POST_SQL + f"""
+SELECT cart_id, CAST(TIMESTAMP '{P.NOW}' + to_seconds(seq) AS TIMESTAMP) AS print_date,
+       count(*) AS n_lines, TRUE AS well_formed, CAST(1 AS BIGINT) AS holders
+FROM ok GROUP BY cart_id, seq""")
+def _q(t):
+    # Each receipt's own time and its number: 10 digits, held by one receipt only, with all its lines.
+    posted = _posted_by_stream(t)
+    receipts, lines = posted("receipts"), posted("sale")
+    holders = receipts.groupBy("check_number").agg(F.count(F.lit(1)).alias("holders"))
+    n = lines.groupBy("check_number").agg(F.count(F.lit(1)).alias("n_lines"))
+    return receipts.join(holders, "check_number").join(n, "check_number").select(
+        "cart_id", "print_date", "n_lines", F.col("check_number").rlike("^[0-9]{10}$").alias("well_formed"), "holders")
 
 
 # ----------------------------------------- more change sets (W2 serial, W3)

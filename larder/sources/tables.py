@@ -161,6 +161,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _fs(spark: SparkSession, path: str):
+    """The path's file system and the path, as Hadoop sees them (any store Spark can read)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def path_children(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder; none if it does not exist."""
+    fs, p = _fs(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 @contextlib.contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
     """Deletes on exit what ``materialize`` wrote inside the block.

@@ -13,11 +13,17 @@ overwrites exactly its own partition and reads only earlier epochs, so a
 micro-batch is applied once even after a failure (the query's own
 checkpoint records which epochs committed).
 
+Carts of a micro-batch are posted in their order of arrival, so a stream
+of carts in that order ends with the receipts of one batch posting. A receipt's
+``print_date`` is its own cart's ``arrived_at``.
+
 What a micro-batch has to know of earlier ones is their units sold and their
-receipt numbers. Every ``FOLD_EVERY`` epochs these are folded into one state
-folder (``_state/<epoch>``), so a micro-batch reads one state and fewer than
+receipt numbers. Units are folded every ``FOLD_EVERY`` epochs into one state
+folder (``_state/<epoch>``, a row for each item), so a micro-batch reads one state and fewer than
 ``FOLD_EVERY`` epoch folders however long the stream has run; a restart goes
-on from the newest finished state. ``compact`` makes a new base version.
+on from the newest finished state. Numbers come from a ``KeyRegistry``
+(``_numbers``), of which a micro-batch opens only the folders of its own
+prefixes. ``compact`` makes a new base version.
 """
 
 from __future__ import annotations
@@ -25,13 +31,15 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from larder.operators.keys import KeyRegistry
 from larder.operators.posting import post_sales
 from larder.schemas import SCHEMAS
-from larder.sources.tables import Tables, conform, materialize, replaced, temporary_tables
+from larder.sources.tables import (Tables, materialize, path_children, path_exists, replaced,
+                                   temporary_tables)
 
 CART_SCHEMA = ("cart_id string, seq long, user_id int, card_number string, "
                "lines array<struct<upc: string, amount: int>>, arrived_at timestamp")
@@ -41,12 +49,13 @@ FOLD_EVERY = 16
 
 def cart_lines_of(carts: DataFrame) -> DataFrame:
     """Carts -> one row per line (carts with no lines give no rows)."""
-    return carts.select("seq", "cart_id", "user_id", "card_number", F.explode("lines").alias("l")).select(
-        "seq", "cart_id", "user_id", "card_number", F.col("l.upc").alias("upc"), F.col("l.amount").alias("amount"))
+    own = [c for c in ("seq", "cart_id", "user_id", "card_number", "arrived_at") if c in carts.columns]
+    return carts.select(*own, F.explode("lines").alias("l")).select(
+        *own, F.col("l.upc").alias("upc"), F.col("l.amount").alias("amount"))
 
 
 def carts_of(lines: DataFrame, arrived_at) -> DataFrame:
-    """Line rows (as in ``cart_lines``) -> one row per cart.
+    """Line rows (as in ``cart_lines``) -> one row per cart; ``arrived_at``: a time, or a column over the cart's ``seq``.
 
     A cart is one till transaction, posted atomically, so its lines travel
     as one message; the array holds one transaction's lines (bounded by the
@@ -54,23 +63,7 @@ def carts_of(lines: DataFrame, arrived_at) -> DataFrame:
     """
     return lines.groupBy("cart_id", "user_id", "card_number").agg(
         F.min("seq").alias("seq"), F.collect_list(F.struct("upc", "amount")).alias("lines")).withColumn(
-        "arrived_at", F.lit(arrived_at).cast("timestamp"))
-
-
-def _fs(spark, path: str):
-    """The path's file system and the path, as Hadoop sees them (any store Spark can read)."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def _children(spark, path: str) -> list[str]:
-    fs, p = _fs(spark, path)
-    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        "arrived_at", (arrived_at if isinstance(arrived_at, Column) else F.lit(arrived_at)).cast("timestamp"))
 
 
 class PostingBatch:
@@ -86,28 +79,31 @@ class PostingBatch:
     def _state(self, spark, epoch: int) -> tuple[int, str | None]:
         """The newest finished state before ``epoch``, newer than the base."""
         root = os.path.join(self.out_root, "_state")
-        done = [int(n) for n in _children(spark, root) if n.isdigit() and self.since_epoch < int(n) < epoch
-                and all(_exists(spark, os.path.join(root, n, part, "_SUCCESS")) for part in ("used", "numbers"))]
+        done = [int(n) for n in path_children(spark, root) if n.isdigit() and self.since_epoch < int(n) < epoch
+                and path_exists(spark, os.path.join(root, n, "used", "_SUCCESS"))]
         return (max(done), os.path.join(root, str(max(done)))) if done else (self.since_epoch, None)
 
-    def _known(self, spark, epoch: int, after: int, state: str | None) -> tuple[DataFrame, DataFrame]:
-        """Units sold (upc, used) and receipt numbers of the epochs that are not in the base."""
+    def _known(self, spark, epoch: int, after: int, state: str | None) -> DataFrame:
+        """Units sold (upc, used) by the epochs that are not in the base."""
         used = epochs(spark, self.out_root, "stock_used", "upc string, used long", after, epoch)
-        numbers = epochs(spark, self.out_root, "receipts", "check_number string", after, epoch)
         if state:
             used = used.unionByName(spark.read.schema("upc string, used long").parquet(os.path.join(state, "used")))
-            numbers = numbers.unionByName(spark.read.schema("check_number string").parquet(os.path.join(state, "numbers")))
-        return used.groupBy("upc").agg(F.sum("used").alias("used")), numbers
+        return used.groupBy("upc").agg(F.sum("used").alias("used"))
 
     def _fold(self, spark, epoch: int) -> None:
         """Write the state of all epochs before ``epoch`` when the last one is old enough."""
         after, state = self._state(spark, epoch)
         if epoch - 1 - after < self.fold_every:
             return
-        used, numbers = self._known(spark, epoch, after, state)
         path = os.path.join(self.out_root, "_state", str(epoch - 1))
-        used.write.mode("overwrite").parquet(os.path.join(path, "used"))
-        numbers.write.mode("overwrite").parquet(os.path.join(path, "numbers"))
+        self._known(spark, epoch, after, state).write.mode("overwrite").parquet(os.path.join(path, "used"))
+
+    def registry(self, spark) -> KeyRegistry:
+        """The numbers taken so far, entered from the base and the outputs when the registry is new."""
+        numbers = KeyRegistry(spark, os.path.join(self.out_root, "_numbers"), "check")
+        earlier = epochs(spark, self.out_root, "receipts", "check_number string", self.since_epoch, 1 << 62)
+        numbers.start(self.base["check_table"].select("check_number").unionByName(earlier))
+        return numbers
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         with temporary_tables(batch.sparkSession):  # all outputs are written inside
@@ -120,14 +116,13 @@ class PostingBatch:
         self._fold(spark, epoch)
         empty = batch.where(F.coalesce(F.size("lines"), F.lit(0)) <= 0).select("cart_id", F.lit("empty_cart").alias("reason"))
         lines = cart_lines_of(batch)
-        now = batch.agg(F.max("arrived_at")).scalar()
-        used, numbers = self._known(spark, epoch, *self._state(spark, epoch))
+        used = self._known(spark, epoch, *self._state(spark, epoch))
         sp = (self.base["store_product"].join(used.withColumnRenamed("used", "_u"), "upc", "left")
               .withColumn("products_number", (F.col("products_number") - F.coalesce("_u", F.lit(0))).cast("int"))
               .select(*SCHEMAS["store_product"].fieldNames()))
-        t = replaced(self.base, store_product=sp,
-                     check_table=conform(self.base["check_table"].select("check_number").unionByName(numbers), "check_table"))
-        res = post_sales(t, lines, now)
+        numbers = self.registry(spark)
+        res = post_sales(replaced(self.base, store_product=sp), lines, None,
+                         numbers=lambda receipts: numbers.assign(receipts, "check_number", ["cart_id"], epoch))
         out = {
             "receipts": res.receipts.select(*SCHEMAS["check_table"].fieldNames(), "cart_id"),
             "sale": res.lines,
@@ -146,7 +141,7 @@ def epochs(spark, out_root: str, name: str, schema: str, after: int, before: int
     Only those epochs' folders are opened. An output that does not exist yet is
     empty; any other failure to read is an error and stops the stream."""
     root = os.path.join(out_root, name)
-    found = [n for n in _children(spark, root) if n.startswith("epoch=") and after < int(n[6:]) < before]
+    found = [n for n in path_children(spark, root) if n.startswith("epoch=") and after < int(n[6:]) < before]
     if not found:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*[os.path.join(root, n) for n in sorted(found)])
