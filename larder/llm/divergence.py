@@ -30,7 +30,6 @@ partner has no pairs; an empty table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -38,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import Scratch, slices
+from larder.llm.common import Scratch, slices, texts
 
-TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+# Every byte of UTF-8 text as part of a term (A-Z lower-cased, all bytes of characters above ASCII) or as a space.
+TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 LEAST_DOCS = 10
 TOP_TERMS = 10
 SCALE = 1_000_000_000
@@ -70,17 +69,16 @@ def _count_task(batches):
 
     for whole in batches:
         for batch in slices(whole, 0):
-            texts, langs, sources = (batch.column(i).to_pylist() for i in range(3))
-            for text, lang, source in zip(texts, langs, sources):
+            for text, lang, source in zip(texts(batch, 0), *(batch.column(i).to_pylist() for i in (1, 2))):
                 key = (lang or "", source or "")
                 if key not in held:
                     held[key] = (Counter(), Counter())
                     size += 1
                 n, docs = held[key]
                 before = len(n)
-                terms = Counter(TERM.findall((text or "").translate(FOLD)))
+                terms = text.translate(TERM_BYTES).split()
                 n.update(terms)
-                docs.update(terms.keys())
+                docs.update(set(terms))
                 size += len(n) - before
                 if size > HELD_TERMS:
                     yield from rows()

@@ -256,13 +256,12 @@ def _splits(pieces: DataFrame) -> DataFrame:
                              "file_end": F.sum("length").over(Window.partitionBy("file")) - len(MAGIC)})
 
 
-def reachable(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(file, at): what offset 0 of each file leads to, by pointer jumping over (file, at, leaves).
+def reachable(starts: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(file, at): what the starts (file, at) lead to, by pointer jumping over (file, at, leaves).
 
     Round r knows all within 2^r steps, and where 2^r steps lead from every node. Only offsets that
     some chain leaves to are nodes: a few for each split.
     """
-    starts = edges.where("at = 0").select("file", "at").distinct()
     ends = edges.select("file", F.col("leaves").alias("at")).distinct()
     nodes = starts.unionByName(ends).distinct()
     jump = scratch.write(edges.join(nodes, ["file", "at"], "left_semi"))
@@ -287,7 +286,8 @@ def chain(pieces: DataFrame, scratch: Scratch) -> DataFrame:
     keys = ["file", "split", "base", "length", "rel", "succ"]
     edges = scratch.write(placed.select(*keys).groupBy("file", "split").applyInArrow(
         _exit_task, "file string, at long, leaves long"))
-    entries = reachable(edges, scratch)
+    starts = splits.select("file", F.lit(0).cast("long").alias("at")).distinct()
+    entries = reachable(starts, edges, scratch)
     # An entry lies in the split whose pieces cover it; the end of a file lies in none.
     inside = entries.join(splits, "file").where((F.col("at") >= F.col("base")) & (F.col("at") < F.col("base") + F.col("length")))
     # The first split starts with the empty piece before the first magic.
@@ -303,7 +303,7 @@ def _joined_task(group: pa.Table) -> pa.Table:
     whole = MAGIC.encode().join(group.column("piece").to_pylist())
     head, fields = parse_header(whole)
     length = int(fields["content-length"])
-    good = whole[head + length:] == RECORD_END.encode()
+    good = whole[head + length:head + length + len(RECORD_END)] == RECORD_END.encode()
     payload = payload_of(whole[head:head + length], fields)
     return pa.table({
         "file": group.column("file").slice(0, 1), "at": group.column("owner_at").slice(0, 1),

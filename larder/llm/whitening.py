@@ -43,9 +43,9 @@ LARGEST = 1 << 40
 TILE = 128
 SHARES = 64                      # tasks whose tiles are added together first
 ROWS = 4096                      # vectors a task works on at a time
-# Intervals narrower than this, relative to the largest eigenvalue, are not divided any more.
-NARROW = 1e-12
 EPS = np.finfo(np.float64).eps
+# Intervals narrower than so many times (dimensions x rounding x largest eigenvalue) are not divided any more.
+NARROW = 8
 
 
 class Model(NamedTuple):
@@ -215,10 +215,9 @@ class Slicer:
         return low, high
 
 
-def _refine(s: Slicer, low: float, high: float, found: list[np.ndarray], seed: int) -> tuple[float, np.ndarray] | None:
-    """Rayleigh quotient iteration from the middle of an interval; None if it ends outside."""
+def _refine(s: Slicer, low: float, high: float, others: np.ndarray, seed: int) -> tuple[float, np.ndarray] | None:
+    """Rayleigh quotient iteration from the middle of an interval, orthogonal to ``others``; None if it ends outside."""
     v = np.random.default_rng(seed).standard_normal(s.n)
-    others = np.array(found) if found else np.zeros((0, s.n))
     shift, last = (low + high) / 2, np.inf
     for step in range(30):
         v = v - others.T @ (others @ v)
@@ -226,7 +225,7 @@ def _refine(s: Slicer, low: float, high: float, found: list[np.ndarray], seed: i
         if step >= 3:                                    # some inverse iterations at the middle come first
             shift = v @ s.matrix @ v
         residual = np.linalg.norm(s.matrix @ v - (v @ s.matrix @ v) * v)
-        if step > 3 and (residual <= 4 * EPS * s.size or residual >= last and residual <= 1e3 * EPS * s.size):
+        if step > 3 and (residual <= 2 * EPS * s.size or residual >= last / 2 and residual <= 2 * s.n * EPS * s.size):
             break
         last = residual if step > 3 else np.inf
         try:
@@ -251,7 +250,7 @@ def leading(matrix: np.ndarray, components: int = COMPONENTS) -> tuple[np.ndarra
     floor = len(matrix) * EPS * s.size
     if s.size == 0.0:
         return values, vectors
-    narrow = NARROW * s.size
+    narrow = NARROW * floor
     number = 1
     while number <= count and s.above(2 * floor) >= number:
         low, high = s.interval(number)
@@ -259,23 +258,20 @@ def leading(matrix: np.ndarray, components: int = COMPONENTS) -> tuple[np.ndarra
             s.above((low + high) / 2)
             low, high = s.interval(number)
         together = s.above(low) - s.above(high)          # 1, or eigenvalues that no shift separates
-        base = number
-        for k in range(min(together, count - base + 1)):
-            found = [vectors[i] for i in range(base - 1, base - 1 + k)] if together > 1 else []
-            got = _refine(s, low, high, found, seed=number)
-            while got is None and high - low > narrow and together == 1:
-                s.above((low + high) / 2)
-                low, high = s.interval(number)
-                got = _refine(s, low, high, found, seed=number)
-            if got is None:
+        base, last = number, min(number + together - 1, count)
+        while number <= last:
+            got = _refine(s, low, high, vectors[:number - 1], seed=number)
+            # Two counts closely around a result certify its number; else the interval was too wide.
+            if got is not None:
+                margin = max(narrow, 1e-10 * got[0])
+                if s.above(got[0] + margin) <= base - 1 and s.above(got[0] - margin) >= base + together - 1:
+                    values[number - 1], vectors[number - 1] = got
+                    number += 1
+                    continue
+            if high - low <= narrow:
                 raise ArithmeticError(f"eigenvalue {number} was not found between {low} and {high}")
-            values[number - 1], vectors[number - 1] = got
-            number += 1
-        # The counts closely around the results certify their numbers.
-        margin = max(narrow, 1e-10 * values[base - 1])
-        top, bottom = values[base - 1] + margin, values[number - 2] - margin
-        if s.above(top) > base - 1 or s.above(bottom) < number - 1:
-            raise ArithmeticError(f"eigenvalues {base} to {number - 1} are not certified")
+            s.above((low + high) / 2)
+            low, high = s.interval(number)
     order = np.argsort(-values, kind="stable")
     return values[order], vectors[order]
 
