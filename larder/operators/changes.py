@@ -34,6 +34,7 @@ SERIAL_KEYS = {"category": "category_number", "product": "id_product", "user_tab
 class Change(NamedTuple):
     tables: Tables
     rejects: DataFrame
+    rows: DataFrame | None = None       # inserts: the accepted rows
 
 
 def capture_price(sale_rows: DataFrame, store_product: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def apply_inserts(t: Tables, table: str, rows: DataFrame, today=None, order: lis
     checked = materialize(_validate(t, table, batch, existing, today, order=by).drop("_rid"), f"insert-{table}-checked")
     good = checked.where(F.col("_reason").isNull()).drop("_reason")
     bad = checked.where(F.col("_reason").isNotNull())
-    return Change(replaced(t, **{table: existing.unionByName(good)}), _rejects(table, bad))
+    return Change(replaced(t, **{table: existing.unionByName(good)}), _rejects(table, bad), good)
 
 
 # Columns an update may change, per table (the key is never changed here;
@@ -200,13 +201,15 @@ UPDATABLE = {
 }
 
 
-def apply_updates(t: Tables, table: str, changes: DataFrame, today=None) -> Change:
+def apply_updates(t: Tables, table: str, changes: DataFrame, today=None, whole: DataFrame | None = None) -> Change:
     """Partial updates by key.
 
     A supplied non-NULL value overwrites, NULL keeps the old value; unknown
     keys change nothing and are reported; a changed row that breaks a rule
     keeps its old values and is reported. Receipts get their VAT recomputed
     and sale lines re-capture the price (the trigger fires on update too).
+    ``whole``: all rows of the table, where ``t`` has only the part that holds the
+    changed keys; other unique keys are then looked up there.
     """
     key = list(SPECS[table].key)
     existing = t[table]
@@ -227,7 +230,7 @@ def apply_updates(t: Tables, table: str, changes: DataFrame, today=None) -> Chan
     if table == "sale":
         merged = capture_price(merged, t["store_product"]).join(merged.select(*key, "_dupc"), key)
     merged = materialize(merged, f"update-{table}-merged")
-    others = _without(existing, merged.select(*key).distinct(), key)
+    others = _without(existing if whole is None else whole, merged.select(*key).distinct(), key)
     checked = _validate(t, table, merged.drop("_dupc"), others, today)
     checked = checked.join(merged.select(*key, "_dupc").distinct(), key).withColumn(
         "_reason", F.when(F.col("_dupc"), F.lit("duplicate_in_batch")).otherwise(F.col("_reason"))).drop("_dupc")

@@ -70,6 +70,12 @@ def check_fk(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
     return _report(orphans, fk.child, F.lit(f"fk:{fk.name}"))
 
 
+def rule_failures(table: str, today=None) -> list[tuple[str, Column]]:
+    """W1d rules of one table as (rule name, failing condition); NULL passes. Without ``today``, date rules are left out."""
+    return [(f"check:{r.name}", F.expr(r.expr.replace("{today}", f"DATE'{today}'")) == F.lit(False))
+            for r in RULES if r.table == table and not (r.needs_today and today is None)]
+
+
 def check_rules(df: DataFrame, table: str, today) -> DataFrame | None:
     """W1d: CHECK constraints that evaluate to false (NULL passes), all rules in one pass."""
     rules = [r for r in RULES if r.table == table]

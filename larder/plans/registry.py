@@ -1143,3 +1143,4 @@ def _q(t):
 
 
 from larder.plans import change_routes  # noqa: E402, F401  (registers the other change routes)
+from larder.plans import at_scale  # noqa: E402, F401  (registers searches, set containment, published and kept tables)
