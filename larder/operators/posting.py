@@ -46,6 +46,7 @@ carts is spread over many cells instead of one task, at every level.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Mapping
 from typing import NamedTuple
 
@@ -59,9 +60,9 @@ from larder.sources.tables import Tables, left_join_present, materialize, replac
 
 # Fixed values from the source: VAT added to goods, discount in percent.
 GROSS_FACTOR = "1.2"
-SEQ_BLOCK = 1 << 16
-# So many undecided lines (four small columns each) are settled in one task.
-FINISH_LINES = 100_000
+SEQ_BLOCK = 1 << 20
+# So many undecided and newly accepted lines (six small columns each) are settled in one task.
+FINISH_LINES = 250_000
 IN_ORDER, RESERVE = "in_order", "reserve"
 # Reject reasons, in the order a cart reports them (its first by name).
 # Carried as codes 1..n so per-cart aggregation stays in a hash aggregate
@@ -195,16 +196,22 @@ def _verdicts(run: DataFrame) -> DataFrame:
 
 
 def _one_after_the_other(lines):
-    """The lines' carts in order of arrival, each against what the carts before it left: the accepted ones (pandas)."""
+    """The undecided carts that are accepted, taken in the order of arrival (pandas); lines of carts that
+    were accepted in the round before come off what later carts find."""
     import pandas as pd
+    lines = lines.sort_values(["seq", "cart_id"], kind="stable")
+    columns = [lines[c].tolist() for c in ("seq", "cart_id", "upc", "amount", "free")]
+    fates = lines["fate"].isna().tolist()
     taken: dict = {}
     out = []
-    for (_, cart), own in lines.groupby(["seq", "cart_id"], sort=True):
-        rows = list(zip(own["upc"], own["amount"], own["free"]))
-        if all(taken.get(upc, 0) + amount <= free for upc, amount, free in rows):
-            for upc, amount, _ in rows:
+    for (_, cart), own in itertools.groupby(zip(*columns, fates), key=lambda r: r[:2]):
+        rows = list(own)
+        undecided = rows[0][5]
+        if not undecided or all(taken.get(upc, 0) + amount <= free for _, _, upc, amount, free, _ in rows):
+            for _, _, upc, amount, _, _ in rows:
                 taken[upc] = taken.get(upc, 0) + amount
-            out.append(cart)
+            if undecided:
+                out.append(cart)
     return pd.DataFrame({"cart_id": pd.Series(out, dtype=object)})
 
 
@@ -221,20 +228,18 @@ def settle(good: DataFrame, block: int = SEQ_BLOCK, finish: int = FINISH_LINES)
     rounds, late = 1, []
     while True:
         undecided = now.where("fate is null")
-        left = undecided.count()
+        work = now.where("fate is null or fate = 1").select("cart_id", "seq", "upc", "amount", "free", "fate")
+        left, size = work.agg(F.count_if(F.col("fate").isNull()), F.count(F.lit(1))).first()
         if left == 0:
             break
-        # Items whose undecided lines all fit constrain nobody any more.
-        contested = undecided.where(~F.col("fits")).select("upc").distinct()
-        work = now.where("fate is null or fate = 1").select("cart_id", "seq", "upc", "amount", "free", "fate") \
-            .join(contested, "upc", "left_semi")
         rounds += 1
-        run = _round(work, block, levels)
-        if left <= finish:
-            rest = run.select("cart_id", "seq", "upc", "amount", "free")
-            late.append(materialize(rest.groupBy(F.lit(0).alias("all")).applyInPandas(
-                _one_after_the_other, rest.select("cart_id").schema), f"posting-round-{rounds}"))
+        if size <= finish:
+            late.append(materialize(work.groupBy(F.lit(0).alias("all")).applyInPandas(
+                _one_after_the_other, work.select("cart_id").schema), f"posting-round-{rounds}"))
             break
+        # Items whose undecided lines all fit constrain nobody any more.
+        contested = undecided.where(~F.col("fits")).select("upc").distinct()
+        run = _round(work.join(contested, "upc", "left_semi"), block, levels)
         now = materialize(_verdicts(run), f"posting-round-{rounds}")
         late.append(now.where("fate = 1").select("cart_id").distinct())
     lines, over = start.where("fate = 1"), start.where("fate = 0").select("cart_id").distinct()

@@ -126,6 +126,7 @@ def _kept(t):
     """Totals after carts are posted, old receipts deleted and prices changed, each as one epoch's delta."""
     kept = kept_totals.KeptTotals(t["store_product"].sparkSession, _folder(t, "kept"))
     kept.start(t)
+    t = replaced(t, sale=materialize(t["sale"], "kept-sale"))         # the mapping sums line items: written once
     posted = post.post_sales(t, t["cart_lines"], P.NOW)
     lines, receipts = materialize(posted.lines, "kept-lines"), materialize(posted.receipts, "kept-receipts")
     one = replaced(posted.tables, sale=t["sale"].unionByName(lines),
@@ -134,9 +135,10 @@ def _kept(t):
     kept.apply(0, kept_totals.delta(t, one, receipts.select("check_number"), lines.select("upc")))
     old = materialize(reg._old_checks(one), "kept-old")
     two = chg.apply_deletes(one, "check_table", old).tables
+    two = replaced(one, **{n: materialize(two[n], f"kept-{n}") for n in ("check_table", "sale")})
     kept.apply(1, kept_totals.delta(one, two, old))
     kept.fold(0)
-    prices = reg._price_changes(t)
+    prices = materialize(reg._price_changes(t), "kept-prices")
     three = chg.apply_updates(two, "store_product", prices).tables
     kept.apply(2, kept_totals.delta(two, three, items=prices.select("upc")))
     return kept.read(), three
@@ -148,16 +150,6 @@ left_over AS (SELECT upc, product_number, selling_price FROM sale JOIN check_tab
               UNION ALL SELECT upc, amount, selling_price FROM ok)"""
 
 
-@register("kept_category_summary", "A1", "WITH" + reg._POST_SQL + f""", {_KEPT_SALES}
-SELECT category_name, CAST(sum(product_number) AS BIGINT) AS total_units_sold,
-       CAST(sum(l.selling_price) AS DECIMAL(38,4)) AS total_revenue,
-       CAST(sum(l.selling_price * product_number) AS DECIMAL(38,4)) AS total_line_revenue
-FROM left_over l JOIN store_product sp ON l.upc = sp.upc JOIN product p ON sp.id_product = p.id_product
-JOIN category c ON p.category_number = c.category_number GROUP BY category_name""")
-def _q(t):
-    return kept_totals.category_summary(*_kept(t))
-
-
 _KEPT_ITEMS = f"""
 priced AS ({QUERIES['update_store_prices'].sql}),
 item AS (SELECT p.category_number, s.selling_price, CAST(s.products_number - coalesce(u.used, 0) AS BIGINT) AS units
@@ -165,14 +157,22 @@ item AS (SELECT p.category_number, s.selling_price, CAST(s.products_number - coa
          LEFT JOIN (SELECT upc, sum(amount) AS used FROM ok GROUP BY upc) u ON s.upc = u.upc)"""
 
 
-@register("kept_category_items", "A2/A3", "WITH" + reg._POST_SQL + f""", {_KEPT_ITEMS}
-SELECT c.category_number, category_name, CAST(coalesce(sum(units), 0) AS BIGINT) AS count,
-       CAST(coalesce(round(CAST(sum(selling_price) AS DECIMAL(30,4)) / count(selling_price), 2), 0) AS DECIMAL(15,2)) AS avg_selling_price
-FROM category c LEFT JOIN item ON item.category_number = c.category_number GROUP BY c.category_number, category_name""")
+@register("kept_category_reports", "A1-A3", "WITH" + reg._POST_SQL + f""", {_KEPT_SALES}, {_KEPT_ITEMS},
+sold AS (SELECT p.category_number, CAST(sum(product_number) AS BIGINT) AS total_units_sold,
+                CAST(sum(l.selling_price) AS DECIMAL(38,4)) AS total_revenue,
+                CAST(sum(l.selling_price * product_number) AS DECIMAL(38,4)) AS total_line_revenue
+         FROM left_over l JOIN store_product sp ON l.upc = sp.upc JOIN product p ON sp.id_product = p.id_product
+         GROUP BY p.category_number),
+stock AS (SELECT c.category_number, category_name, CAST(coalesce(sum(units), 0) AS BIGINT) AS count,
+                 CAST(coalesce(round(CAST(sum(selling_price) AS DECIMAL(30,4)) / count(selling_price), 2), 0) AS DECIMAL(15,2))
+                   AS avg_selling_price
+          FROM category c LEFT JOIN item ON item.category_number = c.category_number GROUP BY c.category_number, category_name)
+SELECT stock.*, total_units_sold, total_revenue, total_line_revenue FROM stock LEFT JOIN sold USING (category_number)""")
 def _q(t):
     kept, now = _kept(t)
     return kept_totals.category_stock(kept, now).join(
-        kept_totals.category_avg_price(kept, now).drop("category_name"), "category_number")
+        kept_totals.category_avg_price(kept, now).drop("category_name"), "category_number").join(
+        kept_totals.category_summary(kept, now), "category_name", "left")
 
 
 @register("kept_units_takings", "A4-A7", "WITH" + reg._POST_SQL + f""",

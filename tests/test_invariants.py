@@ -108,7 +108,7 @@ def _facts(seed):
 
 
 # Sizes of cells and of the last step: one window or several levels; all rounds, or the last ones in one task.
-@pytest.mark.parametrize("block,finish,same_seq", [(1 << 16, 100_000, 1), (16, 0, 1), (4, 0, 3), (16, 40, 1)])
+@pytest.mark.parametrize("block,finish,same_seq", [(1 << 20, 250_000, 1), (16, 0, 3), (16, 60, 1)])
 def test_posting_matches_sequential_model(spark, seed, block, finish, same_seq):
     carts = _random_carts(seed, 160, random.Random(block + finish), same_seq)
     verdict, totals = _model(carts, *_facts(seed))
@@ -142,4 +142,5 @@ def test_reserve_rule_counts_rejected_carts(spark, seed):
 
 
 def test_levels_follow_the_range():
-    assert [post.levels_for(*r) for r in ((None, None), (5, 5), (1, 1 << 16), (0, 1 << 16), (0, 1 << 40))] == [1, 1, 1, 2, 3]
+    ranges = ((None, None), (5, 5), (1, 1 << 16), (0, 1 << 16), (0, 1 << 40))
+    assert [post.levels_for(*r, block=1 << 16) for r in ranges] == [1, 1, 1, 2, 3]
