@@ -105,9 +105,13 @@ class KeyRegistry:
             text = digits[d] + text
         return text
 
+    @property
+    def started(self) -> bool:
+        return path_exists(self.spark, os.path.join(self.root, "_started", "_SUCCESS"))
+
     def start(self, taken: DataFrame) -> None:
         """Enter the keys that exist before the first batch, once. Keys of another length never meet new ones."""
-        if path_exists(self.spark, os.path.join(self.root, "_started")):
+        if self.started:
             return
         key = F.col(taken.columns[0])
         self._write(taken.where(F.length(key) == KINDS[self.kind][0]).select(key.alias("key")), -1)

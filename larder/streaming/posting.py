@@ -98,11 +98,12 @@ class PostingBatch:
         path = os.path.join(self.out_root, "_state", str(epoch - 1))
         self._known(spark, epoch, after, state).write.mode("overwrite").parquet(os.path.join(path, "used"))
 
-    def registry(self, spark) -> KeyRegistry:
-        """The numbers taken so far, entered from the base and the outputs when the registry is new."""
+    def registry(self, spark, epoch: int) -> KeyRegistry:
+        """The numbers taken so far; a new registry is entered the base's and those of earlier epochs."""
         numbers = KeyRegistry(spark, os.path.join(self.out_root, "_numbers"), "check")
-        earlier = epochs(spark, self.out_root, "receipts", "check_number string", self.since_epoch, 1 << 62)
-        numbers.start(self.base["check_table"].select("check_number").unionByName(earlier))
+        if not numbers.started:
+            earlier = epochs(spark, self.out_root, "receipts", "check_number string", self.since_epoch, epoch)
+            numbers.start(self.base["check_table"].select("check_number").unionByName(earlier))
         return numbers
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
@@ -120,7 +121,7 @@ class PostingBatch:
         sp = (self.base["store_product"].join(used.withColumnRenamed("used", "_u"), "upc", "left")
               .withColumn("products_number", (F.col("products_number") - F.coalesce("_u", F.lit(0))).cast("int"))
               .select(*SCHEMAS["store_product"].fieldNames()))
-        numbers = self.registry(spark)
+        numbers = self.registry(spark, epoch)
         res = post_sales(replaced(self.base, store_product=sp), lines, None,
                          numbers=lambda receipts: numbers.assign(receipts, "check_number", ["cart_id"], epoch))
         out = {

@@ -50,7 +50,7 @@ def test_every_cart_is_in_receipts_or_rejects(spark, seed):
         row[4] = row[4] and "other"
         data.append(tuple(row))
     lines = spark.createDataFrame(data, schema)
-    ok, rejects = posting.judge_carts(seed, lines)
+    ok, rejects, _ = posting.judge_carts(seed, lines)
     posted = [r["cart_id"] for r in posting.cart_receipts(ok, "2024-06-20 10:00:00").collect()]
     refused = [r["cart_id"] for r in rejects.collect()]
     want = {r["cart_id"] for r in lines.select("cart_id").distinct().collect()}
