@@ -72,9 +72,8 @@ def test_published_tables_read_back(spark, shop, published):
         assert same(again.table(n), shop[n]) and published.written[n].rows == shop[n].count()
         assert published.written[n].broken == {}
     # slots are read by partition pruning
-    part = again.table("sale", [3])
-    assert all(f"{SLOT}=3/" in f for f in part.inputFiles()) or "PartitionFilters: [isnotnull(_slot" in part._jdf.queryExecution().toString() \
-        or "_slot" in part._jdf.queryExecution().executedPlan().toString()
+    plan = again.table("sale", [3])._jdf.queryExecution().executedPlan().toString()
+    assert SLOT in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_update_rewrites_only_touched_slots(spark, shop, published):
