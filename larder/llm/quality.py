@@ -2,9 +2,11 @@
 
 Features are hashed n-gram indicators: words and word pairs, and, so that
 form counts as well as vocabulary, triples of word shapes (case, digits, trailing
-marks, "same as the word before"). Each indicator is scaled by the log ratio
-of its smoothed shares in the two classes, counted over all training rows. A
-linear model with hinge loss is fitted by dual coordinate descent in shards
+marks, "same as the word before"). A text is all its pieces of ``PIECE`` words: each
+piece has its own indicators, so a long text does not set every place, and the
+margin of a text is the mean over its pieces. Each indicator is scaled by the log ratio
+of its smoothed shares in the two classes, counted over the pieces of all training rows. A
+linear model with hinge loss is fitted by dual coordinate descent in shards of the pieces
 of a bounded sample, whose weights are averaged. Margins are turned into probabilities
 by a model made alike from three quarters of the training rows, on the last quarter.
 """
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import CACHE_WORDS, mix, slices, texts
 
-BITS = 17
-DIM = 1 << BITS
+BITS = 20
+DIM = 1 << BITS                  # places of n-grams; a piece sets less than 1 % of them
+PIECE = 2_048                    # words
 FIT_ROWS = 20_000                # documented bound of the hinge-loss sample
-SHARD_ROWS = 4_000
+SHARD_ROWS = 4_000               # pieces that one task fits
 EPOCHS = 8
 COST = 1.0
 SMOOTHING = 1.0
@@ -48,9 +51,14 @@ class Words(dict):
         return value
 
 
-def features(text: bytes, cache: Words) -> np.ndarray:
-    """Sorted distinct feature places of a text."""
+def pieces(text: bytes, cache: Words) -> list[np.ndarray]:
+    """Feature places of every piece of a text; one piece without any for a text without words."""
     words = text.split()
+    return [features(words[a:a + PIECE], cache) for a in range(0, max(1, len(words)), PIECE)]
+
+
+def features(words: list[bytes], cache: Words) -> np.ndarray:
+    """Sorted distinct feature places of some words."""
     if not words:
         return np.zeros(0, np.int32)
     both = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
@@ -66,14 +74,15 @@ def features(text: bytes, cache: Words) -> np.ndarray:
 
 
 def _count_task():
-    """Rows (feature, documents of class 1, of class 0) of a task, and feature -1 for their numbers."""
+    """Rows (feature, pieces of class 1, of class 0) of a task, and feature -1 for their numbers."""
     def run(batches):
         n, rows, cache = np.zeros((2, DIM), np.int64), np.zeros(2, np.int64), Words()
         for batch in batches:
             for part in slices(batch, 0):
                 for text, label in zip(texts(part, 0), part.column(1).to_pylist()):
-                    n[label, features(text, cache)] += 1
-                    rows[label] += 1
+                    for piece in pieces(text, cache):
+                        n[label, piece] += 1
+                        rows[label] += 1
         some = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[-1, some], pa.int32()), pa.array(np.r_[rows[1], n[1, some]]),
@@ -86,9 +95,12 @@ def _feature_task():
         cache = Words()
         for batch in batches:
             for part in slices(batch, 0):
+                found = [pieces(t, cache) for t in texts(part, 0)]
+                of = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([features(t, cache).tobytes() for t in texts(part, 0)], pa.binary()),
-                     part.column(1), part.column(2), part.column(3)], names=["x", "label", "id", "shard"])
+                    [pa.array([x.tobytes() for f in found for x in f], pa.binary()), part.column(1).take(of),
+                     part.column(2).take(of), pa.array([i for f in found for i in range(len(f))], pa.int32())],
+                    names=["x", "label", "id", "piece"])
     return run
 
 
@@ -119,7 +131,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
 
 def _fit_task(ratio):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
+        table = table.sort_by([("id", "ascending"), ("piece", "ascending")])
         rows = [np.frombuffer(b, np.int32) for b in table.column("x").to_pylist()]
         y = np.where(np.asarray(table.column("label")) == 1, 1.0, -1.0)
         w = dual_coordinate_descent(rows, y, ratio.value, seed=int(key[0].as_py()))
@@ -134,9 +146,11 @@ class Model:
         self.ratio, self.weights, self.slope, self.shift = ratio, weights, slope, shift
 
     def margin(self, text: bytes, cache: Words) -> float:
-        r = features(text, cache)
-        v = self.ratio[r]
-        return float(self.weights[r] @ v) / max(1e-12, float(np.sqrt(v @ v))) + float(self.weights[-1])
+        total, found = 0.0, pieces(text, cache)
+        for r in found:
+            v = self.ratio[r]
+            total += float(self.weights[r] @ v) / max(1e-12, float(np.sqrt(v @ v)))
+        return total / len(found) + float(self.weights[-1])
 
     def score(self, text: bytes, cache: Words) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * self.margin(text, cache) + self.shift, -60, 60))))
@@ -199,11 +213,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
         sent = spark.sparkContext.broadcast(ratio)
         sample = chosen.orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(fit_rows)
-        size = sample.count()
+        # Shards by pieces (about 4 bytes a word), so that very long texts make more shards, not larger ones.
+        size = joined(sample, bounded=True).agg(
+            F.sum(F.ceil((F.octet_length("text") + 1) / (4 * PIECE)))).first()[0] or 0
         shards = max(1, -(-size // SHARD_ROWS))
-        sample = sample.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(shards)).cast("int"))
-        parts = joined(sample, bounded=True).select("text", "label", "id", "shard") \
-            .mapInArrow(_feature_task(), "x binary, label int, id long, shard int") \
+        parts = joined(sample, bounded=True).select("text", "label", "id") \
+            .mapInArrow(_feature_task(), "x binary, label int, id long, piece int") \
+            .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id", "piece"), F.lit(shards)).cast("int")) \
             .groupBy("shard").applyInArrow(_fit_task(sent), "w binary, n long").collect()  # a row for each shard
         weights, rows = np.zeros(DIM + 1), 0
         for r in parts:
@@ -228,24 +244,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return model
 
 
-def _score_task(model, text_at: int, names: list[str]):
+def _score_task(model, text_at: int, kept: int, names: list[str]):
     def run(batches):
         cache, m = Words(), model.value
         for batch in batches:
             for part in slices(batch, text_at):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(text_at)]
+                    [part.column(i) for i in range(kept)]
                     + [pa.array([m.score(t, cache) for t in texts(part, text_at)], pa.float64())], names=names)
     return run
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``docs`` with a score from 0 to 1 (higher: class 1 is likelier). Null and
-    empty texts have no features and get the score of the bias. Rows are
+    empty texts have no features and get the score of the bias; a very long text has the mean
+    margin of its pieces. Rows are
     independent: repeated rows, null ids and extra columns pass through; a
     column named ``score`` is replaced."""
     keep = [c for c in (carry or docs.columns) if c != "score"]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")) \
-        .mapInArrow(_score_task(sent, len(keep), keep + ["score"]), schema)
+    sides = [] if text in keep else [F.col(f"`{text}`").alias("__text")]  # a kept text is sent once
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *sides) \
+        .mapInArrow(_score_task(sent, keep.index(text) if text in keep else len(keep), len(keep), keep + ["score"]), schema)
