@@ -169,14 +169,14 @@ def train(rows: DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) ->
     return Model(model.landmarks, weights, langs)
 
 
-def _score_task(model, text_at: int, names: list[str]):
+def _score_task(model, text_at: int, kept: int, names: list[str]):
     def run(batches):
         m = model.value
         for batch in batches:
             for part in slices(batch, text_at):
                 lang, score = m.predict(texts(part, text_at))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(i) for i in range(text_at)]
+                    [part.column(i) for i in range(kept)]
                     + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
     return run
 
@@ -190,8 +190,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
                        + ["lang_pred string", "score double"])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")) \
-        .mapInArrow(_score_task(sent, len(keep), keep + ["lang_pred", "score"]), schema)
+    sides = [] if text in keep else [F.col(f"`{text}`").alias("__text")]  # a kept text is sent once
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *sides) \
+        .mapInArrow(_score_task(sent, keep.index(text) if text in keep else len(keep), len(keep), keep + ["lang_pred", "score"]), schema)
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
