@@ -109,9 +109,18 @@ def column_schema(df: DataFrame, names: list[str]) -> str:
 
 
 BLOOM_WORDS = 8                  # 32-bit words (and set bits) per block of a blocked Bloom filter
-# Blocks of a filter: 2**16 rows of a long and eight ints, under 6 MB whatever the
-# number of keys, which is why it may be broadcast. More keys only let more rows through.
-BLOOM_BLOCKS = 1 << 16
+# A filter has a block for so many counted keys: about 1 % of other keys pass, however many keys there are.
+BLOOM_KEYS = 24
+# Filters up to so many blocks (rows of a long and eight ints, about 50 MB) are broadcast; larger ones
+# (above 12 million keys) are joined by block, where AQE splits a block that very many rows ask for.
+BLOOM_BROADCAST = 1 << 19
+# A key with a larger share of the rows than 1 / HOT_SHARE is hot, so there are fewer than HOT_SHARE hot keys.
+HOT_SHARE, HOT_LEAST, HOT_SALTS = 1024, 10_000, 64
+
+
+def bloom_blocks(keys: int) -> int:
+    """Blocks of a filter for a counted number of keys."""
+    return max(1, -(-keys // BLOOM_KEYS))
 
 
 def _bloom_place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
@@ -122,14 +131,14 @@ def _bloom_place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     return F.pmod(F.xxhash64(key), F.lit(blocks)), bits
 
 
-def bloom_table(keys: DataFrame, key: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+def bloom_table(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     """A blocked Bloom filter of a column as rows (__block, __w0..__w7); at most ``blocks`` rows."""
     block, bits = _bloom_place(F.col(key), blocks)
     return keys.select(block.alias("__block"), *[b.alias(f"__w{i}") for i, b in enumerate(bits)]) \
         .groupBy("__block").agg(*[F.bit_or(f"__w{i}").alias(f"__w{i}") for i in range(BLOOM_WORDS)])
 
 
-def bloom_probe(df: DataFrame, key: Column, bloom: DataFrame, out: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
+def bloom_probe(df: DataFrame, key: Column, bloom: DataFrame, out: str, blocks: int) -> DataFrame:
     """``df`` with a boolean column: may the key be among the filter's keys? False is certain."""
     block, bits = _bloom_place(key, blocks)
     own = df.withColumns({"__block": block} | {f"__b{i}": b for i, b in enumerate(bits)})
@@ -137,5 +146,22 @@ def bloom_probe(df: DataFrame, key: Column, bloom: DataFrame, out: str, blocks:
     for i in range(BLOOM_WORDS):
         hit = hit & (F.coalesce(F.col(f"__w{i}"), F.lit(0)).bitwiseAND(F.col(f"__b{i}")) != 0)
     # Bounded broadcast: never more than `blocks` rows.
-    found = own.join(F.broadcast(bloom), "__block", "left").withColumn(out, hit)
+    found = own.join(F.broadcast(bloom) if blocks <= BLOOM_BROADCAST else bloom, "__block", "left").withColumn(out, hit)
     return found.select(*[F.col(f"`{c}`") for c in df.columns], out)
+
+
+def salted(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, salt: str = "__salt") -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a salt column that splits hot keys over ``HOT_SALTS`` tasks.
+
+    ``hot``: hot keys in a column ``key``, fewer than a bound that the caller proves. Both sides see
+    a key as hot by the same hash, so the join on (key, salt) gives the rows of the join on the key."""
+    marks = F.broadcast(hot.select(F.xxhash64(key).alias("__hot")).distinct())
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in many.columns])
+
+    def marked(df: DataFrame, value) -> DataFrame:
+        return df.join(marks, F.xxhash64(F.col(f"`{key}`")) == F.col("__hot"), "left").withColumn(salt, value).drop("__hot")
+
+    first = F.lit(0).cast("long")
+    return (marked(many, F.when(F.col("__hot").isNotNull(), F.pmod(own, F.lit(HOT_SALTS))).otherwise(first)),
+            marked(few, F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(first, F.lit(HOT_SALTS - 1).cast("long")))
+                                  .otherwise(F.array(first)))))

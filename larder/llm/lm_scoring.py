@@ -9,13 +9,15 @@ emit symbols, so the model gives any text a proper probability.
 Training is Baum-Welch: a task runs scaled forward and backward recursions over
 its documents and returns expected counts; Spark adds them up; iterations
 cover all training documents (cut into pieces of ``PIECE`` tokens for
-training). The start is fitted on a bounded, hash-ordered sample. Scoring is
+training) until the likelihood settles. They start from rounds over one in
+``START_SHARE`` of the documents, whole texts, a share that grows with the corpus. Scoring is
 the exact scaled forward recursion over the whole sequence: long texts are cut
 into segments whose state-to-state products are found side by side and
 multiplied in order.
 
 Counts of words outside the head are too many to send to tasks; they are joined
-by word with the words of the documents (no such word is hot) and summed.
+by word with the words of the documents and summed. Of these, only words too long for the
+head can be in very many documents; such words are salted.
 """
 
 from __future__ import annotations
@@ -28,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import CACHE_WORDS, Scratch, slices, texts
+from larder.llm.common import CACHE_WORDS, HOT_LEAST, HOT_SHARE, Scratch, salted, slices, texts
 
 HEAD = 49_152                    # HEAD + BUCKETS symbols fit 16 bits
 HEAD_BYTES = 64                  # a longer word is never in the head, so the head is of bounded size
 BUCKETS = 2_048
 STATES = 8
-ITERATIONS = 2                   # over all training documents
-SAMPLE_DOCS, SAMPLE_ROUNDS = 400, 12
-SAMPLE_TEXT = 20_000             # characters of a sample text that the start is fitted on
+ITERATIONS = 6                   # at most, over all training documents
+SETTLED = 0.002                  # gain in log likelihood a token (natural) below which iterations end
+START_SHARE, START_ROUNDS = 32, 12
 PIECE = 512
 SEGMENT = 4_096
 PRIOR = 200.0                    # weight of the unigram distribution in a state's emissions
@@ -263,18 +265,19 @@ def _pieces(coded: list[bytes]) -> list[np.ndarray]:
 
 
 def _expect_task(sent):
-    """One row (number, log likelihood, counts) per group of emission rows, from all of a task's documents."""
+    """Rows (number, counts) of a task's documents: emissions, steps, starts, log likelihood, tokens."""
     def run(batches):
         m = sent.value
         k = len(m.start)
-        start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit)
+        start, step, emit, log, n = np.zeros(k), np.zeros((k, k)), np.zeros_like(m.emit), 0.0, 0
         for batch in batches:
             for part in slices(batch, 0, 1 << 20):
                 seqs = sorted(_pieces(part.column(0).to_pylist()), key=len)
                 for a in range(0, len(seqs), 1024):
-                    s, t, e, _ = expected_counts(m, seqs[a:a + 1024])
-                    start, step, emit = start + s, step + t, emit + e
-        rows = np.vstack([emit, step, start[None, :]]).astype(np.float32)
+                    s, t, e, gain = expected_counts(m, seqs[a:a + 1024])
+                    start, step, emit, log = start + s, step + t, emit + e, log + gain
+                n += sum(map(len, seqs))
+        rows = np.vstack([emit, step, start[None, :], np.full((1, k), log), np.full((1, k), n)]).astype(np.float32)
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32())]
                                          + [pa.array(rows[some, s], pa.float32()) for s in range(k)],
@@ -282,20 +285,27 @@ def _expect_task(sent):
     return run
 
 
-def baum_welch(encoded: DataFrame, m: Model, unigram: np.ndarray, iterations: int) -> Model:
-    """Iterations over all rows of ``encoded`` (column symbols)."""
-    spark, k = encoded.sparkSession, len(m.start)
+def baum_welch(encoded: DataFrame, m: Model, unigram: np.ndarray, iterations: int, settled: float = 0.0) -> Model:
+    """Iterations over all rows of ``encoded`` (column symbols), until one gains less than ``settled``
+    a token; without rows the model stays as it is."""
+    spark, k, last = encoded.sparkSession, len(m.start), -np.inf
     for _ in range(iterations):
         sent = spark.sparkContext.broadcast(m)  # symbols x states, whatever the data
         counts = encoded.select("symbols").mapInArrow(
             _expect_task(sent), ", ".join(["i int"] + [f"c{s} float" for s in range(k)])) \
             .groupBy("i").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(k)]).toArrow()  # a row for each symbol
-        total = np.zeros((len(unigram) + k + 1, k))
+        total = np.zeros((len(unigram) + k + 3, k))
         place = np.asarray(counts.column("i"))
         for s in range(k):
             total[place, s] = np.asarray(counts.column(f"c{s}"))
-        m = reestimate(total[-1], total[-1 - k:-1], total[:len(unigram)], unigram)
         sent.unpersist()
+        if not total[-1, 0]:
+            break
+        m = reestimate(total[-3], total[-3 - k:-3], total[:len(unigram)], unigram)
+        likelihood = total[-2, 0] / total[-1, 0]
+        if likelihood - last < settled:
+            break
+        last = likelihood
     return m
 
 
@@ -336,6 +346,9 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     Learns from rows where ``held_out`` is false (null counts as false) and
     scores all. A null text is empty: its only token is the end. Repeated rows
     each count in training and get their row; null ids are scored like others.
+    Without training rows nothing is known and the base score is 0. Very long
+    texts are trained on in pieces and scored whole. Extra columns, also those
+    named like a result, are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -348,14 +361,11 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
         _encode_task(sent), "doc long, row long, held_out boolean, n_tokens long, head_known long, "
         "head_log double, bucket_log double, symbols binary"))
     train = encoded.where(~F.col("held_out"))
-    sample = train.orderBy(F.xxhash64("doc", "row"), "doc", "row").select(
-        F.substring("symbols", 1, 2 * SAMPLE_TEXT).alias("symbols")).limit(SAMPLE_DOCS).collect()
-    model = random_model(vocabulary.unigram, states)
-    seqs = _pieces([bytes(r["symbols"]) for r in sample])
-    for _ in range(SAMPLE_ROUNDS if seqs else 0):
-        start, step, emit, _ = expected_counts(model, seqs)
-        model = reestimate(start, step, emit, vocabulary.unigram)
-    model = baum_welch(train, model, vocabulary.unigram, iterations)
+    share = scratch.write(train.where(F.pmod(F.xxhash64(F.lit("start"), "doc", "row"), F.lit(START_SHARE)) == 0)
+                          .select("symbols"))
+    model = baum_welch(share, random_model(vocabulary.unigram, states), vocabulary.unigram, START_ROUNDS, SETTLED)
+    model = baum_welch(train, model, vocabulary.unigram, iterations, SETTLED)
+    scratch.drop(share)
     scored = encoded.select("doc", "row", "held_out", "n_tokens", "head_known", "head_log", "symbols", "bucket_log") \
         .select("doc", "row", "held_out", "n_tokens", "head_known",
                 F.struct("head_log", "bucket_log").alias("logs"), "symbols") \
@@ -363,7 +373,10 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
                     "doc long, row long, held_out boolean, n_tokens long, head_known long, "
                     "head_log struct<head_log:double,bucket_log:double>, hmm double")
     rare = named.select("doc", "row", "text").mapInArrow(_rare_task(sent), "doc long, row long, word string, n int")
-    found = rare.join(rest.withColumnRenamed("n", "c"), "word") \
+    # A word that the head has room for but is not in it is rare; of longer ones fewer than HOT_SHARE are hot.
+    hot = rest.where((F.octet_length("word") > HEAD_BYTES) & (F.col("n") > max(HOT_LEAST, vocabulary.tokens // HOT_SHARE)))
+    rare, known = salted(rare, rest.withColumnRenamed("n", "c"), "word", hot)
+    found = rare.join(known, ["word", "__salt"]) \
         .select("doc", "row", F.col("n").cast("long").alias("known"), (F.col("n") * F.log10(F.col("c") + 1)).alias("log"),
                 F.lit(0).alias("copies"))
     # Rows equal in id and text add the same words each, so sums are shared out among them.

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Scratch, WordHash, bloom_probe, bloom_table, mix, slices, texts
+from larder.llm.common import Scratch, WordHash, bloom_blocks, bloom_probe, bloom_table, mix, slices, texts
 from larder.llm.components import connected_components
 from larder.sources.tables import left_join_present
 
@@ -265,10 +265,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         .join(best.select(F.col("rep").alias("doc"), "hub"), "doc", "left")
         .join(hub_parts.select(F.col("hub").alias("doc"), F.col("hub_parts").alias("as_hub")), "doc", "left"),
         hub_parts, ["hub"]))
-    # Full sets of the candidates. A Bloom filter of fixed size picks the texts to move.
+    # Full sets of the candidates. A Bloom filter picks the texts to move.
     names = ["rep", "group", "hub", "hub_parts", "as_hub", "n", "bands", "sketch"]
     info = chosen.join(reps.withColumnRenamed("rep", "doc"), "doc")
-    asked = bloom_probe(named, F.col("doc"), bloom_table(chosen, "doc"), "maybe").where("maybe").drop("maybe")
+    blocks = bloom_blocks(chosen.count())
+    asked = bloom_probe(named, F.col("doc"), bloom_table(chosen, "doc", blocks), "maybe", blocks) \
+        .where("maybe").drop("maybe")
     cands = scratch.write(asked.join(info, ["doc", "row"]).dropDuplicates(["doc", "row"]).select(
         F.col("doc").alias("rep"), *names[1:], "text").mapInArrow(
         _set_task(shingle, names + ["set"]),

@@ -13,10 +13,10 @@ from larder.llm import (decontamination, divergence, embedding_dedup, langid, lm
 from larder.llm.common import Scratch, id_crc, table
 from larder.llm.sql import SQL
 
-# The rules of the URL filter, and the sites whose pages are listed.
+# The rules of the URL filter, and the mark of links that a feed has spread.
 URL_RULES = [url_filter.Rule("net", "/", "block"), url_filter.Rule("example.net", "/en/", "allow"),
              url_filter.Rule("example.com", "/de/", "block"), url_filter.Rule("org", "/fr/", "allow")]
-LISTED_SITES = r"(^|\.)(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)\."
+SPREAD_LINK = "utm_source="
 
 QUALITY_CUT = 0.3
 
@@ -71,10 +71,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict for every page; the list holds the canonical URLs seen on the listed sites."""
+    """Verdict for every page; the list holds the canonical URLs of links that a feed has spread, so the same
+    page under another scheme, host prefix, ending or query is found only through filter and join."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_filter.url_parts(F.col("url"))
-    listed = pages.where(host.rlike(LISTED_SITES)).select(url_filter.canonical(host, path).alias("canonical"))
+    listed = pages.where(F.col("url").contains(SPREAD_LINK)).select(url_filter.canonical(host, path).alias("canonical"))
     return url_filter.filter_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

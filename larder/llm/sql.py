@@ -67,18 +67,17 @@ FROM copies
 
 _HOST = "translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP8 = f"""
-WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+WITH r AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
            FROM pages),
-p AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r),
-m AS (SELECT page_id, host, path,
+p AS (SELECT page_id, url, {_HOST} AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM r),
+m AS (SELECT page_id, url, host, path,
         CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
              WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
              WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
              WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
         regexp_replace(host, '^(www|m)\\.', '') ||
           regexp_replace(regexp_replace(path, '/+$', ''), '\\.html?$', '') AS canonical FROM p),
-listed AS (SELECT DISTINCT canonical FROM m
-           WHERE regexp_matches(host, '(^|\\.)(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)\\.'))
+listed AS (SELECT DISTINCT canonical FROM m WHERE contains(url, 'utm_source='))
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict

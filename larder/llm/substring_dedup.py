@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Scratch, WordHash, bloom_probe, bloom_table, mix, slices, texts
+from larder.llm.common import Scratch, WordHash, bloom_blocks, bloom_probe, bloom_table, mix, slices, texts
 
 WINDOW = 50
 ANCHOR_WORDS = 16
@@ -171,8 +171,11 @@ def _cut_task(window: int, text_at: int, runs_at: int, names: list[str]):
     return run
 
 
-def _bloom_of(keys: DataFrame) -> DataFrame:
-    return bloom_table(keys.select(F.xxhash64("doc", "row").alias("k")).distinct(), "k")
+def _asked(df: DataFrame, doc: str, row: str, written: DataFrame, out: str) -> DataFrame:
+    """``df`` with a boolean column: may its document be one of a written table's?"""
+    blocks = bloom_blocks(written.count())
+    bloom = bloom_table(written.select(F.xxhash64("doc", "row").alias("k")), "k", blocks)
+    return bloom_probe(df, F.xxhash64(doc, row), bloom, out, blocks)
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, piece: int = ANCHOR_WORDS) -> DataFrame:
@@ -191,7 +194,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, window: int = WINDOW, piece
     shared = left.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     wanted = scratch.write(left.join(shared.select("anchor"), "anchor", "left_semi")
                            .groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
-    asked = bloom_probe(named, F.xxhash64("doc", "row"), _bloom_of(wanted), "maybe").where("maybe")
+    asked = _asked(named, "doc", "row", wanted, "maybe").where("maybe")
     hashed = scratch.write(asked.join(wanted, ["doc", "row"]).select("doc", "row", "text", "runs")
                            .mapInArrow(_window_task(window), "h long, g int, doc long, row long, at int"))
     least = hashed.groupBy("h", "g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")) \
@@ -223,8 +226,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
     row = F.xxhash64(F.col(f"`{text}`"))
     runs = repeated_runs(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), row.alias("row"),
                                      F.col(f"`{text}`").alias("text")), Scratch(docs.sparkSession), window, piece)
-    probed = bloom_probe(docs.select(*cols, F.col(f"`{doc_id}`").cast("long").alias("__doc"), row.alias("__row")),
-                         F.xxhash64("__doc", "__row"), _bloom_of(runs), "__maybe")
+    probed = _asked(docs.select(*cols, F.col(f"`{doc_id}`").cast("long").alias("__doc"), row.alias("__row")),
+                    "__doc", "__row", runs, "__maybe")
     cut = probed.where("__maybe").join(
         runs.select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("runs").alias("__runs")),
         ["__doc", "__row"], "left").select(*cols, "__runs")

@@ -1,11 +1,12 @@
 """URL filter (operator 8): host rules, then a listed-URL check by a blocked
 Bloom filter and an exact join.
 
-The list of canonical URLs is hashed into a table of Bloom blocks: one row
-per block with eight 32-bit words, one bit set in each word per listed URL.
-A page's URL can be on the list only if all eight bits of its block are set;
-only those possible hits go on to the join with the list itself, which
-removes false positives. Everything is built-in functions.
+The list of canonical URLs is hashed into a table of Bloom blocks, as many as
+the counted list needs: one row per block with eight 32-bit words, one bit set
+in each word per listed URL. A page's URL can be on the list only if all eight
+bits of its block are set; only those possible hits go on to the join with the
+list itself, which removes false positives. URLs that very many possible hits
+have are salted. Everything is built-in functions.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import BLOOM_BLOCKS, bloom_probe, bloom_table, lower_az
-
-SALTS = 16         # copies of a listed URL, so that one hot URL is joined by several tasks
+from larder.llm.common import (HOT_LEAST, HOT_SHARE, Scratch, bloom_blocks, bloom_probe, bloom_table, lower_az,
+                               salted)
 
 
 @dataclass(frozen=True)
@@ -47,21 +47,27 @@ def canonical(host: Column, path: Column) -> Column:
                     F.regexp_replace(F.regexp_replace(path, r"/+$", ""), r"\.html?$", ""))
 
 
-def on_list(urls: DataFrame, listed: DataFrame, url: str = "canonical", blocks: int = BLOOM_BLOCKS,
+def probe_list(urls: DataFrame, listed: DataFrame, scratch: Scratch, url: str = "canonical",
+               blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``urls`` with a boolean column ``__maybe`` (false: surely not listed), and the distinct listed
+    URLs (column ``__url``); both written, so that list and pages are each read once."""
+    names = scratch.write(listed.select(F.col(f"`{url}`").alias("__url")).where("__url <> ''").distinct())
+    size = blocks or bloom_blocks(names.count())
+    return scratch.write(bloom_probe(urls, F.col(f"`{url}`"), bloom_table(names, "__url", size), "__maybe", size)), names
+
+
+def on_list(urls: DataFrame, listed: DataFrame, url: str = "canonical", blocks: int | None = None,
             out: str = "listed") -> DataFrame:
     """``urls`` with a boolean column: is the URL on the list? Null or empty URLs are not."""
-    keep = [c for c in urls.columns if c != out]
-    names = listed.select(F.col(url).alias("__url")).where("__url <> ''").distinct()
-    probed = bloom_probe(urls, F.col(url), bloom_table(names, "__url", blocks), "__maybe", blocks)
-    # The salts split a URL that very many rows have.
-    salted = probed.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in keep]), F.lit(SALTS)))
-    exact = names.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))) \
-        .withColumnRenamed("__url", "__key").withColumn("__found", F.lit(True))
-    maybe = salted.where("__maybe").withColumn("__key", F.col(url)).join(exact, ["__key", "__salt"], "left")
-    sure = salted.where(~F.col("__maybe")).withColumn("__found", F.lit(False))
-    cols = [F.col(f"`{c}`") for c in keep]
-    return maybe.select(*cols, F.coalesce("__found", F.lit(False)).alias(out)).unionByName(
-        sure.select(*cols, F.col("__found").alias(out)))
+    cols = [F.col(f"`{c}`") for c in urls.columns if c != out]
+    probed, names = probe_list(urls.select(*cols), listed, Scratch(urls.sparkSession), url, blocks)
+    hits = probed.where("__maybe").withColumn("__key", F.col(f"`{url}`"))
+    least = max(HOT_LEAST, hits.count() // HOT_SHARE)   # so fewer than HOT_SHARE URLs are hot
+    hot = hits.groupBy("__key").count().where(F.col("count") > least).select("__key")
+    hits, exact = salted(hits, names.select(F.col("__url").alias("__key"), F.lit(True).alias("__found")), "__key", hot)
+    found = hits.join(exact, ["__key", "__salt"], "left")
+    return found.select(*cols, F.coalesce("__found", F.lit(False)).alias(out)).unionByName(
+        probed.where(~F.col("__maybe")).select(*cols, F.lit(False).alias(out)))
 
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -75,10 +81,11 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url",
-                blocks: int = BLOOM_BLOCKS) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """``pages`` with host, path, rule, verdict.
 
-    ``listed``: one column ``canonical`` of listed URLs. The rule that fits
+    The columns of ``pages`` are written once between filter and join, so pass those that are needed.
+    ``listed``: one column ``canonical`` of listed URLs, of any size. The rule that fits
     decides; else a listed URL is blocked and any other allowed. A null URL or
     one without ``://`` has an empty host and path, fits no rule and is
     allowed. Repeated rows each get their row; columns of the same names as
