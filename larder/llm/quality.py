@@ -110,7 +110,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.nda
     Rows are scaled by ``ratio`` and to length one."""
     x = []
     for r in rows:
-        v = ratio[r]
+        v = ratio[r].astype(np.float64)
         x.append(v / max(1e-12, float(np.sqrt(v @ v))))
     w, alpha, rng = np.zeros(len(ratio) + 1), np.zeros(len(rows)), np.random.default_rng(seed)
     # Classes weigh the same in total, so a rare class is not given up.
@@ -135,7 +135,9 @@ def _fit_task(ratio):
         rows = [np.frombuffer(b, np.int32) for b in table.column("x").to_pylist()]
         y = np.where(np.asarray(table.column("label")) == 1, 1.0, -1.0)
         w = dual_coordinate_descent(rows, y, ratio.value, seed=int(key[0].as_py()))
-        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "n": pa.array([len(rows)], pa.int64())})
+        some = np.flatnonzero(w)
+        return pa.table({"place": pa.array(np.r_[-1, some], pa.int32()),      # place -1: rows of the shard
+                         "w": pa.array(np.r_[len(rows), w[some] * len(rows)])})
     return run
 
 
@@ -148,7 +150,7 @@ class Model:
     def margin(self, text: bytes, cache: Words) -> float:
         total, found = 0.0, pieces(text, cache)
         for r in found:
-            v = self.ratio[r]
+            v = self.ratio[r].astype(np.float64)
             total += float(self.weights[r] @ v) / max(1e-12, float(np.sqrt(v @ v)))
         return total / len(found) + float(self.weights[-1])
 
@@ -204,14 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             .mapInArrow(_count_task(), "feature int, good long, bad long") \
             .groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # DIM rows
         place = np.asarray(counts.column("feature"))
-        n = np.zeros((2, DIM + 1))
+        n = np.zeros((2, DIM + 1), np.int64)
         n[1, place], n[0, place] = np.asarray(counts.column("good")), np.asarray(counts.column("bad"))
         return n[:, :DIM]                       # place -1 holds the numbers of rows
 
     def fitted(n: np.ndarray, chosen: DataFrame) -> Model:
-        n = n + SMOOTHING
-        ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-        sent = spark.sparkContext.broadcast(ratio)
+        share = lambda row: np.log((row + SMOOTHING) / (row.sum() + SMOOTHING * DIM))
+        ratio = (share(n[1]) - share(n[0])).astype(np.float32)
+        sent = spark.sparkContext.broadcast(ratio)  # DIM numbers, whatever the data
         sample = chosen.orderBy(F.xxhash64(F.lit("fit"), "id"), "id").limit(fit_rows)
         # Shards by pieces (about 4 bytes a word), so that very long texts make more shards, not larger ones.
         size = joined(sample, bounded=True).agg(
@@ -220,23 +222,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         parts = joined(sample, bounded=True).select("text", "label", "id") \
             .mapInArrow(_feature_task(), "x binary, label int, id long, piece int") \
             .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "id", "piece"), F.lit(shards)).cast("int")) \
-            .groupBy("shard").applyInArrow(_fit_task(sent), "w binary, n long").collect()  # a row for each shard
-        weights, rows = np.zeros(DIM + 1), 0
-        for r in parts:
-            weights += np.frombuffer(r["w"], np.float64) * r["n"]
-            rows += r["n"]
-        return Model(ratio, weights / max(1, rows), 1.0, 0.0)
+            .groupBy("shard").applyInArrow(_fit_task(sent), "place int, w double") \
+            .groupBy("place").agg(F.sum("w").cast("float").alias("w")).toArrow()  # at most DIM + 2 rows
+        place, w = np.asarray(parts.column("place")), np.asarray(parts.column("w"))
+        weights = np.zeros(DIM + 2, np.float32)          # the bias at DIM, the number of rows last
+        weights[place] = w
+        sent.destroy()
+        return Model(ratio, weights[:-1] / max(1.0, float(weights[-1])), 1.0, 0.0)
 
     # Calibrated on rows that a first model has not seen; the model that is kept is fitted alike
     # with ratios of all rows.
     most = counted(known.where("part > 0"))
     first = fitted(most, known.where("part > 0"))
     model = fitted(most + counted(known.where("part = 0")), known)
+    sent = spark.sparkContext.broadcast(first)
     margins = joined(known.where("part = 0")).select("text", "label").mapInArrow(
-        _margin_task(spark.sparkContext.broadcast(first)), "margin double, label int")
+        _margin_task(sent), "margin double, label int")
     bins = margins.groupBy(F.round(F.col("margin") * 40).alias("bin"), "label").count() \
         .groupBy("bin").pivot("label", [0, 1]).sum("count").na.fill(0) \
         .orderBy(F.desc(F.col("0") + F.col("1"))).collect()  # margins are bounded by the weights' length
+    sent.destroy()
     if bins:
         x = np.array([r["bin"] / 40 for r in bins])
         model.slope, model.shift = _logistic(x, np.array([r["1"] for r in bins], float),
