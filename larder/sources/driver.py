@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.schemas import MONEY
-from larder.sources.tables import Tables, conform
+from larder.sources.tables import Tables, conform, path_bytes
 
 
 # Declared schemas of the driver tables (only the columns the mapping reads);
@@ -46,6 +46,10 @@ RAW_SCHEMAS = {
 }
 
 
+# Line items (bytes of parquet) that one task sums up to sale rows.
+SALE_TASK_BYTES = 4 << 20
+
+
 def _scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMAS[name]).parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -144,7 +148,7 @@ def check_table(orders: DataFrame) -> DataFrame:
     ), "check_table")
 
 
-def sale(lineitem: DataFrame) -> DataFrame:
+def sale(lineitem: DataFrame, tasks: int = 1) -> DataFrame:
     # (part, order) is the sale key; the few line items that repeat it are
     # summed. The key is almost unique, so a map-side partial aggregation
     # would only build a hash table as large as its input: the lines are
@@ -155,7 +159,10 @@ def sale(lineitem: DataFrame) -> DataFrame:
     # text instead, so receipt <-> line joins could reuse it, measured slower
     # here: bucketing a published version, ``publish_bucketed``, is the way
     # to co-locate those joins.)
-    return conform(lineitem.repartition("l_orderkey")
+    # ``tasks``: so many partitions, which are not merged again: rows of one hold
+    # a hash table until it is done, so its size must not grow with the table.
+    dealt = lineitem.repartition(tasks, "l_orderkey") if tasks > 1 else lineitem.repartition("l_orderkey")
+    return conform(dealt
                    .groupBy("l_partkey", "l_orderkey")
                    .agg(F.sum("l_quantity").cast("int").alias("product_number"),
                         F.max(F.col("l_extendedprice").cast(MONEY)).alias("selling_price"))
@@ -203,7 +210,7 @@ def driver_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "user_table": lambda: user_table(raw["supplier"]),
         "customer_card": lambda: customer_card(raw["customer"], raw["nation"]),
         "check_table": lambda: check_table(raw["orders"]),
-        "sale": lambda: sale(raw["lineitem"]),
+        "sale": lambda: sale(raw["lineitem"], -(-path_bytes(spark, os.path.join(sf_dir, "lineitem.parquet")) // SALE_TASK_BYTES)),
         "cart_lines": lambda: cart_lines(raw["lineitem"]),
         **{f"raw.{n}": (lambda n=n: raw[n]) for n in raw},
     }, lookups={

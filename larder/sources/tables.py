@@ -172,6 +172,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder; 0 if it does not exist."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def path_children(spark: SparkSession, path: str) -> list[str]:
     """Names directly below a folder; none if it does not exist."""
     fs, p = _fs(spark, path)
