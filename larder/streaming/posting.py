@@ -124,10 +124,11 @@ class PostingBatch:
         numbers = self.registry(spark, epoch)
         res = post_sales(replaced(self.base, store_product=sp), lines, None,
                          numbers=lambda receipts: numbers.assign(receipts, "check_number", ["cart_id"], epoch))
+        sold = materialize(res.lines, f"stream-sold-{epoch}")       # two outputs read it
         out = {
             "receipts": res.receipts.select(*SCHEMAS["check_table"].fieldNames(), "cart_id"),
-            "sale": res.lines,
-            "stock_used": res.lines.groupBy("upc").agg(F.sum("product_number").cast("long").alias("used")),
+            "sale": sold,
+            "stock_used": sold.groupBy("upc").agg(F.sum("product_number").cast("long").alias("used")),
             "rejects": res.rejects.unionByName(empty),
         }
         for name, df in out.items():
