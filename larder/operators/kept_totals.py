@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.exprs import avg_half_up, date
 from larder.operators.reports import BIG_MONEY
-from larder.sources.tables import _delete, path_children, path_exists
+from larder.sources.tables import _delete, materialize, path_children, path_exists
 
 Tables = Mapping[str, DataFrame]
 
@@ -58,7 +58,10 @@ def _rows(t: Tables, receipts: DataFrame | None, items: DataFrame | None) -> dic
         "check_number", "id_employee", F.col("print_date").cast("date").alias("day"), "sum_total")
     one = F.lit(1).cast("bigint")
     price, units = F.col("selling_price"), F.col("product_number")
-    sales = _only(t["sale"], receipts, "check_number").join(checks, "check_number").select(
+    if receipts is not None:
+        # Written once: two totals read it, and its size then says how the lines are joined.
+        checks = materialize(checks, "kept-changed")
+    sales = t["sale"].join(checks, "check_number").select(      # lines of these receipts only
         *KEYS["sales"], units.cast("bigint").alias("units"), price.cast(BIG_MONEY).alias("revenue"),
         (price * units).cast(BIG_MONEY).alias("line_revenue"), one.alias("lines"))
     stock = _only(t["store_product"], items, "upc").select(
@@ -185,9 +188,13 @@ class KeptTotals:
         later = [n for n in names if n.startswith("delta=") and int(n[6:]) > state]
         return state, [os.path.join(root, n) for n in [f"state={state}", *sorted(later)]]
 
-    def read(self) -> dict[str, DataFrame]:
-        """The totals now: the newest state and all later deltas, summed."""
-        return {n: _summed(n, self.spark.read.schema(totals_schema(n)).parquet(*self._folders(n)[1])) for n in KEYS}
+    def read(self, apart: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+        """The totals now: the newest state and all later deltas, summed.
+
+        ``apart``: totals left as they lie, with a row for each state or delta that has the key (adding up to the
+        total, some to nothing): for reports that sum by fewer keys anyway, and drop what has no ``lines`` left."""
+        lie = {n: self.spark.read.schema(totals_schema(n)).parquet(*self._folders(n)[1]) for n in KEYS}
+        return {n: rows if n in apart else _summed(n, rows) for n, rows in lie.items()}
 
     def fold(self, epoch: int) -> None:
         """Merge the deltas up to ``epoch`` into a new state, then delete what it replaces."""

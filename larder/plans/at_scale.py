@@ -125,8 +125,8 @@ def _q(t):
 def _kept(t):
     """Totals after carts are posted, old receipts deleted and prices changed, each as one epoch's delta."""
     kept = kept_totals.KeptTotals(t["store_product"].sparkSession, _folder(t, "kept"))
-    kept.start(t)
     t = replaced(t, sale=materialize(t["sale"], "kept-sale"))         # the mapping sums line items: written once
+    kept.start(t)
     posted = post.post_sales(t, t["cart_lines"], P.NOW)
     lines, receipts = materialize(posted.lines, "kept-lines"), materialize(posted.receipts, "kept-receipts")
     one = replaced(posted.tables, sale=t["sale"].unionByName(lines),
@@ -141,7 +141,7 @@ def _kept(t):
     prices = materialize(reg._price_changes(t), "kept-prices")
     three = chg.apply_updates(two, "store_product", prices).tables
     kept.apply(2, kept_totals.delta(two, three, items=prices.select("upc")))
-    return kept.read(), three
+    return kept.read(apart=("sales",)), three
 
 
 _KEPT_SALES = f"""
@@ -187,7 +187,8 @@ SELECT id_employee, (SELECT CAST(sum(product_number) AS BIGINT) FROM units u WHE
        CAST(sum(sum_total) AS DECIMAL(38,4)) AS takings FROM money m GROUP BY id_employee""")
 def _q(t):
     kept, _ = _kept(t)
-    units = kept["sales"].groupBy("id_employee").agg(F.sum("units").cast("bigint").alias("units"))
+    units = kept["sales"].groupBy("id_employee").agg(
+        F.sum("units").cast("bigint").alias("units"), F.sum("lines").alias("lines")).where("lines > 0")
     money = kept["receipts"].groupBy("id_employee").agg(F.sum("takings").cast("decimal(38,4)").alias("takings"))
     return money.join(units, "id_employee", "left").select("id_employee", "units", "takings")
 
